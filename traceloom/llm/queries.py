@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import ann, bpe
 from .common import table
 
 
@@ -14,5 +14,9 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
-QUERIES = {"op6_bpe": op6_bpe}
+def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {"op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree}
 ORACLE_SQL: dict[str, str] = {}
