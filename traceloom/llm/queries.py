@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe
+from . import ann, bpe, toxicity
 from .common import table
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -18,5 +22,5 @@ def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree}
+QUERIES = {"op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree}
 ORACLE_SQL: dict[str, str] = {}
