@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, toxicity
+from . import ann, bpe, pii, toxicity
 from .common import table
 
 
@@ -22,5 +22,10 @@ def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.digests(pii.find(docs, pii.fit(docs)))
+
+
+QUERIES = {"op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
