@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, pii, toxicity
+from . import ann, bpe, neardup, pii, toxicity
 from .common import table
 
 
@@ -22,10 +22,14 @@ def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pii.digests(pii.find(docs, pii.fit(docs)))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree, "op10_pii": op10_pii}
+QUERIES = {"op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
