@@ -4,8 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, neardup, pii, toxicity
-from .common import table
+from . import ann, bpe, neardup, pii, toxicity, warc
+from .common import new_path, table
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc-archives")
+    warc.write(table(spark, sf_dir, "pages"), path)
+    return warc.parsed(warc.read(spark, path))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,5 +37,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.fit(docs)))
 
 
-QUERIES = {"op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
