@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import bucketed
 
 #: Characters for which the fast pattern below equals the tokenizer's own pre-tokenizer.
 _OTHER = re.compile("[^\t\n\r\x20-\x7eÀ-ÖØ-öø-ɏ]")
@@ -67,10 +67,9 @@ def _splitter(path: str):
     return split
 
 
-def _pack(ids: list[int]) -> bytes:
-    """Positions as three byte planes, compressed."""
-    a = np.asarray(ids, dtype="<u4")
-    return zstandard.ZstdCompressor(level=3).compress(a.view("u1").reshape(-1, 4).T.tobytes())
+def _pack(a: np.ndarray) -> bytes:
+    """Positions as four byte planes, compressed."""
+    return zstandard.ZstdCompressor(level=3).compress(a.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
 
 
 def _unpack(blob: bytes) -> np.ndarray:
@@ -89,8 +88,13 @@ def blocks(docs: DataFrame, path: str, block_chars: int = 1 << 25) -> DataFrame:
         ids, positions, chars = [], [], 0
 
         def out():
+            # frequent words get small numbers, whose bytes compress well
+            order = np.argsort(-np.bincount(np.concatenate([*positions, [0]]).astype(np.int64), minlength=len(seen)), kind="stable") if seen else np.array([], np.int64)
+            new = np.empty(len(seen), np.int64)
+            new[order] = np.arange(len(seen))
+            words, packed = list(seen), [_pack(new[p] if len(p) else p) for p in positions]
             return pa.RecordBatch.from_arrays(
-                [pa.array([(part << 32) + n], pa.int64()), pa.array([list(seen)], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int64())), pa.array([positions], pa.list_(pa.binary()))],
+                [pa.array([(part << 32) + n], pa.int64()), pa.array([[words[i] for i in order.tolist()]], pa.list_(pa.string())), pa.array([ids], pa.list_(pa.int64())), pa.array([packed], pa.list_(pa.binary()))],
                 ["block", "words", "doc_ids", "positions"],
             )
 
@@ -99,7 +103,7 @@ def blocks(docs: DataFrame, path: str, block_chars: int = 1 << 25) -> DataFrame:
                 text = text.as_py()
                 words = split(text)
                 ids.append(doc_id)
-                positions.append(_pack([seen.setdefault(w, len(seen)) for w in words]))
+                positions.append(np.array([seen.setdefault(w, len(seen)) for w in words], np.uint32))
                 chars += len(text or "")
                 if chars >= block_chars:
                     yield out()
@@ -111,68 +115,92 @@ def blocks(docs: DataFrame, path: str, block_chars: int = 1 << 25) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(split_blocks, BLOCK_SCHEMA)
 
 
-def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``word`` -> ``ids``; each row's word is encoded by the tokenizers library."""
-
-    def encode(batches):
-        tokenizer = _tokenizer(path)
-        for batch in batches:
-            found = tokenizer.encode_batch(batch.column(0).to_pylist(), add_special_tokens=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), pa.array([e.ids for e in found], pa.list_(pa.int32()))], ["word", "ids"])
-
-    return words.select("word").mapInArrow(encode, "word string, ids array<int>")
-
-
-def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """``id`` -> ``piece`` (bytes); as many rows as the vocabulary has, which is fixed."""
+def piece_table(spark: SparkSession, path: str):
+    """Broadcast pieces (bytes) by id; as many as the vocabulary has, which is fixed."""
     tokenizer = _tokenizer(path)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
     byte_of = {chr(b): b for b in plain}
     byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
     added = {i: t.content for i, t in tokenizer.get_added_tokens_decoder().items()}
-    rows = [(i, added[i].encode() if i in added else bytes(byte_of[c] for c in piece)) for piece, i in tokenizer.get_vocab().items()]
-    if len(rows) > 1_000_000:
+    found = {i: added[i].encode() if i in added else bytes(byte_of[c] for c in piece) for piece, i in tokenizer.get_vocab().items()}
+    if len(found) > 1_000_000:
         raise ValueError("the vocabulary is too large to broadcast")
-    return spark.createDataFrame(rows, "id int, piece binary")
+    return spark.sparkContext.broadcast(pa.array([found.get(i, b"") for i in range(max(found) + 1)], pa.binary()))
+
 
+def encode_words(path: str):
+    """A function over rows (``block``, ``at``, ``word``) sorted by word: each distinct word is encoded
+    once, where its rows begin; the ids leave in one compressed record for each block of a few million
+    rows at most, as a single word's row is mostly overhead in a shuffle."""
 
-def decode_ids(rows: DataFrame, key: str, pieces: DataFrame) -> DataFrame:
-    """``key``, ``ids`` -> the same with ``decoded`` (bytes), by a join of each id with its piece.  Keys are unique."""
-    long = rows.select(key, "ids", F.posexplode_outer("ids").alias("pos", "id"))
-    met = long.join(F.broadcast(pieces), "id", "left")
-    return met.groupBy(key).agg(F.first("ids").alias("ids"), F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("p")).select(key, "ids", F.expr("aggregate(p, cast('' as binary), (a, x) -> concat(a, x.piece))").alias("decoded"))
+    def packed(rows: pa.Table):
+        rows = rows.sort_by([("block", "ascending"), ("at", "ascending")]).combine_chunks()
+        homes, at = rows.column("block").to_numpy(), rows.column("at").to_numpy()
+        lists = rows.column("ids").combine_chunks()
+        off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+        cuts = np.flatnonzero(np.diff(homes)) + 1
+        squeeze = zstandard.ZstdCompressor(level=3).compress
+        out = [(int(homes[a]), squeeze(np.diff(at[a:b], prepend=0).astype("<u4").tobytes()), squeeze(np.diff(off[a : b + 1]).astype("<u4").tobytes()), squeeze(flat[off[a] : off[b]].astype("<u4").tobytes())) for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(homes)])]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["home", "at", "n", "ids"])
+
+    def encode(batches):
+        tokenizer, last, last_ids, held, n = _tokenizer(path), None, None, [], 0
+        for b in batches:
+            coded = b.column(2).dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            fresh = words[1:] if words and words[0] == last else words
+            found = [e.ids for e in tokenizer.encode_batch(fresh, add_special_tokens=False)]
+            found = [last_ids, *found] if len(found) < len(words) else found
+            if words:
+                last, last_ids = words[-1], found[-1]
+            ids = pa.array(found, pa.list_(pa.int32())).take(coded.indices)
+            held.append(pa.table({"block": b.column(0), "at": b.column(1), "ids": ids}))
+            n += b.num_rows
+            if n >= 2_000_000:
+                yield from packed(pa.concat_tables(held))
+                held, n = [], 0
+        if n:
+            yield from packed(pa.concat_tables(held))
+
+    return encode
+
+
+def _decoded(ids: np.ndarray, pieces: pa.Array, cuts: np.ndarray) -> list[str]:
+    """The texts of consecutive runs of ids: each id meets its piece."""
+    met = pieces.take(pa.array(ids))
+    at = np.frombuffer(met.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+    data = memoryview(met.buffers()[2]) if len(ids) and met.buffers()[2] is not None else memoryview(b"")
+    return [str(data[at[a] : at[b]], "utf-8", "replace") for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
 
 def encode_decode(docs: DataFrame, path: str, block_chars: int = 1 << 25) -> DataFrame:
     """``doc_id``, ``ids`` (array of int) and ``decoded`` (string) of every document."""
     spark = docs.sparkSession
-    held = saved(blocks(docs, path, block_chars), "bpe-blocks")
-    uses = held.select("block", F.posexplode("words").alias("at", "word"))
-    ids = encode_words(uses.select("word").distinct(), path).repartition("word")
-    words = decode_ids(ids, "word", piece_table(spark, path))
-    back = uses.join(words, "word").select(F.col("block").alias("home"), "at", "ids", "decoded")
+    held = bucketed(blocks(docs, path, block_chars), "block")
+    uses = held.select("block", F.posexplode("words").alias("at", "word")).repartition("word").sortWithinPartitions("word")
+    back = uses.mapInArrow(encode_words(path), "home long, at binary, n binary, ids binary")
+    pieces = piece_table(spark, path)
+    thaw = lambda x: np.frombuffer(zstandard.ZstdDecompressor().decompress(x.as_py()), "<u4").astype(np.int64)
 
     def put_together(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        at = right.column("at").to_numpy()
-        order = np.argsort(at, kind="stable")
-        found = right.take(pa.array(order)).combine_chunks()
-        lists = found.column("ids").combine_chunks() if found.num_rows else pa.array([], pa.list_(pa.int32()))
-        flat, off = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-        text = found.column("decoded").to_pylist()
-        n = np.diff(off)
-        doc_ids, all_ids, all_texts = [], [], []
-        for row in left.select(["doc_ids", "positions"]).to_batches():
-            for ids_, blobs in zip(row.column(0), row.column(1)):
-                for doc_id, blob in zip(ids_, blobs):
-                    p = _unpack(blob.as_py()).astype(np.int64)
-                    size = n[p]
-                    within = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                    doc_ids.append(doc_id.as_py())
-                    all_ids.append(flat[np.repeat(off[p], size) + within])
-                    all_texts.append(b"".join([text[i] for i in p.tolist()]).decode("utf-8", "replace"))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in all_ids])]).astype(np.int32)
-        values = np.concatenate(all_ids) if all_ids else np.array([], np.int32)
-        return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32))), "decoded": pa.array(all_texts, pa.string())})
+        at, n, flat = ([thaw(x) for x in right.column(c)] for c in ("at", "n", "ids"))
+        place = np.concatenate([*(np.cumsum(x) for x in at), np.array([], np.int64)])
+        n, flat = np.concatenate([*n, np.array([], np.int64)]), np.concatenate([*flat, np.array([], np.int64)]).astype(np.int32)
+        begin = np.empty(len(n), np.int64)
+        begin[place] = np.cumsum(n) - n
+        size = np.empty(len(n), np.int64)
+        size[place] = n
+        found = []
+        for ids_, blobs in ((x.values, y.values) for x, y in zip(left.column("doc_ids"), left.column("positions"))):
+            for first in range(0, len(ids_), 256):
+                p = [_unpack(b.as_py()) for b in blobs[first : first + 256]]
+                words = np.concatenate(p).astype(np.int64)
+                many = size[words]
+                ends = np.concatenate([[0], np.cumsum(many)])
+                ids = flat[np.repeat(begin[words] - ends[:-1], many) + np.arange(ends[-1])]
+                cuts = ends[np.concatenate([[0], np.cumsum([len(x) for x in p])])]
+                found.append(pa.table({"doc_id": pa.array([x.as_py() for x in ids_[first : first + 256]], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ids)), "decoded": pa.array(_decoded(ids, pieces.value, cuts), pa.string())}))
+        return pa.concat_tables(found)
 
     return held.select("block", "doc_ids", "positions").groupBy("block").cogroup(back.groupBy("home")).applyInArrow(put_together, "doc_id long, ids array<int>, decoded string")
 
