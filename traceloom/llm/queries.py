@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, neardup, pii, toxicity, warc
+from . import ann, bpe, decontam, neardup, pii, toxicity, warc
 from .common import new_path, table
 
 
@@ -24,6 +24,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op7_qgram_lemma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
@@ -37,5 +41,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.fit(docs)))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op7_qgram_lemma": op7_qgram_lemma, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
