@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, neardup, pii, toxicity, warc
+from . import ann, bpe, decontam, neardup, pii, quality, toxicity, warc
 from .common import new_path, table
 
 
@@ -14,6 +14,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.parsed(warc.read(spark, path))
 
 
+def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
 
@@ -41,5 +45,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.fit(docs)))
 
 
-QUERIES = {"op1_warc": op1_warc, "op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op7_qgram_lemma": op7_qgram_lemma, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op2_weak_labels": op2_weak_labels, "op3_toxicity": op3_toxicity, "op6_bpe": op6_bpe, "op7_qgram_lemma": op7_qgram_lemma, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
