@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, decontam, lm, neardup, pii, quality, toxicity, warc
+from . import ann, bpe, decontam, lm, neardup, pii, quality, substring, toxicity, warc
 from .common import new_path, table
 
 
@@ -27,6 +27,10 @@ def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, lm.fit(docs))
 
 
+def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.passages(table(spark, sf_dir, "documents"))
+
+
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -50,5 +54,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.fit(docs)))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_weak_labels": op2_weak_labels, "op3_toxicity": op3_toxicity, "op4_masked_lm": op4_masked_lm, "op6_bpe": op6_bpe, "op7_qgram_lemma": op7_qgram_lemma, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
+QUERIES = {"op1_warc": op1_warc, "op2_weak_labels": op2_weak_labels, "op3_toxicity": op3_toxicity, "op4_masked_lm": op4_masked_lm, "op5_compact_windows": op5_compact_windows, "op6_bpe": op6_bpe, "op7_qgram_lemma": op7_qgram_lemma, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
 ORACLE_SQL: dict[str, str] = {}
