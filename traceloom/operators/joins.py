@@ -38,9 +38,9 @@ def upsert_missing(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
 
 def merge_reconcile(prs: DataFrame, observations: DataFrame) -> DataFrame:
     """A pull request is merged at the earliest sighting with its number whose hint, if any, ends its repository's name."""
-    o = observations.select(F.col("number").alias("number_"), "repo_hint", "merged_at")
+    o = observations.select(F.col("number").alias("number_"), "repo_hint", F.col("merged_at").alias("merged_at_"))
     met = prs.join(o, (F.col("number") == F.col("number_")) & (F.col("repo_hint").isNull() | F.lower("repo").endswith(F.concat(F.lit("/"), F.lower("repo_hint")))))
-    at = met.groupBy("repo", "number").agg(F.min("merged_at").alias("seen_at"))
+    at = met.groupBy("repo", "number").agg(F.min("merged_at_").alias("seen_at"))
     return prs.join(at, ["repo", "number"], "left").select(*[c for c in prs.columns if c not in ("state", "merged_at")], F.when(F.col("seen_at").isNotNull(), "merged").otherwise(F.col("state")).alias("state"), F.coalesce("seen_at", "merged_at").alias("merged_at"))
 
 
