@@ -11,6 +11,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exprs as X
 
@@ -182,7 +183,7 @@ def blobs(rows: DataFrame) -> DataFrame:
     return r.select("path", "offset", "session_id", "ts", F.col("b.tool_use_id").alias("tool_use_id"), failed.alias("is_error"), F.when(failed | (F.col("printed") == ""), result_text(F.col("b.content"))).otherwise(F.col("printed")).alias("raw_text")).filter(F.trim("raw_text") != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def string_leaves(values: pd.Series) -> pd.Series:
     """H6: string leaves of a JSON value in document order, at most 64 of them down to depth 6."""
 
