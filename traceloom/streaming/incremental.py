@@ -36,6 +36,7 @@ class TranscriptReader(DataSourceStreamReader):
         self.most = int(options.get("maxbytespertrigger", 8 << 20))
 
     def initialOffset(self) -> dict:
+        self._known: dict = {}
         return {}
 
     def _files(self) -> list[str]:
@@ -47,25 +48,19 @@ class TranscriptReader(DataSourceStreamReader):
         with open(path, "rb") as f:
             return hashlib.sha256(f.read(min(n, self.PREFIX))).hexdigest()
 
-    def _start(self, path: str, size: int, known: dict) -> tuple[int, bool]:
-        seen = known.get(path)
-        if not seen:
-            return 0, False
-        if size < seen["at"] or self._hash(path, seen["at"]) != seen["hash"]:
-            return 0, True
-        return seen["at"], False
-
     def latestOffset(self) -> dict:
         import os
 
-        known = getattr(self, "_known", {})
-        out, left = dict(known), self.most
+        # after a restart the offsets reached are only known to the engine; the first batch then takes all there is
+        known = getattr(self, "_known", None)
+        out, left = dict(known or {}), self.most if known is not None else None
         for path in self._files():
             size = os.path.getsize(path)
-            start, rewound = self._start(path, size, known)
-            if left <= 0 or (start == size and not rewound):
+            seen = out.get(path)
+            start = seen["at"] if seen and not self._rewritten(path, seen) else 0
+            if start == size or (left is not None and left <= 0):
                 continue
-            take = left
+            take = left if left is not None else size
             while True:
                 with open(path, "rb") as f:
                     f.seek(start)
@@ -75,19 +70,23 @@ class TranscriptReader(DataSourceStreamReader):
                     break
                 take *= 2
             if cut:
-                out[path] = {"at": start + cut, "hash": self._hash(path, start + cut), "from": start, "rewound": rewound}
-                left -= cut
+                out[path] = {"at": start + cut, "hash": self._hash(path, start + cut)}
+                left = left - cut if left is not None else None
         self._known = out
         return out
 
+    def _rewritten(self, path: str, seen: dict) -> bool:
+        import os
+
+        return os.path.getsize(path) < seen["at"] or self._hash(path, seen["at"]) != seen["hash"]
+
     def partitions(self, start: dict, end: dict) -> list[Span]:
         spans = []
         for path, e in end.items():
             s = start.get(path)
-            if s == e:
-                continue
-            again = e.get("rewound", False)
-            spans.append(Span(path, 0 if again or not s else s["at"], e["at"], again))
+            if s != e:
+                again = bool(s) and (e["at"] < s["at"] or self._rewritten(path, s))
+                spans.append(Span(path, s["at"] if s and not again else 0, e["at"], again))
         return spans
 
     def read(self, partition: Span) -> Iterator[tuple]:
