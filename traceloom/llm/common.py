@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,5 +39,12 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     return spark.table(name)
 
 
+def hashed_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """The rows whose key is among the ``n`` that hash lowest: one number is found first, and filters the scan."""
+    h = F.xxhash64(key)
+    last = df.filter(F.col(key).isNotNull()).select(h.alias("h")).distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return df.filter(F.col(key).isNotNull() & (h <= F.lit(last))) if last is not None else df.limit(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import hashed_sample
 
 #: Bound of the documents that the scorer is trained on, and the width of its feature table.
 TRAIN_DOCS, WIDTH = 20_000, 1 << 14
@@ -142,7 +142,7 @@ def classify(docs: DataFrame) -> DataFrame:
     _, _, post = estimate(counts)
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # long documents are left to the scorer, so that the sample's size in memory is bounded
-    picked = plain.filter("doc_id is not null and length(text) < 100000").orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
+    picked = hashed_sample(plain, "doc_id", TRAIN_DOCS).filter("length(text) < 100000")
 
     def featured(batches):
         for b in batches:
