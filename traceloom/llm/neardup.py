@@ -6,8 +6,10 @@ such an ordered sample meet in a bucket.  A banded alignment of the labelled shi
 pairs: the shingles aligned in order, over all shingles of both, must reach the similarity.
 
 No bucket is expanded into all its pairs.  First each text of a bucket meets the bucket's first
-text of about its length; the links found make components.  Then texts outside a bucket's largest
-component meet the bucket's texts of other components, so that no two components that share a
+text of about its length; the links found make components.  In a few further rounds, texts outside
+a bucket's largest component meet hashed members of it, which joins groups whose copies differ from
+one another.  Then what is still outside meets the bucket's texts of other components (in large
+buckets those with which it shares one of its first shingles, the hub's own ordered last), so that no two components that share a
 bucket stay apart while a link between them exists there.
 
 Defined cases: null and empty texts are one class of exact copies; a text of fewer than five words
@@ -31,6 +33,10 @@ from .common import saved
 from .components import components
 
 SAMPLES, PICKED, SHINGLE, SIMILARITY = 24, 4, 5, 0.8
+#: Rounds in which texts apart from their bucket's largest component meet texts of it, and how many each time.
+ROUNDS, PARTNERS = 1, 4
+#: Buckets of more texts are not paired but joined on the prefixes of their rarest shingles.
+SMALL_BUCKET = 48
 _SEEDS = wordhash.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -117,33 +123,96 @@ def _verified(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows of buckets that hold several components, with their own and the bucket's largest."""
+    tagged = saved(bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "omh-tagged")
+    per = tagged.groupBy("j", "v", "component").agg(F.count("*").alias("k")).groupBy("j", "v").agg(F.max(F.struct("k", F.col("component").alias("main"))).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
+    return saved(tagged.join(per.select("j", "v", F.col("m.main").alias("main")), ["j", "v"]), "omh-mixed")
+
+
+def _by_prefixes(rows: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (``a``, ``b``) between components of large buckets, none of the similar ones left out.
+
+    Each text's labelled shingles are ordered, those of the bucket's hub last.  Of two texts that
+    reach the similarity, each holds a shared one among its first n - overlap + 1; the shingles of
+    what all the bucket's texts share are seldom among them.
+    """
+    hub = rows.groupBy("j", "v").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("doc_id").alias("hub"), F.col("component").alias("hub_comp"))).alias("h")).select("j", "v", "h.hub", "h.hub_comp")
+    member = saved(rows.join(hub, ["j", "v"]).select("hub", "hub_comp", "doc_id", "n", "component").distinct(), "omh-members")
+    two = member.join(seqs, "doc_id").join(seqs.select(F.col("doc_id").alias("hub"), F.col("seq").alias("hub_seq")), "hub")
+
+    def prefixes(batches):
+        last = (None, None)
+        for b in batches:
+            out = []
+            for x, h in zip(b.column(5), b.column(6)):
+                x, h = x.as_py(), h.as_py()
+                if last[0] != h:
+                    last = (h, _labelled(h))
+                mine = _labelled(x)
+                order = np.lexsort((mine, np.isin(mine, last[1])))
+                out.append(mine[order[: len(mine) - int(np.ceil(similarity * len(mine) - 1e-9)) + 1]].view(np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.list_(pa.int64()))], ["hub", "hub_comp", "doc_id", "n", "component", "first"])
+
+    firsts = two.select("hub", "hub_comp", "doc_id", "n", "component", "seq", "hub_seq").mapInArrow(prefixes, "hub long, hub_comp long, doc_id long, n int, component long, first array<long>")
+    firsts = saved(firsts.select("hub", "hub_comp", "doc_id", "n", "component", F.posexplode("first").alias("rank", "s")), "omh-prefixes")
+    # shingles of a single component link nothing
+    several = firsts.groupBy("hub", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("hub", "s")
+    firsts = firsts.join(several, ["hub", "s"])
+    odd = firsts.filter("component <> hub_comp").select("hub", "s", F.col("doc_id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"), F.col("rank").alias("orank"))
+    overlap = F.ceil((F.col("n") + F.col("on")) * (similarity / (1 + similarity)) - 1e-9)
+    met = firsts.join(odd, ["hub", "s"]).filter((F.col("component") != F.col("oc")) & (F.col("rank") <= F.col("n") - overlap) & (F.col("orank") <= F.col("on") - overlap) & ((F.col("component") == F.col("hub_comp")) | (F.col("doc_id") < F.col("o"))))
+    return met.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
+
+
+def _labelled(seq: bytes) -> np.ndarray:
+    s = wordhash.shingles(np.frombuffer(seq, np.uint32).astype(np.uint64), SHINGLE)
+    return wordhash.mix(s + wordhash.occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``class_id`` (the smallest doc_id of its class) and ``n_in_class`` of every row."""
     sk = saved(sketches(docs), "omh-sketches")
     first = sk.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # one row for each different text
-    texts = saved(sk.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select("doc_id", "n", "sketch", "seq").dropDuplicates(["doc_id"]), "omh-texts")
+    texts = saved(sk.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "omh-texts")
     # texts whose lengths differ more cannot be similar enough; neighbouring steps meet in the second round
     step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     bucket = texts.filter("n > 0").select("doc_id", "n", step.alias("step"), F.posexplode("sketch").alias("j", "v"))
-    shared = bucket.groupBy("j", "v").agg(F.count("*").alias("size"), F.min("doc_id").alias("low")).filter("size > 1").select("j", "v")
+    shared = bucket.groupBy("j", "v").agg(F.count("*").alias("size")).filter("size > 1")
     bucket = saved(bucket.join(shared, ["j", "v"]), "omh-buckets")
-    star = bucket.groupBy("j", "v", "step").agg(F.min(F.struct("doc_id", "n")).alias("hub"))
+    # texts that share buckets with many are central to their group, and serve it as hub
+    central = bucket.groupBy("doc_id").agg(F.sum("size").alias("degree"))
+    bucket = saved(bucket.join(central, "doc_id"), "omh-buckets")
+    star = bucket.groupBy("j", "v", "step").agg(F.min(F.struct((-F.col("degree")).alias("d"), "doc_id", "n")).alias("hub"))
     close = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
-    pairs = bucket.join(star, ["j", "v", "step"]).filter(close(F.col("n"), F.col("hub.n")) & (F.col("doc_id") > F.col("hub.doc_id")))
-    pairs = saved(pairs.select(F.col("hub.doc_id").alias("a"), F.col("doc_id").alias("b")).distinct(), "omh-pairs")
-    seqs = saved(texts.select("doc_id", "seq").join(bucket.select("doc_id").distinct(), "doc_id", "left_semi"), "omh-seqs")
+    pairs = bucket.join(star, ["j", "v", "step"]).filter(close(F.col("n"), F.col("hub.n")) & (F.col("doc_id") != F.col("hub.doc_id")))
+    pairs = saved(pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "omh-pairs")
+    seqs = saved(sk.select("doc_id", "seq").join(bucket.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "omh-seqs")
     links = saved(_verified(pairs, seqs, similarity), "omh-links")
     comp = components(links)
-    # second round: between the components of a bucket
-    tagged = bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    tagged = saved(tagged, "omh-tagged")
-    per = tagged.groupBy("j", "v", "component").agg(F.count("*").alias("k")).groupBy("j", "v").agg(F.max(F.struct("k", F.col("component").alias("main"))).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = saved(tagged.join(per.select("j", "v", F.col("m.main").alias("main")), ["j", "v"]), "omh-mixed")
+    # further rounds: texts outside a bucket's largest component meet a few hashed texts of it
+    mixed = _mixed(bucket, comp)
+    for turn in range(ROUNDS):
+        picks = [F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id", F.lit(turn), F.lit(slot))).alias(f"p{slot}") for slot in range(PARTNERS)]
+        partners = mixed.filter("component = main").groupBy("j", "v").agg(*picks).select("j", "v", F.explode(F.array_distinct(F.array(*[f"p{slot}" for slot in range(PARTNERS)]))).alias("p"))
+        met = mixed.filter("component <> main").join(partners, ["j", "v"]).filter(close(F.col("n"), F.col("p.n")))
+        met = met.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+        met = saved(met, "omh-pairs")
+        found = saved(_verified(met, seqs, similarity), "omh-links")
+        pairs = pairs.unionByName(met)
+        if found.isEmpty():
+            break
+        links = links.unionByName(found)
+        comp = components(links)
+        mixed = _mixed(bucket, comp)
+    # at last: between all components of a bucket that are still apart; small buckets by pairs, large ones by prefixes
+    few = mixed.filter(F.col("size") <= SMALL_BUCKET)
     near = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
-    odd = mixed.filter("component <> main").select("j", "v", near, F.col("doc_id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
-    cross = mixed.join(odd, ["j", "v", "step"]).filter((F.col("component") != F.col("oc")) & close(F.col("n"), F.col("on")) & ((F.col("component") == F.col("main")) | (F.col("doc_id") < F.col("o"))))
-    cross = cross.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    odd = few.filter("component <> main").select("j", "v", near, F.col("doc_id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
+    cross = few.join(odd, ["j", "v", "step"]).filter((F.col("component") != F.col("oc")) & close(F.col("n"), F.col("on")) & ((F.col("component") == F.col("main")) | (F.col("doc_id") < F.col("o"))))
+    cross = cross.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
+    cross = cross.union(_by_prefixes(mixed.filter(F.col("size") > SMALL_BUCKET), seqs, similarity)).distinct().join(pairs, ["a", "b"], "left_anti")
     more = saved(_verified(saved(cross, "omh-cross"), seqs, similarity), "omh-links2")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
