@@ -5,12 +5,11 @@ occurrence-labelled five-word shingles of a text and keeps them in text order; t
 such an ordered sample meet in a bucket.  A banded alignment of the labelled shingles checks
 pairs: the shingles aligned in order, over all shingles of both, must reach the similarity.
 
-No bucket is expanded into all its pairs.  First each text of a bucket meets the bucket's first
-text of about its length; the links found make components.  In a few further rounds, texts outside
-a bucket's largest component meet hashed members of it, which joins groups whose copies differ from
-one another.  Then what is still outside meets the bucket's texts of other components (in large
-buckets those with which it shares one of its first shingles, the hub's own ordered last), so that no two components that share a
-bucket stay apart while a link between them exists there.
+No bucket is expanded into all its pairs.  First each text of a bucket meets the bucket's most
+central text of about its length; the links found make components.  Then what is outside a
+bucket's largest component meets the bucket's texts of other components (in large buckets those
+with which it shares one of its first shingles, the hub's own ordered last), so that no two
+components that share a bucket stay apart while a link between them exists there.
 
 Defined cases: null and empty texts are one class of exact copies; a text of fewer than five words
 is one shingle; rows without ``doc_id`` are left out; rows with the same ``doc_id`` are one
@@ -33,10 +32,8 @@ from .common import saved
 from .components import components
 
 SAMPLES, PICKED, SHINGLE, SIMILARITY = 24, 4, 5, 0.8
-#: Rounds in which texts apart from their bucket's largest component meet texts of it, and how many each time.
-ROUNDS, PARTNERS = 1, 4
 #: Buckets of more texts are not paired but joined on the prefixes of their rarest shingles.
-SMALL_BUCKET = 48
+SMALL_BUCKET = 16
 _SEEDS = wordhash.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -125,7 +122,7 @@ def _verified(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame
 
 def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows of buckets that hold several components, with their own and the bucket's largest."""
-    tagged = saved(bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")), "omh-tagged")
+    tagged = bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     per = tagged.groupBy("j", "v", "component").agg(F.count("*").alias("k")).groupBy("j", "v").agg(F.max(F.struct("k", F.col("component").alias("main"))).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
     return saved(tagged.join(per.select("j", "v", F.col("m.main").alias("main")), ["j", "v"]), "omh-mixed")
 
@@ -180,7 +177,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
     bucket = texts.filter("n > 0").select("doc_id", "n", step.alias("step"), F.posexplode("sketch").alias("j", "v"))
     shared = bucket.groupBy("j", "v").agg(F.count("*").alias("size")).filter("size > 1")
-    bucket = saved(bucket.join(shared, ["j", "v"]), "omh-buckets")
+    bucket = bucket.join(shared, ["j", "v"])
     # texts that share buckets with many are central to their group, and serve it as hub
     central = bucket.groupBy("doc_id").agg(F.sum("size").alias("degree"))
     bucket = saved(bucket.join(central, "doc_id"), "omh-buckets")
@@ -191,21 +188,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     seqs = saved(sk.select("doc_id", "seq").join(bucket.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "omh-seqs")
     links = saved(_verified(pairs, seqs, similarity), "omh-links")
     comp = components(links)
-    # further rounds: texts outside a bucket's largest component meet a few hashed texts of it
     mixed = _mixed(bucket, comp)
-    for turn in range(ROUNDS):
-        picks = [F.min_by(F.struct("doc_id", "n"), F.xxhash64("doc_id", F.lit(turn), F.lit(slot))).alias(f"p{slot}") for slot in range(PARTNERS)]
-        partners = mixed.filter("component = main").groupBy("j", "v").agg(*picks).select("j", "v", F.explode(F.array_distinct(F.array(*[f"p{slot}" for slot in range(PARTNERS)]))).alias("p"))
-        met = mixed.filter("component <> main").join(partners, ["j", "v"]).filter(close(F.col("n"), F.col("p.n")))
-        met = met.select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        met = saved(met, "omh-pairs")
-        found = saved(_verified(met, seqs, similarity), "omh-links")
-        pairs = pairs.unionByName(met)
-        if found.isEmpty():
-            break
-        links = links.unionByName(found)
-        comp = components(links)
-        mixed = _mixed(bucket, comp)
     # at last: between all components of a bucket that are still apart; small buckets by pairs, large ones by prefixes
     few = mixed.filter(F.col("size") <= SMALL_BUCKET)
     near = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
