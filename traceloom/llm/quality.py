@@ -35,7 +35,7 @@ def statistics(text: Column) -> dict[str, Column]:
     n = F.greatest(F.length(text), F.lit(1))
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    count = lambda pattern: F.length(F.regexp_replace(text, pattern, ""))
+    count = lambda pattern: F.length(F.regexp_replace(text, pattern + "+", ""))  # whole runs at once
     n_words = F.greatest(F.size(words), F.lit(1))
     return {
         "words": F.size(words).cast("double"),
