@@ -276,6 +276,37 @@ def test_lm_prefers_what_the_corpus_says(spark):
     assert lm.score(docs(spark, []), lm.fit(docs(spark, []))).count() == 0
 
 
+def test_lm_counts_every_word_and_window(spark, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_CHARS", 300)
+    rare = [f"rare{i}" for i in range(150)]
+    rows = [(i, f"{rare[i]} before middle{i} after{i} " * 2) for i in range(150)] * 2 + [(200 + i, f"{rare[i]} before middle{i + 1} after{i}") for i in range(100)] + [(400, f"{prose(300, 1)} once")]
+    d = docs(spark, rows)
+    model = lm.fit(d)
+    texts = [t.split() for _, t in rows]
+    word = collections.Counter(w for t in texts for w in t)
+    windows = [list(zip([None, *t[:-1]], t, [*t[1:], None])) for t in texts]
+    full, pair = collections.Counter(x for t in windows for x in t), collections.Counter((a, c) for t in windows for a, _, c in t)
+    cls = {w: int(lm._classes(wordhash.words(w)[0], model.own)[0]) for w in word}
+    cls[None] = lm.EDGE
+    total = collections.Counter()
+    for w, n in word.items():
+        total[cls[w]] += n
+    p = np.exp(model.logp)
+
+    def log_prob(t, less):
+        out = 0.0
+        for a, w, c in t:
+            net = p[(cls[a] * (lm.CLASSES + 1) + cls[c]) * lm.CLASSES + cls[w]] * word[w] / (total[cls[w]] + 1)
+            out += math.log((full[a, w, c] - less + lm.SMOOTH * net) / (pair[a, c] - less + lm.SMOOTH))
+        return out
+
+    got = sorted((r["doc_id"], r["log_prob"]) for r in lm.score(d, model).collect())
+    want = sorted((i, log_prob(t, 1)) for (i, _), t in zip(rows, windows))
+    assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
+    other = {r["doc_id"]: r for r in lm.score(docs(spark, [rows[3], (900, "never seen"), (901, None)]), model).collect()}
+    assert math.isclose(other[3]["log_prob"], log_prob(windows[3], 0)) and other[900]["log_prob"] < 0 and other[901]["per_token"] is None
+
+
 def test_word_hashes_depend_on_the_word_alone():
     a, s, e = wordhash.words("éa bb  éa\nbb c")
     assert a[0] == a[2] and a[1] == a[3] and len({*a.tolist()}) == 3 and (s[1], e[1]) == (4, 6)

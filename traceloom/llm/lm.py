@@ -1,87 +1,182 @@
-"""Masked pseudo-likelihood with a bidirectional window network.
-
-Every token is predicted from its neighbours on both sides.  Spark counts the words of all
-documents; the most frequent are classes of their own, the others share hashed classes.  Spark
-then counts, over all documents, which class stands between which two: these counts are the whole
-training set of a small network (one embedding for each side, a hidden layer, a softmax over
-classes), trained in numpy.  A token's conditional probability is its class's, given both
-neighbours, times the word's share of its class; their logarithms sum to the document's score.
-
-Defined cases: null and empty texts have no tokens, a sum of 0 and no mean; words outside the
-bounded word table share their class's rest, less likely the longer they are; repeated rows give a
-row each; an empty table gives an empty result; columns other than ``doc_id`` and ``text`` are ignored.
+"""Masked pseudo-likelihood: counts of words and of windows over all documents, smoothed by a bidirectional window network.
+
+Every token is predicted from its neighbours on both sides.  Texts are held in blocks of numbered
+words; Spark counts every word, and every word between every two neighbours, over all documents:
+blocks send their distinct keys to the task of the key's part, which sends the counts back.  Words
+and windows are known by 64-bit hashes.  A network of fixed size (the most frequent words are
+classes of their own, the others share hashed classes; one embedding for each side, a hidden layer,
+a softmax over classes) is trained in numpy on the counts of class windows.  A token's conditional
+probability is its window's count against its neighbours' count, smoothed by the network's class
+probability times the word's share of its class; logarithms sum to the document's score.  A token's
+own occurrence is not counted for it, so a window seen once falls back to the network.
+
+Defined cases: null and empty texts have no tokens, a sum of 0 and no mean; words that the corpus
+does not hold count as one more in their class; texts outside the corpus meet its whole counts;
+repeated rows give a row each; an empty table gives an empty result; columns other than ``doc_id``
+and ``text`` are ignored.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from . import wordhash
+from .common import bucketed, saved
 
-#: Classes with a single word, hashed classes, and the bound of the word table that tasks hold.
-OWN, SHARED, WORDS = 64, 16, 50_000
+#: Classes with a single word, and hashed classes.
+OWN, SHARED = 64, 16
 CLASSES = OWN + SHARED
 EDGE = CLASSES  # stands outside both ends of a text
+#: Weight of the network against counts; characters in a block; windows in a part.
+SMOOTH, BLOCK_CHARS, PART_WINDOWS = 4.0, 1 << 22, 500_000
+_ODD, _OUTSIDE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x632BE59BD9B4E019)
 
 
 def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def shared_class(word: str) -> int:
-    return OWN + zlib.crc32(word.encode()) % SHARED
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 with their bytes set apart, so that they compress."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``word``, ``class``, ``n`` over all documents; ``class`` is the hashed one."""
+def _numbers(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def blocks(docs: DataFrame, block_chars: int = 0) -> DataFrame:
+    """Texts in blocks: ``words`` (hashes, the frequent first), ``at`` (each token's place in them) and ``many`` (tokens of each document)."""
+    block_chars = block_chars or BLOCK_CHARS
 
     def rows(batches):
+        part, n, ids, keys, chars = TaskContext.get().partitionId(), 0, [], [], 0
+
+        def out():
+            words, at, times = np.unique(np.concatenate(keys), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(words), np.int64)
+            place[order] = np.arange(len(words))
+            cols = ([(part << 32) + n], [ids], [[len(k) for k in keys]], [words[order].tobytes()], [_planes(place[at])])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))], ["block", "doc_ids", "many", "words", "at"])
+
         for b in batches:
-            count = Counter()
-            for text in b.column(0):
-                count.update(tokens(text.as_py()))
-            words = list(count)
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([shared_class(w) for w in words], pa.int32()), pa.array(list(count.values()), pa.int64())], ["word", "class", "n"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(rows, "word string, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n"))
-
-
-class Words:
-    """The bounded word table: class and log share of its class for each word, and for words outside it."""
-
-    def __init__(self, top: list[tuple[str, int, int]], totals: dict[int, int]):
-        own = {w: i for i, (w, _, _) in enumerate(top[:OWN])}
-        mass, rest = dict.fromkeys(range(CLASSES), 0), dict(totals)
-        for w, k, n in top:
-            mass[own.get(w, k)] += n
-            rest[k] = rest.get(k, 0) - n
-        all_ = {k: mass[k] + max(rest.get(k, 0), 0) + 1 for k in range(CLASSES)}
-        self.number = {w: i for i, (w, _, _) in enumerate(top)}
-        self.cls = np.array([own.get(w, k) for w, k, _ in top], np.int64)
-        self.share = np.array([np.log(n / all_[own.get(w, k)]) for w, k, n in top])
-        self.rest = np.array([np.log((max(rest.get(k, 0), 0) + 1) / all_[k]) for k in range(CLASSES)])
-
-    def look_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log share of each word."""
-        i = np.array([self.number.get(w, -1) for w in words], np.int64)
-        known = i >= 0
-        cls, share = np.empty(len(words), np.int64), np.empty(len(words))
-        cls[known], share[known] = self.cls[i[known]], self.share[i[known]]
-        for k in np.flatnonzero(~known).tolist():
-            c = shared_class(words[k])
-            cls[k], share[k] = c, self.rest[c] - np.log(8.0) * len(words[k])
-        return cls, share
-
-
-def _windows(cls: np.ndarray) -> np.ndarray:
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                text = text.as_py()
+                ids.append(doc_id)
+                keys.append(wordhash.words(" ".join(tokens(text)))[0])
+                chars += len(text or "")
+                if chars >= block_chars:
+                    yield out()
+                    n, ids, keys, chars = n + 1, [], [], 0
+        if ids:
+            yield out()
+
+    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return plain.mapInArrow(rows, "block long, doc_ids array<long>, many array<long>, words binary, at binary")
+
+
+def _neighbours(x: np.ndarray, many: np.ndarray, edge) -> tuple[np.ndarray, np.ndarray]:
+    """What stands to the left and right of each token of consecutive documents."""
+    left, right = np.roll(x, 1), np.roll(x, -1)
+    end = np.cumsum(many[many > 0])
+    left[np.concatenate([[0], end[:-1]]).astype(np.int64)[: len(end)]] = edge
+    right[end - 1] = edge
+    return left, right
+
+
+def word_keys(words: np.ndarray, at: np.ndarray, many: np.ndarray):
+    """Key, finer key and count of each distinct word."""
+    return words, np.zeros(len(words), np.uint32), np.bincount(at, minlength=len(words)), None
+
+
+def window_keys(words: np.ndarray, at: np.ndarray, many: np.ndarray):
+    """Key of both neighbours, finer key of the word between them, and count of each distinct window; the window of each token."""
+    w = words[at]
+    left, right = _neighbours(w, many, _OUTSIDE)
+    pair = wordhash.mix(left * _ODD + wordhash.mix(right + _ODD))
+    full, first, which, n = np.unique(wordhash.mix(pair ^ wordhash.mix(w + _OUTSIDE)), return_index=True, return_inverse=True, return_counts=True)
+    return pair[first], (full >> np.uint64(32)).astype(np.uint32), n, which
+
+
+def _order(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys by part, and where each part begins."""
+    home = (wordhash.mix(key) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    return order, np.concatenate([[0], np.cumsum(np.bincount(home, minlength=parts))])
+
+
+def _opened(words: bytes, at: bytes, many) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(words, np.uint64), _numbers(at), np.array(many, np.int64)
+
+
+def _counted(corpus: DataFrame, asked: DataFrame | None, keys, parts: int, name: str, summary: bool = False) -> DataFrame:
+    """For each block and part: counts ``n`` of its finer keys and ``all`` of its keys over the corpus, in the block's order;
+    with ``summary``, also each part's most frequent keys and totals by hashed class, without a block."""
+
+    def dealt(held: DataFrame, counts: bool) -> DataFrame:
+        def rows(batches):
+            for b in batches:
+                for block, words, at, many in ([c[i].as_py() for c in b.columns] for i in range(b.num_rows)):
+                    key, fine, n, _ = keys(*_opened(words, at, many))
+                    order, cut = _order(key, parts)
+                    key, fine, n = key[order], fine[order], n[order] if counts else np.zeros(len(key), np.int64)
+                    some = np.flatnonzero(np.diff(cut)).tolist()
+                    cols = (some, [block] * len(some), *([x[cut[p] : cut[p + 1]].tobytes() for p in some] for x in (key, fine)), [_planes(n[cut[p] : cut[p + 1]]) for p in some])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "block", "key", "fine", "n"])
+
+        return held.select("block", "words", "at", "many").mapInArrow(rows, "part int, block long, key binary, fine binary, n binary")
+
+    def count(group: pa.Table) -> pa.Table:
+        raw = {c: group.column(c).to_pylist() for c in group.column_names}
+        key, fine = np.concatenate([np.frombuffer(x, np.uint64) for x in raw["key"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in raw["fine"]])
+        n = np.concatenate([_numbers(x) for x in raw["n"]])
+        order = np.lexsort((fine, key))
+        k, f = key[order], fine[order]
+        new = np.concatenate([[True], k[1:] != k[:-1]])
+        both = new | np.concatenate([[True], f[1:] != f[:-1]])
+        found = []
+        for first in (both, new):
+            start = np.flatnonzero(first)
+            each = np.empty(len(key), np.int64)
+            each[order] = np.repeat(np.add.reduceat(n[order], start), np.diff(np.append(start, len(key))))
+            found.append(np.minimum(each, 0xFFFFFFFF))
+        cut = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw["key"]])])
+        out = [(b, p, *(_planes(x[a:z]) for x in found)) for b, p, a, z in zip(raw["block"], raw["part"], cut[:-1].tolist(), cut[1:].tolist())]
+        if summary:
+            one = order[new]
+            words, times = key[one], found[0][one]
+            top = np.lexsort((words, -times))[:OWN]
+            totals = np.array([times[words % np.uint64(SHARED) == c].sum() for c in range(SHARED)], np.int64)
+            out.append((None, raw["part"][0], words[top].tobytes(), np.concatenate([times[top], totals]).tobytes()))
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=["block", "part", "n", "all"])
+
+    sent = dealt(corpus, True)
+    if asked is not None:
+        sent = sent.union(dealt(asked, False))
+    return saved(sent.groupBy("part").applyInArrow(count, "block long, part int, n binary, all binary"), name)
+
+
+def _classes(words: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The class of each word (by its hash)."""
+    cls = OWN + (words % np.uint64(SHARED)).astype(np.int64)
+    if len(own):
+        order = np.argsort(own)
+        i = np.minimum(np.searchsorted(own[order], words), len(own) - 1)
+        hit = own[order][i] == words
+        cls[hit] = order[i[hit]]
+    return cls
+
+
+def _windows(cls: np.ndarray, many: np.ndarray) -> np.ndarray:
     """One number for each token's (left, right, own) classes."""
-    left, right = np.concatenate([[EDGE], cls[:-1]]), np.concatenate([cls[1:], [EDGE]])
+    left, right = _neighbours(cls, many, EDGE)
     return (left * (CLASSES + 1) + right) * CLASSES + cls
 
 
@@ -121,52 +216,98 @@ class Network:
         return self
 
 
-def fit(docs: DataFrame) -> tuple[Words, np.ndarray]:
-    """The word table and the log probability of every (left, right, own) class."""
-    held = saved(word_counts(docs), "lm-words")
-    top = [(r["word"], r["class"], r["n"]) for r in held.orderBy(F.desc("n"), "word").limit(WORDS).collect()]
-    totals = {r["class"]: r["n"] for r in held.groupBy("class").agg(F.sum("n").alias("n")).collect()}
-    words = Words(top, totals)
-    sent = docs.sparkSession.sparkContext.broadcast(words)
-    size = (CLASSES + 1) ** 2 * CLASSES
+class Model(NamedTuple):
+    """The corpus in blocks, its word counts by block, and what has a fixed size: own words, totals and log probabilities of classes."""
+
+    docs: DataFrame
+    held: DataFrame
+    words: DataFrame
+    parts: int
+    own: np.ndarray
+    totals: np.ndarray
+    logp: np.ndarray
+
+
+def fit(docs: DataFrame) -> Model:
+    """The corpus's word counts, and the log probability of every (left, right, own) class."""
+    held = bucketed(blocks(docs), "block")
+    spark = docs.sparkSession
+    size = held.select(F.aggregate("many", F.lit(0).cast("long"), lambda a, x: a + x).alias("n")).agg(F.sum("n")).first()[0] or 0
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_WINDOWS))
+    words = _counted(held, None, word_keys, parts, "lm-words", summary=True)
+
+    def told(batches):
+        for b in batches:
+            for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                w, n = np.frombuffer(w, np.int64), np.frombuffer(n, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(w), pa.nulls(SHARED, pa.int64())]), pa.array([None] * len(w) + [*range(SHARED)], pa.int32()), pa.array(n)], ["word", "class", "n"])
+
+    summary = words.filter("block is null").select("n", "all").mapInArrow(told, "word long, class int, n long")
+    top = summary.filter("word is not null").orderBy(F.desc("n"), "word").limit(OWN).collect()
+    own = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    totals = np.zeros(CLASSES)
+    for r in summary.filter("class is not null").groupBy("class").agg(F.sum("n").alias("n")).collect():
+        totals[OWN + r["class"]] = r["n"]
+    for i, r in enumerate(top):
+        totals[i] = r["n"]
+        totals[OWN + int(own[i] % np.uint64(SHARED))] -= r["n"]
+    cells = (CLASSES + 1) ** 2 * CLASSES
 
     def count(batches):
-        total = np.zeros(size, np.int64)
+        total = np.zeros(cells, np.int64)
         for b in batches:
-            for text in b.column(0):
-                t = tokens(text.as_py())
-                if t:
-                    w = _windows(sent.value.look_up(t)[0])
-                    if len(w) > size // 8:
-                        total += np.bincount(w, minlength=size)
-                    else:
-                        np.add.at(total, w, 1)
+            for block in ([c[i].as_py() for c in b.columns] for i in range(b.num_rows)):
+                w, at, many = _opened(*block)
+                if len(at):
+                    total += np.bincount(_windows(_classes(w, own)[at], many), minlength=cells)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["window", "n"])
 
-    found = docs.select(F.col("text").cast("string")).mapInArrow(count, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).collect()  # bounded by the number of class triples
-    counts = np.zeros(size)
+    found = held.select("words", "at", "many").mapInArrow(count, "window long, n long").groupBy("window").agg(F.sum("n").alias("n")).collect()  # bounded by the number of class triples
+    counts = np.zeros(cells)
     counts[np.array([r["window"] for r in found], np.int64)] = [r["n"] for r in found]
     _, logp = Network().fit(counts.reshape(-1, CLASSES)).forward()
-    return words, logp.ravel()
+    return Model(docs, held, words, parts, own, totals, logp.ravel())
 
 
-def score(docs: DataFrame, model: tuple[Words, np.ndarray]) -> DataFrame:
+def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``n_tokens``, ``log_prob`` (sum of conditional log probabilities) and ``per_token`` (its mean) of every document."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    def rows(batches):
-        words, logp = sent.value
-        for b in batches:
-            n, total = [], []
-            for text in b.column(1):
-                t = tokens(text.as_py())
-                n.append(len(t))
-                if t:
-                    cls, share = words.look_up(t)
-                    total.append(float(logp[_windows(cls)].sum() + share.sum()))
-                else:
-                    total.append(0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array([s / k if k else None for s, k in zip(total, n)], pa.float64())], ["doc_id", "n_tokens", "log_prob", "per_token"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(rows, "doc_id long, n_tokens long, log_prob double, per_token double")
+    inside = docs is model.docs
+    held = model.held if inside else bucketed(blocks(docs).withColumn("block", -F.col("block") - 1), "block")
+    asked = None if inside else held
+    words = model.words if inside else _counted(model.held, asked, word_keys, model.parts, "lm-words")
+    windows = _counted(model.held, asked, window_keys, model.parts, "lm-windows")
+    back = words.withColumn("window", F.lit(False)).union(windows.withColumn("window", F.lit(True))).filter("block is not null" if inside else "block < 0")
+    parts, own, totals = model.parts, model.own, model.totals
+    sent = docs.sparkSession.sparkContext.broadcast(model.logp)
+    less = int(inside)  # a token's own occurrence
+
+    def put_together(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        replies = {(w, p): (n, a) for w, p, n, a in zip(*(right.column(c).to_pylist() for c in ("window", "part", "n", "all")))}
+        for doc_ids, *block in zip(*(left.column(c).to_pylist() for c in ("doc_ids", "words", "at", "many"))):
+            w, at, many = _opened(*block)
+
+            def counts(kind: bool, key: np.ndarray) -> list[np.ndarray]:
+                order, cut = _order(key, parts)
+                found = [np.empty(len(key), np.int64) for _ in range(2)]
+                for p in np.flatnonzero(np.diff(cut)).tolist():
+                    for x, data in zip(found, replies[kind, p]):
+                        x[order[cut[p] : cut[p + 1]]] = _numbers(data)
+                return found
+
+            logs = np.zeros(0)
+            if len(at):
+                cls = _classes(w, own)
+                share = np.log(np.maximum(counts(False, w)[0], 1) / (totals[cls] + 1))
+                pair, _, _, which = window_keys(w, at, many)
+                n, all_ = ((x - less)[which] for x in counts(True, pair))
+                smooth = sent.value[_windows(cls[at], many)] + share[at] + np.log(SMOOTH)
+                with np.errstate(divide="ignore"):
+                    logs = np.logaddexp(np.log(n), smooth) - np.log(all_ + SMOOTH)
+            total = np.bincount(np.repeat(np.arange(len(many)), many), logs, len(many))
+            mean = [s / k if k else None for s, k in zip(total.tolist(), many.tolist())]
+            out.append(pa.table([pa.array(doc_ids, pa.int64()), pa.array(many), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_prob", "per_token"]))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=["doc_id", "n_tokens", "log_prob", "per_token"])
+
+    return held.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(put_together, "doc_id long, n_tokens long, log_prob double, per_token double")
