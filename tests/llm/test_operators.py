@@ -247,6 +247,23 @@ def test_pii_base_spans_and_redaction(spark):
     assert pii.find(docs(spark, []), pii.fit(docs(spark, []))).count() == 0
 
 
+def test_pii_next_to_other_digits():
+    class Shape:  # stands for trees that have learnt the usual forms
+        def predict(self, x):
+            return np.array([0.9 if (f[0], f[1]) in ((11, 4), (16, 1)) else 0.1 for f in x])
+
+    phone, card = "+1 (826) 555-4081", "4111111111111111"
+    text = f"call {phone} 190.137.223.204 or {card} 1234567812345678 end"
+    found = pii.Finder({"phone": (Shape(), 0.5), "card": (Shape(), 0.95)}).added(text, pii.base_spans(text))
+    assert [(k, text[a:b]) for k, a, b in found] == [("phone", phone), ("card", card)]
+    assert max(b - a for _, a, b in pii.candidates("12 " * 5000)) <= 30
+
+
+def test_pii_threshold_follows_precision():
+    v, y = np.array([0.9, 0.8, 0.8, 0.7, 0.6, 0.2]), np.array([1, 1, 1, 1, 0, 0.0])
+    assert math.isclose(pii.threshold(v, y, 0.95), 0.65) and math.isclose(pii.threshold(v, y, 0.8), 0.4) and pii.threshold(v, 1 - y, 0.95) == float("inf")
+
+
 def test_trees_learn_a_rule():
     x = np.random.default_rng(0).normal(size=(2000, 5))
     y = ((x[:, 1] > 0.3) & (x[:, 3] < 0.5)).astype(float)
