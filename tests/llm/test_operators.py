@@ -154,6 +154,19 @@ def test_compact_windows_cover_every_passage():
     assert set(cells.values()) == {1} and len(cells) == sum(200 - n + 1 for n in range(20, 201))
 
 
+def test_similar_passages_share_enough_minima():
+    rng = np.random.default_rng(7)
+    least, met = substring.LEAST_WORDS - substring.SHINGLE + 1, 0
+    for _ in range(1000):
+        p = rng.integers(0, 1 << 62, 50).astype(np.uint64)
+        q = p.copy()
+        q[10 + rng.integers(0, 30)] = rng.integers(0, 1 << 62)
+        a, b = (wordhash.shingles(np.concatenate([rng.integers(0, 1 << 62, 40).astype(np.uint64), x, rng.integers(0, 1 << 62, 40).astype(np.uint64)])) for x in (p, q))
+        keys = [[{int(h[c]) for _, c, _ in substring.compact_windows(h, least)} for h in (wordhash.mix(a ^ s), wordhash.mix(b ^ s))] for s in substring._SEEDS]
+        met += sum(bool(x & y) for x, y in keys) >= substring.ENOUGH
+    assert met >= 999
+
+
 def test_decontamination_equals_brute_force(spark):
     items = [(1, prose(20, 1)), (2, prose(25, 2)), (3, None), (4, "short"), (5, prose(30, 5))]
     damaged = list(decontam.normalise(items[1][1]))
