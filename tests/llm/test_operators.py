@@ -107,8 +107,7 @@ def test_neardup_classes_equal_brute_force(spark):
     assert got == {i: find(i) for i in sets}
 
 
-def test_neardup_large_buckets_by_prefixes(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL_BUCKET", 1)
+def test_neardup_large_buckets(spark):
     t = prose(120, 5).split()
     rows = []
     for i in range(30):
@@ -122,6 +121,45 @@ def test_neardup_large_buckets_by_prefixes(spark, monkeypatch):
     assert {i for i, n in got.items() if n > 1} == linked
 
 
+@pytest.mark.parametrize("kind", ["replaced", "cut", "mixed"])
+def test_neardup_links_between_components_of_a_bucket(spark, kind):
+    """Texts far from the hub are found through each other, in groups whose texts differ by much more than is allowed."""
+    base = prose(100, 15).split()
+    rows = []
+    for i in range(90):
+        w, r = list(base), random.Random(1000 + i)
+        if kind == "cut":
+            w = w[i // 2 : len(w) - r.randint(0, i // 3)]
+        else:
+            near = random.Random(i // 3)  # three texts share most of their edits
+            for _ in range(near.randint(0, 8)):
+                w[near.randrange(len(w))] = f"new{near.randint(0, 30)}"
+            if kind == "mixed" and i % 2:
+                del w[near.randrange(60) : near.randrange(60, 100) - 20]
+            for _ in range(r.randint(0, 2)):
+                w[r.randrange(len(w))] = f"own{i}"
+        rows.append((i, " ".join(w)))
+    seqs = {i: neardup._labelled((wordhash.words(t)[0] & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes()) for i, t in rows}
+    parent = {i: i for i in seqs}
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in seqs:
+        for b in seqs:
+            if a < b and len(set(seqs[a]) & set(seqs[b])) / len(set(seqs[a]) | set(seqs[b])) >= 0.8:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x["doc_id"]: x["class_id"] for x in neardup.classes(docs(spark, rows)).collect()}
+    assert got == {i: find(i) for i in seqs}
+
+
+def test_neardup_rows_of_one_document(spark):
+    a, b = prose(60, 1), prose(60, 2)
+    rows = [(1, a), (1, a), (2, a), (3, b), (4, b), (4, a), (5, prose(60, 3)), (5, prose(60, 3)), (None, a), (None, a)]
+    assert {x["doc_id"]: x["class_id"] for x in neardup.classes(docs(spark, rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5}
+    assert sorted((str(r["doc_id"]), r["text"]) for r in neardup.keep_first(docs(spark, rows)).collect()) == sorted([("1", a), ("5", prose(60, 3)), ("None", a), ("None", a)])
+
+
 def test_neardup_odd_rows(spark):
     got = {x["doc_id"]: x["class_id"] for x in neardup.classes(docs(spark, ODD)).collect()}
     assert (got[1], got[2], got[4], got[5]) == (1, 1, 4, 4) and None not in got

@@ -5,15 +5,16 @@ occurrence-labelled five-word shingles of a text and keeps them in text order; t
 such an ordered sample meet in a bucket.  A banded alignment of the labelled shingles checks
 pairs: the shingles aligned in order, over all shingles of both, must reach the similarity.
 
-No bucket is expanded into all its pairs.  First each text of a bucket meets the bucket's most
-central text of about its length; the links found make components.  Then what is outside a
-bucket's largest component meets the bucket's texts of other components (in large buckets those
-with which it shares one of its first shingles, the hub's own ordered last), so that no two
-components that share a bucket stay apart while a link between them exists there.
+No bucket is expanded into all its pairs.  First each text of a bucket meets the bucket's hub, its
+most central text, and the most central one of about its length; the links found make components.
+Where components share a bucket, each text is then told by its difference to the hub, and texts of
+two components meet only where their differences share a seldom shingle among the first few: a
+bound that no similar pair falls below.  So no two components that share a bucket stay apart while
+a link exists there, but for texts that hold nearly the hub's shingles in another order.
 
 Defined cases: null and empty texts are one class of exact copies; a text of fewer than five words
 is one shingle; rows without ``doc_id`` are left out; rows with the same ``doc_id`` are one
-document of the graph; an empty table gives an empty result; columns other than ``doc_id`` and
+document of the graph, whatever their texts; an empty table gives an empty result; columns other than ``doc_id`` and
 ``text`` are ignored by ``classes`` and kept by ``keep_first``.
 """
 
@@ -32,8 +33,6 @@ from .common import saved
 from .components import components
 
 SAMPLES, PICKED, SHINGLE, SIMILARITY = 24, 4, 5, 0.8
-#: Buckets of more texts are not paired but joined on the prefixes of their rarest shingles.
-SMALL_BUCKET = 16
 _SEEDS = wordhash.mix(np.arange(1, SAMPLES + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
@@ -41,7 +40,7 @@ def order_minhash(s: np.ndarray) -> np.ndarray:
     """One value for each hash function: the picked shingles, in text order, hashed together."""
     if not len(s):
         return np.array([], np.uint64)
-    labelled = wordhash.mix(s + wordhash.occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    labelled = _labels(s)
     pick = min(PICKED, len(s))
     out = np.empty(SAMPLES, np.uint64)
     rows = max(1, min(SAMPLES, (1 << 20) // len(s)))
@@ -55,6 +54,15 @@ def order_minhash(s: np.ndarray) -> np.ndarray:
     return out
 
 
+def _labels(s: np.ndarray) -> np.ndarray:
+    """Shingles told apart by how often they came before."""
+    return wordhash.mix(s + wordhash.occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def _labelled(seq: bytes) -> np.ndarray:
+    return _labels(wordhash.shingles(np.frombuffer(seq, np.uint32).astype(np.uint64), SHINGLE))
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> float:
     """Shingles aligned in order within a diagonal band, over all of both; 0 if ``least`` is out of reach.
 
@@ -66,7 +74,7 @@ def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY)
         return float(len(a) == len(b))
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
-    x, y = (wordhash.mix(s + wordhash.occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) for s in (a, b))
+    x, y = _labels(a), _labels(b)
     _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
     total = len(a) + len(b)
     need = least / (1 + least) * total
@@ -120,82 +128,84 @@ def _verified(pairs: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame
     return met.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def _mixed(bucket: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows of buckets that hold several components, with their own and the bucket's largest."""
-    tagged = bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    per = tagged.groupBy("j", "v", "component").agg(F.count("*").alias("k")).groupBy("j", "v").agg(F.max(F.struct("k", F.col("component").alias("main"))).alias("m"), F.count("*").alias("parts")).filter("parts > 1")
-    return saved(tagged.join(per.select("j", "v", F.col("m.main").alias("main")), ["j", "v"]), "omh-mixed")
-
-
-def _by_prefixes(rows: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
-    """Candidate pairs (``a``, ``b``) between components of large buckets, none of the similar ones left out.
+def _apart(bucket: DataFrame, comp: DataFrame, seqs: DataFrame, similarity: float) -> DataFrame:
+    """Candidate pairs (``a``, ``b``) between components that share a bucket, none of the similar ones left out.
 
-    Each text's labelled shingles are ordered, those of the bucket's hub last.  Of two texts that
-    reach the similarity, each holds a shared one among its first n - overlap + 1; the shingles of
-    what all the bucket's texts share are seldom among them.
+    A text is told by its difference to the bucket's hub: the shingles of one of the two.  If two
+    texts are similar and one of them is not near the hub, their differences share more than a
+    given number of shingles, so each holds a shared one among its first few in any order; the
+    order is by how many of the hub's bucket have the shingle, so that few texts meet.
     """
-    hub = rows.groupBy("j", "v").agg(F.min(F.struct((-F.col("degree")).alias("d"), F.col("doc_id").alias("hub"), F.col("component").alias("hub_comp"))).alias("h")).select("j", "v", "h.hub", "h.hub_comp")
-    member = saved(rows.join(hub, ["j", "v"]).select("hub", "hub_comp", "doc_id", "n", "component").distinct(), "omh-members")
-    two = member.join(seqs, "doc_id").join(seqs.select(F.col("doc_id").alias("hub"), F.col("seq").alias("hub_seq")), "hub")
+    slack = (1 - similarity) / (1 + similarity)  # of the shingles of both texts, those left out at most
+    tagged = bucket.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # the star has met every pair of buckets of two
+    per = tagged.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many"), F.min(F.struct((-F.col("degree")).alias("d"), F.col("doc_id").alias("hub"))).alias("m")).filter("lo < hi and many > 2")
+    member = tagged.join(per.select("h", F.col("m.hub").alias("hub")), "h").filter("doc_id <> hub").select("hub", "doc_id", "component").distinct()
+    two = saved(member, "omh-members").join(seqs, "doc_id").join(seqs.select(F.col("doc_id").alias("hub"), F.col("seq").alias("hub_seq")), "hub")
 
-    def prefixes(batches):
+    def differences(batches):
         last = (None, None)
         for b in batches:
             out = []
-            for x, h in zip(b.column(5), b.column(6)):
+            for hub, x, h in zip(b.column(0).to_pylist(), b.column(3), b.column(4)):
                 x, h = x.as_py(), h.as_py()
                 if last[0] != h:
                     last = (h, _labelled(h))
                 mine = _labelled(x)
-                order = np.lexsort((mine, np.isin(mine, last[1])))
-                out.append(mine[order[: len(mine) - int(np.ceil(similarity * len(mine) - 1e-9)) + 1]].view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(out, pa.list_(pa.int64()))], ["hub", "hub_comp", "doc_id", "n", "component", "first"])
-
-    firsts = two.select("hub", "hub_comp", "doc_id", "n", "component", "seq", "hub_seq").mapInArrow(prefixes, "hub long, hub_comp long, doc_id long, n int, component long, first array<long>")
-    firsts = saved(firsts.select("hub", "hub_comp", "doc_id", "n", "component", F.posexplode("first").alias("rank", "s")), "omh-prefixes")
-    # shingles of a single component link nothing
-    several = firsts.groupBy("hub", "s").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("hub", "s")
-    firsts = firsts.join(several, ["hub", "s"])
-    odd = firsts.filter("component <> hub_comp").select("hub", "s", F.col("doc_id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"), F.col("rank").alias("orank"))
-    overlap = F.ceil((F.col("n") + F.col("on")) * (similarity / (1 + similarity)) - 1e-9)
-    met = firsts.join(odd, ["hub", "s"]).filter((F.col("component") != F.col("oc")) & (F.col("rank") <= F.col("n") - overlap) & (F.col("orank") <= F.col("on") - overlap) & ((F.col("component") == F.col("hub_comp")) | (F.col("doc_id") < F.col("o"))))
-    return met.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
-
-
-def _labelled(seq: bytes) -> np.ndarray:
-    s = wordhash.shingles(np.frombuffer(seq, np.uint32).astype(np.uint64), SHINGLE)
-    return wordhash.mix(s + wordhash.occurrences(s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                delta = np.setxor1d(mine, last[1], assume_unique=True)
+                n, nh, d = len(mine), len(last[1]), len(delta)
+                odd = d > slack * (n + nh) + 1e-9
+                least = np.ceil((d - n * (1 + 1 / similarity) * slack) / 2 - 1e-9) if odd else np.floor((d + (nh - n) * slack) / 2 + 1e-9) + 1
+                salt = wordhash.mix(np.array([hub], np.int64).view(np.uint64))
+                out.append((n, d, bool(odd), max(1, int(least)), wordhash.mix(delta ^ salt).view(np.int64)))
+            cols = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *cols], ["hub", "doc_id", "component", "n", "d", "odd", "least", "keys"])
+
+    told = saved(two.select("hub", "doc_id", "component", "seq", "hub_seq").mapInArrow(differences, "hub long, doc_id long, component long, n int, d int, odd boolean, least int, keys array<long>"), "omh-differences")
+    each = told.select("hub", "doc_id", "component", "n", "d", "odd", "least", F.explode("keys").alias("key"))
+    # shingles that no pair of two components shares link nothing: they stand first in every order
+    several = each.groupBy("key").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("odd").alias("any_odd")).filter("lo < hi and any_odd").select("key", "f")
+    shared = each.join(several, "key").groupBy("hub", "doc_id", "component", "n", "d", "odd", "least").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
+    first = shared.select("doc_id", "component", "n", "d", "odd", "least", (F.col("d") - F.size("keys")).alias("before"), F.posexplode("keys").alias("place", "k"))
+    first = saved(first.select("doc_id", "component", "n", "d", "odd", "least", (F.col("before") + F.col("place")).alias("rank"), F.col("k.key").alias("key")).filter("rank <= d - least").drop("least"), "omh-first")
+    far = first.filter("odd").select("key", F.col("doc_id").alias("o"), F.col("component").alias("oc"), F.col("n").alias("on"), F.col("d").alias("od"), F.col("rank").alias("orank"))
+    both = F.greatest(F.ceil((F.col("d") + F.col("od") - (F.col("n") + F.col("on")) * slack) / 2 - 1e-9), F.lit(1))
+    close = F.least("n", "on") >= similarity * F.greatest("n", "on")
+    met = first.join(far, "key").filter((F.col("component") != F.col("oc")) & (~F.col("odd") | (F.col("doc_id") < F.col("o"))) & close & (F.col("rank") <= F.col("d") - both) & (F.col("orank") <= F.col("od") - both))
+    return met.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``class_id`` (the smallest doc_id of its class) and ``n_in_class`` of every row."""
-    sk = saved(sketches(docs), "omh-sketches")
+    return _classes(saved(sketches(docs), "omh-sketches"), similarity)
+
+
+def _classes(sk: DataFrame, similarity: float) -> DataFrame:
     first = sk.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     # one row for each different text
-    texts = saved(sk.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select("doc_id", "n", "sketch").dropDuplicates(["doc_id"]), "omh-texts")
-    # texts whose lengths differ more cannot be similar enough; neighbouring steps meet in the second round
-    step = F.floor(F.log(F.greatest(F.col("n"), F.lit(1)).cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
-    bucket = texts.filter("n > 0").select("doc_id", "n", step.alias("step"), F.posexplode("sketch").alias("j", "v"))
-    shared = bucket.groupBy("j", "v").agg(F.count("*").alias("size")).filter("size > 1")
-    bucket = bucket.join(shared, ["j", "v"])
+    texts = saved(sk.join(first.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"]).select("doc_id", "n", "sketch").distinct(), "omh-texts")
+    bucket = texts.filter("n > 0").select("doc_id", "n", F.posexplode("sketch").alias("j", "v")).select(F.xxhash64("j", "v").alias("h"), "doc_id", "n")
+    shared = bucket.groupBy("h").agg(F.count("*").alias("size")).filter("size > 1")
+    bucket = bucket.join(shared, "h")
     # texts that share buckets with many are central to their group, and serve it as hub
     central = bucket.groupBy("doc_id").agg(F.sum("size").alias("degree"))
-    bucket = saved(bucket.join(central, "doc_id"), "omh-buckets")
-    star = bucket.groupBy("j", "v", "step").agg(F.min(F.struct((-F.col("degree")).alias("d"), "doc_id", "n")).alias("hub"))
-    close = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b)
-    pairs = bucket.join(star, ["j", "v", "step"]).filter(close(F.col("n"), F.col("hub.n")) & (F.col("doc_id") != F.col("hub.doc_id")))
-    pairs = saved(pairs.select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")).distinct(), "omh-pairs")
-    seqs = saved(sk.select("doc_id", "seq").join(bucket.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "omh-seqs")
-    links = saved(_verified(pairs, seqs, similarity), "omh-links")
+    bucket = saved(bucket.join(central, "doc_id").select("h", "doc_id", "n", "degree"), "omh-buckets")
+    # the hub of the whole bucket, and that of its texts of about the same length
+    step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1 / similarity))).cast("int")
+    hub = F.min(F.struct((-F.col("degree")).alias("d"), "doc_id", "n")).alias("hub")
+    tagged = bucket.withColumn("step", step)
+    met = tagged.join(bucket.groupBy("h").agg(hub), "h").select("doc_id", "n", "hub").unionByName(tagged.join(tagged.groupBy("h", "step").agg(hub), ["h", "step"]).select("doc_id", "n", "hub"))
+    close = F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n")
+    pairs = met.filter(close & (F.col("doc_id") != F.col("hub.doc_id"))).select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"))
+    pairs = saved(pairs.distinct(), "omh-pairs")
+    seqs = saved(sk.select("doc_id", "seq").join(bucket.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "omh-seqs")
+    # several texts under one id are one document
+    mixed = sk.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
+    reps = sk.join(mixed, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(first, "digest").select("doc_id", "rep")
+    same = reps.join(reps.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("rep <> a").select("a", F.col("rep").alias("b"))
+    links = saved(_verified(pairs, seqs, similarity).unionByName(same), "omh-links")
     comp = components(links)
-    mixed = _mixed(bucket, comp)
-    # at last: between all components of a bucket that are still apart; small buckets by pairs, large ones by prefixes
-    few = mixed.filter(F.col("size") <= SMALL_BUCKET)
-    near = F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step")
-    odd = few.filter("component <> main").select("j", "v", near, F.col("doc_id").alias("o"), F.col("n").alias("on"), F.col("component").alias("oc"))
-    cross = few.join(odd, ["j", "v", "step"]).filter((F.col("component") != F.col("oc")) & close(F.col("n"), F.col("on")) & ((F.col("component") == F.col("main")) | (F.col("doc_id") < F.col("o"))))
-    cross = cross.select(F.least("doc_id", "o").alias("a"), F.greatest("doc_id", "o").alias("b"))
-    cross = cross.union(_by_prefixes(mixed.filter(F.col("size") > SMALL_BUCKET), seqs, similarity)).distinct().join(pairs, ["a", "b"], "left_anti")
+    cross = _apart(bucket, comp, seqs, similarity).join(pairs, ["a", "b"], "left_anti")
     more = saved(_verified(saved(cross, "omh-cross"), seqs, similarity), "omh-links2")
     if not more.isEmpty():
         comp = components(links.unionByName(more))
@@ -205,6 +215,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The documents without near duplicates: of each class the row with the smallest ``doc_id`` stays; rows without ``doc_id`` stay."""
-    found = classes(docs, similarity).filter("doc_id <> class_id").select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The documents without near duplicates: of each class the row with the smallest ``doc_id`` stays; rows without ``doc_id`` stay.
+
+    Of several rows with that ``doc_id`` the one whose text (then whose other columns) sorts first stays.
+    """
+    sk = saved(sketches(docs), "omh-sketches")
+    found = _classes(sk, similarity).filter("doc_id <> class_id").select("doc_id").distinct()
+    kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    again = saved(sk.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "omh-again")
+    if again.isEmpty():
+        return kept
+    whole = F.struct(*docs.columns)
+    one = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.struct("text", F.to_json(whole))).alias("row"))
+    return kept.join(again, "doc_id", "left_anti").unionByName(one.select("row.*").select(*docs.columns))
