@@ -180,8 +180,9 @@ def test_passages_that_repeat(spark):
     assert substring.passages(docs(spark, [])).count() == 0
 
 
-def test_compact_windows_cover_every_passage():
-    h = np.random.default_rng(1).integers(0, 1 << 60, 200).astype(np.uint64)
+@pytest.mark.parametrize("values", [1 << 60, 12])
+def test_compact_windows_cover_every_passage(values):
+    h = np.random.default_rng(1).integers(0, values, 200).astype(np.uint64)
     cells = collections.Counter()
     for a, c, z in substring.compact_windows(h, 20):
         for i in range(a, c + 1):
@@ -192,6 +193,43 @@ def test_compact_windows_cover_every_passage():
     assert set(cells.values()) == {1} and len(cells) == sum(200 - n + 1 for n in range(20, 201))
 
 
+@pytest.mark.parametrize("where", [0, 3, 9, 25, 49, 58, 59])
+def test_best_passage_has_an_edit_anywhere(where):
+    rng = np.random.default_rng(where)
+    p = rng.integers(0, 1 << 62, 60).astype(np.uint64)
+    q = p.copy()
+    q[where] = 1
+    a, b = (wordhash.shingles(np.concatenate([rng.integers(0, 1 << 62, 30).astype(np.uint64), x, rng.integers(0, 1 << 62, 30).astype(np.uint64)])) for x in (p, q))
+    s, e, s2, e2, sim = substring.best_passage(a, b, 46)
+    pairs = [(i, j) for i in range(len(a)) for j in range(len(b)) if a[i] == b[j]]
+    want = max(y - x for x, _ in pairs for y, _ in pairs if y - x >= 45 and 1.8 * sum(x <= i <= y for i, _ in pairs) >= 1.6 * (y - x + 1))
+    assert e - s - 1 == want and sim >= 0.8 and (s, e) == (s2, e2)
+
+
+def test_passages_with_edits_and_partial_copies(spark):
+    """Passages of 60 words with one changed word; the first text holds only a part of the last ones' passage."""
+    rows = []
+    for i in range(60):
+        p = prose(60, 500 + i).split()
+        q = list(p)
+        q[i] = "changed"
+        rows += [(1000 + 2 * i, f"{prose(40, 3000 + i)} {' '.join(p)} {prose(40, 4000 + i)}"), (1001 + 2 * i, f"{prose(40, 5000 + i)} {' '.join(q)} {prose(40, 6000 + i)}")]
+    shared = prose(80, 7).split()
+    rows += [(i, f"{prose(70, 8000 + i)} {' '.join(shared[:30])} {prose(70, 8100 + i)}") for i in range(5)] + [(i, f"{prose(70, 8000 + i)} {' '.join(shared)} {prose(70, 8100 + i)}") for i in (10, 11, 12)]
+    out = substring.passages(docs(spark, rows)).collect()
+    met = {(r["doc_id"], r["other_id"]) for r in out} | {(r["other_id"], r["doc_id"]) for r in out}
+    assert sum((1000 + 2 * i, 1001 + 2 * i) in met for i in range(60)) >= 57
+    assert {a for a, _ in met if a < 1000} == {10, 11, 12} and all((a < 1000) == (b < 1000) and abs(a - b) < 3 for a, b in met)
+
+
+def test_passages_of_repeated_lines_and_rows(spark, monkeypatch):
+    monkeypatch.setattr(substring, "HOT", 4)
+    line = prose(60, 1)
+    rows = [(i, f"{prose(30, 100 + i)} {line} {prose(30, 200 + i)}") for i in range(40)] + [(100, f"{line}\n" * 200), (101, "same " * 50000), (102, "same " * 60000), (103, prose(90, 9)), (103, prose(90, 9)), (104, prose(90, 10)), (104, prose(95, 11))]
+    out = substring.passages(docs(spark, rows)).collect()
+    assert {r["doc_id"] for r in out} | {r["other_id"] for r in out} == {*range(40), 100, 101, 102, 103}
+
+
 def test_similar_passages_share_enough_minima():
     rng = np.random.default_rng(7)
     least, met = substring.LEAST_WORDS - substring.SHINGLE + 1, 0

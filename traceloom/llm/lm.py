@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .common import bucketed, saved
+from .packed import by_part, numbers, planes
 
 #: Classes with a single word, and hashed classes.
 OWN, SHARED = 64, 16
@@ -42,15 +43,6 @@ def tokens(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """Numbers below 2**32 with their bytes set apart, so that they compress."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _numbers(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def blocks(docs: DataFrame, block_chars: int = 0) -> DataFrame:
     """Texts in blocks: ``words`` (hashes, the frequent first), ``at`` (each token's place in them) and ``many`` (tokens of each document)."""
     block_chars = block_chars or BLOCK_CHARS
@@ -63,7 +55,7 @@ def blocks(docs: DataFrame, block_chars: int = 0) -> DataFrame:
             order = np.argsort(-times, kind="stable")
             place = np.empty(len(words), np.int64)
             place[order] = np.arange(len(words))
-            cols = ([(part << 32) + n], [ids], [[len(k) for k in keys]], [words[order].tobytes()], [_planes(place[at])])
+            cols = ([(part << 32) + n], [ids], [[len(k) for k in keys]], [words[order].tobytes()], [planes(place[at])])
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()))], ["block", "doc_ids", "many", "words", "at"])
 
         for b in batches:
@@ -105,15 +97,8 @@ def window_keys(words: np.ndarray, at: np.ndarray, many: np.ndarray):
     return pair[first], (full >> np.uint64(32)).astype(np.uint32), n, which
 
 
-def _order(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys by part, and where each part begins."""
-    home = (wordhash.mix(key) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(home, kind="stable")
-    return order, np.concatenate([[0], np.cumsum(np.bincount(home, minlength=parts))])
-
-
 def _opened(words: bytes, at: bytes, many) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(words, np.uint64), _numbers(at), np.array(many, np.int64)
+    return np.frombuffer(words, np.uint64), numbers(at), np.array(many, np.int64)
 
 
 def _counted(corpus: DataFrame, asked: DataFrame | None, keys, parts: int, name: str, summary: bool = False) -> DataFrame:
@@ -125,10 +110,10 @@ def _counted(corpus: DataFrame, asked: DataFrame | None, keys, parts: int, name:
             for b in batches:
                 for block, words, at, many in ([c[i].as_py() for c in b.columns] for i in range(b.num_rows)):
                     key, fine, n, _ = keys(*_opened(words, at, many))
-                    order, cut = _order(key, parts)
+                    order, cut = by_part(key, parts)
                     key, fine, n = key[order], fine[order], n[order] if counts else np.zeros(len(key), np.int64)
                     some = np.flatnonzero(np.diff(cut)).tolist()
-                    cols = (some, [block] * len(some), *([x[cut[p] : cut[p + 1]].tobytes() for p in some] for x in (key, fine)), [_planes(n[cut[p] : cut[p + 1]]) for p in some])
+                    cols = (some, [block] * len(some), *([x[cut[p] : cut[p + 1]].tobytes() for p in some] for x in (key, fine)), [planes(n[cut[p] : cut[p + 1]]) for p in some])
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "block", "key", "fine", "n"])
 
         return held.select("block", "words", "at", "many").mapInArrow(rows, "part int, block long, key binary, fine binary, n binary")
@@ -136,7 +121,7 @@ def _counted(corpus: DataFrame, asked: DataFrame | None, keys, parts: int, name:
     def count(group: pa.Table) -> pa.Table:
         raw = {c: group.column(c).to_pylist() for c in group.column_names}
         key, fine = np.concatenate([np.frombuffer(x, np.uint64) for x in raw["key"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in raw["fine"]])
-        n = np.concatenate([_numbers(x) for x in raw["n"]])
+        n = np.concatenate([numbers(x) for x in raw["n"]])
         order = np.lexsort((fine, key))
         k, f = key[order], fine[order]
         new = np.concatenate([[True], k[1:] != k[:-1]])
@@ -148,7 +133,7 @@ def _counted(corpus: DataFrame, asked: DataFrame | None, keys, parts: int, name:
             each[order] = np.repeat(np.add.reduceat(n[order], start), np.diff(np.append(start, len(key))))
             found.append(np.minimum(each, 0xFFFFFFFF))
         cut = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw["key"]])])
-        out = [(b, p, *(_planes(x[a:z]) for x in found)) for b, p, a, z in zip(raw["block"], raw["part"], cut[:-1].tolist(), cut[1:].tolist())]
+        out = [(b, p, *(planes(x[a:z]) for x in found)) for b, p, a, z in zip(raw["block"], raw["part"], cut[:-1].tolist(), cut[1:].tolist())]
         if summary:
             one = order[new]
             words, times = key[one], found[0][one]
@@ -289,11 +274,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             w, at, many = _opened(*block)
 
             def counts(kind: bool, key: np.ndarray) -> list[np.ndarray]:
-                order, cut = _order(key, parts)
+                order, cut = by_part(key, parts)
                 found = [np.empty(len(key), np.int64) for _ in range(2)]
                 for p in np.flatnonzero(np.diff(cut)).tolist():
                     for x, data in zip(found, replies[kind, p]):
-                        x[order[cut[p] : cut[p + 1]]] = _numbers(data)
+                        x[order[cut[p] : cut[p + 1]]] = numbers(data)
                 return found
 
             logs = np.zeros(0)
