@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -58,3 +59,30 @@ def test_rewritten_file_is_read_again(spark, tmp_path):
     span = r.partitions(first, second)[0]
     assert span.rewound and [x[1] for x in r.read(span)][0] == 0
     assert r.latestOffset() == second
+
+
+def test_rewrite_behind_the_first_kilobyte_is_seen(spark, tmp_path):
+    file = tmp_path / "a.jsonl"
+    text = "".join(lines(40))
+    file.write_text(text)
+    r = incremental.TranscriptReader({"path": str(tmp_path)})
+    first = r.latestOffset()
+    assert r.latestOffset() == first
+    file.write_text(text[:3000] + text[3000:].replace("s1-3", "s1-X"))
+    os.utime(file, ns=(0, 12345))
+    assert [s.rewound for s in r.partitions(first, r.latestOffset())] == [True]
+
+
+def test_a_session_that_vanishes_leaves_no_rows(spark, tmp_path):
+    out = str(tmp_path / "out")
+    table = incremental.FactTable(spark, out, {"turns": lambda f: turns.turn_rollup(f)}, buckets=8)
+    names = [f"s{i}" for i in range(1, 6)]
+
+    def put(session, rewound):
+        rows = spark.createDataFrame([("f", i, len(t), t) for i, t in enumerate(lines(4, session))], "path string, offset long, length int, text string")
+        table.batch(facts_of(rows).withColumn("rewound", F.lit(rewound)))
+
+    for k, name in enumerate(names):  # the file is rewritten for another session each time
+        put(name, k > 0)
+        for t in ("facts", "turns"):
+            assert {r["session_id"] for r in spark.read.parquet(f"{out}/{t}").select("session_id").collect()} == {name}

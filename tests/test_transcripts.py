@@ -93,3 +93,22 @@ def test_order_of_rows_changes_no_digest(spark):
     a = spark.range(100).select("id", (F.col("id") % 7).alias("k"))
     assert quality.digest_differences({"t": a}, {"t": a.orderBy(F.desc("k"))}, {"t": ["id", "k"]}) == []
     assert quality.digest_differences({"t": a}, {"t": a.limit(99)}, {"t": ["id", "k"]}) == ["t"]
+
+
+def test_event_rules_by_hand(spark):
+    big = {"type": "assistant", "sessionId": "s", "timestamp": "2026-01-01T00:00:00Z", "message": {"model": "m", "usage": {"output_tokens": 100}, "content": [{"type": "thinking", "thinking": "x" * 10}, {"type": "tool_use", "id": "t1", "name": "Bash", "input": {"command": "y" * 6, "opts": {"a": "zzzz", "n": 3, "e": ""}}}, {"type": "tool_use", "id": "t2", "name": "Bash", "input": {}}]}}
+    made = [big, {"type": "system", "sessionId": "s"}, {"type": "system", "sessionId": "s", "subtype": "init"}, {"type": "foo-bar", "sessionId": "s"}, {"type": "ai-title", "sessionId": "s", "aiTitle": "T"}, {"type": "permission-mode", "sessionId": "s", "permissionMode": "plan"}, {"type": "frame-link", "sessionId": "s", "frameUrl": "u", "path": "p"}, {"type": "file-history-snapshot", "sessionId": "s", "snapshot": {"trackedFileBackups": {"a.py": {"backupFileName": "b1", "backupTime": "t"}, "node_modules/x.js": {"backupFileName": "b2", "backupTime": "t"}}}}]
+    rows = spark.createDataFrame([("f.jsonl", i, 1, json.dumps(x)) for i, x in enumerate(made)], "path string, offset long, length int, text string")
+    base = events.base(transcripts.parsed(rows).filter("not bad"))
+    kinds = [r["event_type"] for r in events.facts(base).orderBy("offset").collect()]
+    assert kinds == ["tool_decision", "system_event", "system_init", "foo-bar", "ai_title", "permission_mode", "frame_link", "file_history_snapshot"]
+    assert [r["thinking_tokens"] for r in events.usage(base).collect()] == [50]
+    assert [r["text"] for r in events.spans(base).filter("field = 'tool_input'").collect()] == ["y" * 6 + "\n" + "zzzz"]
+    assert [r["file"] for r in events.checkpoints(base).collect()] == ["a.py"]
+    assert [(r["url"], r["file"]) for r in events.frames(base).collect()] == [("u", "p")]
+
+
+def test_elapsed_text(spark):
+    for seconds, want in ((59 * 60, "just now"), (3600, "1 hour ago"), (23 * 3600, "23 hours ago"), (13 * 86400, "13 days ago"), (14 * 86400, "14 days ago — likely needs context refresher")):
+        at = spark.range(1).select(X.elapsed_text(F.timestamp_seconds(F.lit(0)), F.timestamp_seconds(F.lit(seconds))).alias("t"))
+        assert at.first()["t"] == want

@@ -175,10 +175,10 @@ def pr_number(value: Column) -> Column:
 
 
 def elapsed_text(since: Column, now: Column) -> Column:
-    minutes = F.floor((F.unix_micros(now) - F.unix_micros(since)) / 60_000_000)
-    hours, days = F.floor(minutes / 60), F.floor(minutes / 1440)
+    hours = F.floor((F.unix_micros(now) - F.unix_micros(since)) / 3_600_000_000)
+    days = F.floor(hours / 24)
     say = lambda n, unit: F.concat(n.cast("string"), F.lit(f" {unit}"), F.when(n == 1, "").otherwise("s"), F.lit(" ago"))
-    return F.when(minutes < 1, "just now").when(minutes < 60, say(minutes, "minute")).when(hours < 24, say(hours, "hour")).otherwise(say(days, "day"))
+    return F.when(hours < 1, "just now").when(hours < 24, say(hours, "hour")).when(days < 14, say(days, "day")).otherwise(F.concat(say(days, "day"), F.lit(" — likely needs context refresher")))
 
 
 def slug(label: Column) -> Column:

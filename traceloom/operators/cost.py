@@ -88,3 +88,9 @@ def totals(usage: DataFrame, kinds: tuple[str, ...] = KINDS) -> tuple[DataFrame,
     """Over all, and per model."""
     aggs = [F.sum(k).alias(k) for k in kinds]
     return usage.agg(*aggs), usage.groupBy("model").agg(*aggs)
+
+
+def ranking(costs: DataFrame, key: str, value: str = "cost", most: int = 10) -> DataFrame:
+    """the dearest keys with their place, ties to the smaller key; unpriced ones have none."""
+    top = costs.filter(F.col(value).isNotNull()).orderBy(F.desc(value), key).limit(most)
+    return top.select(key, value, F.row_number().over(Window.orderBy(F.desc(value), key)).cast("long").alias("place"))

@@ -17,6 +17,8 @@ from ..functions import exprs as X
 
 BLOCK = "array<struct<type: string, text: string, thinking: string, id: string, name: string, input: variant, tool_use_id: string, is_error: boolean, content: variant>>"
 SPAN_CAP, SEED_CAP = 16_384, 240
+#: Line types whose events are named with underscores; others keep their name.
+KNOWN = ("pr-link", "ai-title", "last-prompt", "frame-link", "mode", "permission-mode", "attachment", "file-history-snapshot")
 FILE_TOOLS = ("Read", "Write", "Edit", "MultiEdit", "NotebookEdit")
 
 
@@ -37,8 +39,9 @@ def base(lines: DataFrame) -> DataFrame:
     kind = (
         F.when(F.col("type") == "user", F.when(prompt, "user_prompt").when(failed, "tool_result_error").otherwise("tool_result"))
         .when(F.col("type") == "assistant", F.when(F.size(uses) > 0, "tool_decision").otherwise("assistant_response"))
-        .when(F.col("type") == "system", F.concat(F.lit("system_"), F.coalesce(X.json_str(F.col("v"), "$.subtype"), F.lit("unknown"))))
-        .otherwise(F.regexp_replace("type", "-", "_"))
+        .when(F.col("type") == "system", F.concat(F.lit("system_"), F.coalesce(X.json_str(F.col("v"), "$.subtype"), F.lit("event"))))
+        .when(F.col("type").isin(*KNOWN), F.translate("type", "-", "_"))
+        .otherwise(F.col("type"))
     )
     return rows.withColumn("event_type", kind).withColumn("uses", uses)
 
@@ -77,7 +80,7 @@ def pr_links(rows: DataFrame) -> DataFrame:
 def frames(rows: DataFrame) -> DataFrame:
     """B10."""
     v = F.col("v")
-    return rows.filter("type = 'frame-link'").select("path", "offset", "session_id", "ts", X.json_str(v, "$.frameUrl").alias("url"), X.json_str(v, "$.title").alias("title"), F.lit("frame").alias("kind")).filter("url is not null")
+    return rows.filter("type = 'frame-link'").select("path", "offset", "session_id", "ts", X.json_str(v, "$.frameUrl").alias("url"), X.json_str(v, "$.title").alias("title"), X.json_str(v, "$.path").alias("file"), F.lit("frame").alias("kind")).filter("url is not null")
 
 
 def phases(rows: DataFrame) -> DataFrame:
@@ -94,10 +97,10 @@ def human_edits(rows: DataFrame) -> DataFrame:
 
 
 def checkpoints(rows: DataFrame) -> DataFrame:
-    """One row per file and backup."""
+    """One row per file and backup, without ignored paths."""
     backups = F.from_json(F.to_json(F.try_variant_get("v", "$.snapshot.trackedFileBackups", "variant")), "map<string, struct<backupFileName: string, version: long, backupTime: string>>")
     out = rows.filter("type = 'file-history-snapshot'").select("path", "offset", "session_id", "ts", F.explode(backups).alias("file", "b")).select("path", "offset", "session_id", "ts", "file", "b.*")
-    return out.filter("backupFileName is not null and backupTime is not null").dropDuplicates(["session_id", "file", "backupFileName"])
+    return out.filter("backupFileName is not null and backupTime is not null").filter(~F.col("file").rlike(X.IGNORED_PATH)).dropDuplicates(["session_id", "file", "backupFileName"])
 
 
 def turns(rows: DataFrame) -> DataFrame:
@@ -113,7 +116,7 @@ def usage(rows: DataFrame) -> DataFrame:
     """Token counters, with the share of output that went into thinking."""
     v = F.col("v")
     n = lambda k: X.json_num(v, f"$.message.usage.{k}")
-    thinking, rest = _chars("thinking", "b.thinking"), _chars("text", "b.text") + _chars("tool_use", "to_json(b.input)")
+    thinking, rest = _chars("thinking", "b.thinking"), _chars("text", "b.text") + F.aggregate(input_leaves(), F.lit(0).cast("long"), lambda a, x: a + F.length(x))
     out = n("output_tokens")
     estimate = F.when((out > 0) & (thinking > 0), F.least(out, F.round(out * thinking / (thinking + rest)).cast("long"))).otherwise(F.lit(0))
     has = F.coalesce(X.json_kind(v, "$.message.usage").startswith("OBJECT"), F.lit(False)) & F.col("model").isNotNull()
@@ -185,28 +188,32 @@ def blobs(rows: DataFrame) -> DataFrame:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def string_leaves(values: pd.Series) -> pd.Series:
-    """H6: string leaves of a JSON value in document order, at most 64 of them down to depth 6."""
+    """H6: string leaves of each of an array of JSON texts, in document order, about 64 of them each down to depth 6."""
 
     def walk(x, depth, out):
         if len(out) > 64 or depth > 6:
             return out
         if isinstance(x, str):
-            out.append(x)
+            out += [x] if x else []
         elif isinstance(x, (list, dict)):
             for y in x.values() if isinstance(x, dict) else x:
                 walk(y, depth + 1, out)
         return out
 
-    return values.map(lambda t: walk(json.loads(t), 0, []) if t else [])
+    return values.map(lambda texts: [leaf for t in (texts if texts is not None else []) if t for leaf in walk(json.loads(t), 0, [])])
+
+
+def input_leaves() -> Column:
+    """The string leaves of a line's tool inputs."""
+    return string_leaves(F.transform("uses", lambda u: F.to_json(u["input"])))
 
 
 def spans(rows: DataFrame) -> DataFrame:
     """Searchable text per line and field, for ``search.index_spans``."""
     prompt = F.coalesce("content_text", F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "text"), lambda b: b["text"]), "\n"))
-    used = string_leaves(F.to_json(F.transform("uses", lambda u: F.to_json(u["input"]))))
     results = F.array_join(F.transform(F.filter("blocks", lambda b: b["type"] == "tool_result"), lambda b: result_text(b["content"])), "\n")
     field = lambda cond, name, text: rows.filter(cond).select("path", "offset", F.lit(name).alias("field"), F.left(text, F.lit(SPAN_CAP)).alias("text"))
-    out = field("event_type = 'user_prompt'", "prompt", prompt).union(field("type = 'assistant'", "assistant_response", prompt)).union(field("event_type like 'tool_result%'", "tool_result", results)).union(field("event_type = 'tool_decision'", "tool_input", F.array_join(used, "\n")))
+    out = field("event_type = 'user_prompt'", "prompt", prompt).union(field("type = 'assistant'", "assistant_response", prompt)).union(field("event_type like 'tool_result%'", "tool_result", results)).union(field("event_type = 'tool_decision'", "tool_input", F.array_join(input_leaves(), "\n")))
     return out.filter(F.trim("text") != "").withColumn("span_id", F.sha2(F.concat_ws("\u0000", "path", F.col("offset").cast("string"), "field"), 256))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,23 +18,46 @@ def signatures(blobs: DataFrame) -> DataFrame:
     return s.select("*", X.mask(F.col("sig.signature")).alias("masked"), X.mask_params(F.col("sig.signature")).alias("params"), (F.col("sig.anchored") | F.coalesce(F.col("is_error"), F.lit(False))).alias("eligible"))
 
 
-def _similar(a: list[str], b: list[str]) -> float:
-    return sum(x == y for x, y in zip(a, b)) / len(a) if a else 1.0
+class Clusters:
+    """K6, K7: clusters of lines with the same number of tokens; a wildcard of a template matches every token.
 
+    Postings by place and token give the number of equal tokens, and each template's wildcards are
+    added, so a line looks only at what it shares with the clusters.
+    """
 
-def _insert(clusters: list[dict], words: list[str], least: float) -> dict:
-    """The most similar cluster, the earliest of equals, generalised to hold ``words``; a new one if none is similar enough."""
-    best, found = least, None
-    for c in clusters:
-        s = _similar(c["tokens"], words)
-        if s > best or (s == best and found is None):
-            best, found = s, c
-    if found is None:
-        found = {"tokens": list(words), "created_by": " ".join(words)}
-        clusters.append(found)
-    else:
-        found["tokens"] = [x if x == y else ANY for x, y in zip(found["tokens"], words)]
-    return found
+    def __init__(self, least: float):
+        self.least, self.tokens, self.created_by = least, [], []
+        self.postings: dict[tuple[int, str], list[int]] = {}
+        self.wild = np.zeros(16, np.int64)
+
+    def add(self, tokens: list[str], created_by: str) -> int:
+        n = len(self.tokens)
+        if n == len(self.wild):
+            self.wild = np.concatenate([self.wild, np.zeros(n, np.int64)])
+        self.tokens.append(list(tokens))
+        self.created_by.append(created_by)
+        for place, t in enumerate(tokens):
+            if t == ANY:
+                self.wild[n] += 1
+            else:
+                self.postings.setdefault((place, t), []).append(n)
+        return n
+
+    def insert(self, words: list[str]) -> int:
+        """The most similar cluster, the earliest of equals, generalised to hold ``words``; a new one if none is similar enough."""
+        n = len(self.tokens)
+        equal = self.wild[:n].copy()
+        for place, t in enumerate(words):
+            equal[self.postings.get((place, t), [])] += 1
+        best = int(equal.argmax()) if n else -1
+        if n == 0 or (words and equal[best] / len(words) < self.least):
+            return self.add(words, " ".join(words))
+        for place, (x, y) in enumerate(zip(self.tokens[best], words)):
+            if x != y and x != ANY:
+                self.postings[place, x].remove(best)
+                self.tokens[best][place] = ANY
+                self.wild[best] += 1
+        return best
 
 
 def overflow(rows: DataFrame, most: int = 100) -> DataFrame:
@@ -58,10 +82,10 @@ def drain(lines: DataFrame, least: float = 0.55, most_children: int = 100) -> Da
     rows = overflow(rows, most_children)
 
     def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
+        clusters = Clusters(least)
         pdf = pdf.sort_values("arrival", kind="stable")
-        owners = [_insert(clusters, list(t), least) for t in pdf["tokens"]]
-        return pd.DataFrame({"tool_type": pdf["tool_type"], "masked": pdf["masked"], "n": pdf["n"], "arrival": pdf["arrival"], "created_by": [o["created_by"] for o in owners], "template": [" ".join(o["tokens"]) for o in owners]})
+        owners = [clusters.insert(list(t)) for t in pdf["tokens"]]
+        return pd.DataFrame({"tool_type": pdf["tool_type"], "masked": pdf["masked"], "n": pdf["n"], "arrival": pdf["arrival"], "created_by": [clusters.created_by[o] for o in owners], "template": [" ".join(clusters.tokens[o]) for o in owners]})
 
     arrival = dict(lines.dtypes)["arrival"]
     found = rows.groupBy("tool_type", "n_tokens", "k1", "k2").applyInPandas(leaf, f"tool_type string, masked string, n long, arrival {arrival}, created_by string, template string")
@@ -81,10 +105,12 @@ def warm_start(state: DataFrame, fresh: DataFrame, least: float = 0.55) -> DataF
     """Clusters kept from before (leaf, cluster_id, tokens, created_by) take new lines (leaf, masked, tokens, arrival) first."""
 
     def go(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        clusters = [{"tokens": list(r.tokens), "created_by": r.created_by} for r in old.sort_values("cluster_id").itertuples()]
+        clusters = Clusters(least)
+        for r in old.sort_values("cluster_id").itertuples():
+            clusters.add(list(r.tokens), r.created_by)
         new = new.sort_values("arrival", kind="stable")
-        owners = [_insert(clusters, list(t), least) for t in new["tokens"]]
-        return pd.DataFrame({"leaf": new["leaf"], "masked": new["masked"], "created_by": [o["created_by"] for o in owners], "template": [" ".join(o["tokens"]) for o in owners]})
+        owners = [clusters.insert(list(t)) for t in new["tokens"]]
+        return pd.DataFrame({"leaf": new["leaf"], "masked": new["masked"], "created_by": [clusters.created_by[o] for o in owners], "template": [" ".join(clusters.tokens[o]) for o in owners]})
 
     return state.groupBy("leaf").cogroup(fresh.groupBy("leaf")).applyInPandas(go, "leaf string, masked string, created_by string, template string")
 

@@ -141,3 +141,9 @@ def dense_rerank(rows: DataFrame, key: str, rank: str, insert: tuple | None = No
     who, at = insert
     new = F.when(F.col(key) == who, F.lit(at)).when(F.col(rank) >= at, F.col(rank) + 1).otherwise(F.col(rank))
     return rows.select(key, F.col(rank).alias("old_rank"), new.alias("new_rank")).filter("not (old_rank <=> new_rank)")
+
+
+def median(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The mean of the middle two, over counts of distinct values."""
+    n = rows.filter(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("n_"))
+    return n.groupBy(by).agg(F.percentile(F.col(value), F.lit(0.5), F.col("n_")).alias("median"), F.sum("n_").alias("n"))

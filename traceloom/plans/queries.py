@@ -195,19 +195,32 @@ def precision_coverage(spark, sf_dir):
     return quality.precision_coverage(_t(spark, sf_dir, "documents").filter("n_chars > 1000"), _t(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
 
 
-@query("table_digest", "WITH d AS (SELECT sha256('=' || n_nationkey || chr(31) || '=' || n_name || chr(31) || '=' || n_regionkey) AS d FROM nation) SELECT count(*) AS rows, " + ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(4)) + " FROM d")
+_DIGESTED = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
+
+
+@query("table_digest", "WITH d AS (SELECT sha256(" + " || chr(31) || ".join(f"'=' || {c}" for c in _DIGESTED) + ") AS d FROM orders) SELECT count(*) AS rows, " + ", ".join(f"CAST(sum(CAST('0x' || substr(d, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR) AS s{i}" for i in range(4)) + " FROM d")
 def table_digest(spark, sf_dir):
-    return quality.table_digest(_t(spark, sf_dir, "nation"), ["n_nationkey", "n_name", "n_regionkey"])
+    return quality.table_digest(_t(spark, sf_dir, "orders"), _DIGESTED)
 
 
 @query("set_divergence", """
-WITH x AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 49), y AS (SELECT DISTINCT l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 49)
+WITH x AS (SELECT DISTINCT l_orderkey || ':' || l_suppkey AS k FROM lineitem WHERE l_returnflag = 'A'), y AS (SELECT DISTINCT l_orderkey || ':' || l_suppkey AS k FROM lineitem WHERE l_returnflag = 'R')
 SELECT size_a, size_b, differ, round(differ / (size_a + size_b), 6) AS divergence FROM (SELECT (SELECT count(*) FROM x) AS size_a, (SELECT count(*) FROM y) AS size_b, (SELECT count(*) FROM x FULL JOIN y ON x.k = y.k WHERE x.k IS NULL OR y.k IS NULL) AS differ)""")
 def set_divergence(spark, sf_dir):
-    rows = _t(spark, sf_dir, "lineitem").filter("l_quantity > 49").select(F.col("l_suppkey").alias("k"), "l_returnflag")
+    rows = _t(spark, sf_dir, "lineitem").select(F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_suppkey").cast("string")).alias("k"), "l_returnflag")
     return quality.set_divergence(rows.filter("l_returnflag = 'A'"), rows.filter("l_returnflag = 'R'"), "k")
 
 
+@query("median_by", "SELECT o_orderpriority AS kind, median(o_totalprice) AS median, count(*) AS n FROM orders GROUP BY 1")
+def median_by(spark, sf_dir):
+    return turns.median(_t(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("kind"), F.col("o_totalprice").alias("value")), "kind", "value")
+
+
+@query("cost_ranking", "SELECT * FROM (SELECT o_custkey AS k, sum(o_totalprice) AS cost, row_number() OVER (ORDER BY sum(o_totalprice) DESC, o_custkey) AS place FROM orders GROUP BY 1) WHERE place <= 10")
+def cost_ranking(spark, sf_dir):
+    return cost.ranking(_t(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("cost")), "k", "cost")
+
+
 @query("line_locators", r"""
 WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents),
 l AS (SELECT doc_id, unnest(parts[:-2]) AS text, unnest(range(len(parts) - 1)) AS line_no FROM p)
@@ -240,9 +253,9 @@ def mask(spark, sf_dir):
 
 
 def _assigned(spark, sf_dir):
-    # a log-like line of each document: its first line with its length, so that masks have work
-    lines = _t(spark, sf_dir, "documents").select(F.col("source").alias("tool_type"), X.mask(F.concat_ws(" ", F.lit("read"), F.col("n_chars").cast("string"), F.split("text", "\n")[0])).alias("masked"), F.col("doc_id").alias("arrival"))
-    return templates.drain(lines)
+    # every line of every document, in the order of documents and lines
+    lines = _t(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("tool_type"), F.posexplode(F.split("text", "\n")).alias("line_no", "line")).filter("trim(line) <> ''")
+    return templates.drain(lines.select("tool_type", X.mask(F.col("line")).alias("masked"), (F.shiftleft("doc_id", 24) + F.col("line_no")).alias("arrival")))
 
 
 @query("drain_templates")
@@ -321,11 +334,9 @@ def dangling_resolves(spark, sf_dir):
     return ledger.dangling_report(_ledger(spark, sf_dir)[1]).drop("refs")
 
 
-@query("rank_shift", "WITH s AS (SELECT s_suppkey AS id, CAST(row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS INT) AS r FROM supplier) SELECT id, r AS old_rank, CASE WHEN id = 5 THEN 3 ELSE r + 1 END AS new_rank FROM s WHERE (id = 5 AND r <> 3) OR (id <> 5 AND r >= 3)")
+@query("rank_shift", "SELECT s_suppkey AS id, CAST(s_suppkey AS INT) AS old_rank, CAST(CASE WHEN s_suppkey = 5 THEN 3 ELSE s_suppkey + 1 END AS INT) AS new_rank FROM supplier WHERE s_suppkey = 5 OR s_suppkey >= 3")
 def rank_shift(spark, sf_dir):
-    from pyspark.sql import Window
-
-    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.row_number().over(Window.orderBy("s_acctbal", "s_suppkey")).alias("r"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_suppkey").cast("int").alias("r"))
     return turns.dense_rerank(s, "id", "r", (5, 3))
 
 

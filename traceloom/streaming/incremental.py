@@ -21,16 +21,14 @@ class Span(InputPartition):
 
 
 class TranscriptReader(DataSourceStreamReader):
-    """The offset is a map of file to (bytes read, hash of the first kilobyte).
+    """The offset is a map of file to (bytes read, their hash, time of the file's last change).
 
     A batch ends each file at its last line end, and at ``maxBytesPerTrigger`` bytes in all; a record
-    longer than that doubles the limit for its file.  A file that has shrunk or begins otherwise is
-    read again from the start, its lines marked ``rewound``.  Files must lie in a file system that
+    longer than that doubles the limit for its file.  A file that has shrunk, or has changed and holds
+    other bytes where it was read before, is read again from the start, its lines marked ``rewound``.  Files must lie in a file system that
     every task can open.
     """
 
-    PREFIX = 1024
-
     def __init__(self, options: dict):
         self.root = options["path"].removeprefix("file://")
         self.most = int(options.get("maxbytespertrigger", 8 << 20))
@@ -45,8 +43,13 @@ class TranscriptReader(DataSourceStreamReader):
         return sorted(glob.glob(f"{self.root}/**/*.jsonl", recursive=True))
 
     def _hash(self, path: str, n: int) -> str:
+        """Of the first ``n`` bytes, read in pieces."""
+        found = hashlib.sha256()
         with open(path, "rb") as f:
-            return hashlib.sha256(f.read(min(n, self.PREFIX))).hexdigest()
+            while n > 0 and (piece := f.read(min(n, 1 << 20))):
+                found.update(piece)
+                n -= len(piece)
+        return found.hexdigest()
 
     def latestOffset(self) -> dict:
         import os
@@ -70,7 +73,7 @@ class TranscriptReader(DataSourceStreamReader):
                     break
                 take *= 2
             if cut:
-                out[path] = {"at": start + cut, "hash": self._hash(path, start + cut)}
+                out[path] = {"at": start + cut, "hash": self._hash(path, start + cut), "changed": os.stat(path).st_mtime_ns}
                 left = left - cut if left is not None else None
         self._known = out
         return out
@@ -78,7 +81,8 @@ class TranscriptReader(DataSourceStreamReader):
     def _rewritten(self, path: str, seen: dict) -> bool:
         import os
 
-        return os.path.getsize(path) < seen["at"] or self._hash(path, seen["at"]) != seen["hash"]
+        now = os.stat(path)
+        return now.st_size < seen["at"] or (now.st_mtime_ns != seen["changed"] and self._hash(path, seen["at"]) != seen["hash"])
 
     def partitions(self, start: dict, end: dict) -> list[Span]:
         spans = []
@@ -149,6 +153,10 @@ class FactTable:
         rows.write.mode("overwrite").partitionBy("bucket").parquet(staged)
         df = self.spark.read.schema(rows.schema).parquet(staged)
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        # overwriting leaves partitions alone that have no rows any more
+        for bucket in {*buckets} - {r["bucket"] for r in df.select("bucket").distinct().collect()}:
+            gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/bucket={bucket}")
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
     def batch(self, rows: DataFrame, batch_id: int = 0) -> None:
         """For ``foreachBatch``: facts with path, offset, session_id and ``rewound``."""
@@ -166,7 +174,8 @@ class FactTable:
             if not touched:
                 return
             self._replace("facts", new.dropDuplicates(["path", "offset"]), touched)
-            facts = self._read("facts").filter(F.col("bucket").isin(touched))
+            stored = self._read("facts")
+            facts = (stored if stored is not None else new.limit(0)).filter(F.col("bucket").isin(touched))
             for name, f in self.derive.items():
                 self._replace(name, f(facts.drop("bucket")).withColumn("bucket", self._bucket("session_id")), touched)
         finally:
