@@ -21,41 +21,42 @@ def signatures(blobs: DataFrame) -> DataFrame:
 class Clusters:
     """K6, K7: clusters of lines with the same number of tokens; a wildcard of a template matches every token.
 
-    Postings by place and token give the number of equal tokens, and each template's wildcards are
-    added, so a line looks only at what it shares with the clusters.
+    Tokens are numbered, a row of numbers for each place, so a line is compared with all clusters at once.
     """
 
     def __init__(self, least: float):
         self.least, self.tokens, self.created_by = least, [], []
-        self.postings: dict[tuple[int, str], list[int]] = {}
-        self.wild = np.zeros(16, np.int64)
+        self.codes: dict[str, int] = {}
+        self.table, self.wild = np.zeros((0, 16), np.int32), np.zeros(16, np.int32)
+
+    def _numbers(self, tokens: list[str]) -> list[int]:
+        return [self.codes.setdefault(t, len(self.codes) + 1) for t in tokens]
 
     def add(self, tokens: list[str], created_by: str) -> int:
         n = len(self.tokens)
+        if not n:
+            self.table = np.zeros((len(tokens), 16), np.int32)
         if n == len(self.wild):
-            self.wild = np.concatenate([self.wild, np.zeros(n, np.int64)])
+            self.table, self.wild = np.concatenate([self.table, np.zeros_like(self.table)], axis=1), np.concatenate([self.wild, np.zeros_like(self.wild)])
         self.tokens.append(list(tokens))
         self.created_by.append(created_by)
-        for place, t in enumerate(tokens):
-            if t == ANY:
-                self.wild[n] += 1
-            else:
-                self.postings.setdefault((place, t), []).append(n)
+        self.table[:, n] = [0 if t == ANY else c for t, c in zip(tokens, self._numbers(tokens))]
+        self.wild[n] = tokens.count(ANY)
         return n
 
     def insert(self, words: list[str]) -> int:
         """The most similar cluster, the earliest of equals, generalised to hold ``words``; a new one if none is similar enough."""
         n = len(self.tokens)
         equal = self.wild[:n].copy()
-        for place, t in enumerate(words):
-            equal[self.postings.get((place, t), [])] += 1
+        for row, code in zip(self.table, self._numbers(words)):
+            equal += row[:n] == code
         best = int(equal.argmax()) if n else -1
         if n == 0 or (words and equal[best] / len(words) < self.least):
             return self.add(words, " ".join(words))
         for place, (x, y) in enumerate(zip(self.tokens[best], words)):
             if x != y and x != ANY:
-                self.postings[place, x].remove(best)
                 self.tokens[best][place] = ANY
+                self.table[place, best] = 0
                 self.wild[best] += 1
         return best
 
@@ -81,14 +82,20 @@ def drain(lines: DataFrame, least: float = 0.55, most_children: int = 100) -> Da
     rows = distinct.withColumn("tokens", X.tokens(F.col("masked"))).withColumn("n_tokens", F.size("tokens"))
     rows = overflow(rows, most_children)
 
-    def leaf(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters = Clusters(least)
+    def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival", kind="stable")
-        owners = [clusters.insert(list(t)) for t in pdf["tokens"]]
-        return pd.DataFrame({"tool_type": pdf["tool_type"], "masked": pdf["masked"], "n": pdf["n"], "arrival": pdf["arrival"], "created_by": [clusters.created_by[o] for o in owners], "template": [" ".join(clusters.tokens[o]) for o in owners]})
+        found: dict[tuple, Clusters] = {}
+        owners = []
+        for tool, k1, k2, tokens in zip(pdf["tool_type"], pdf["k1"], pdf["k2"], pdf["tokens"]):
+            c = found.setdefault((tool, len(tokens), k1, k2), Clusters(least))
+            owners.append((c, c.insert(list(tokens))))
+        return pd.DataFrame({"tool_type": pdf["tool_type"], "masked": pdf["masked"], "n": pdf["n"], "arrival": pdf["arrival"], "created_by": [c.created_by[o] for c, o in owners], "template": [" ".join(c.tokens[o]) for c, o in owners]})
 
     arrival = dict(lines.dtypes)["arrival"]
-    found = rows.groupBy("tool_type", "n_tokens", "k1", "k2").applyInPandas(leaf, f"tool_type string, masked string, n long, arrival {arrival}, created_by string, template string")
+    # leaves are small and many: a group holds several
+    shards = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.pmod(F.xxhash64("tool_type", "n_tokens", "k1", "k2"), F.lit(shards)).alias("shard")
+    found = rows.groupBy(shard).applyInPandas(leaves, f"tool_type string, masked string, n long, arrival {arrival}, created_by string, template string")
     return found.withColumn("template_id", X.template_id(F.col("tool_type"), F.col("created_by")))
 
 
