@@ -348,6 +348,23 @@ def test_pii_next_to_other_digits():
     assert max(b - a for _, a, b in pii.candidates("12 " * 5000)) <= 30
 
 
+def test_pii_base_spans_equal_the_patterns_and_are_linear():
+    import re
+    import time
+
+    email, ip = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    r = random.Random(6)
+    for _ in range(3000):
+        t = "".join(r.choice("a1.@-+ 25é") for _ in range(r.randint(0, 40)))
+        assert [(m.start(), m.end()) for m in email.finditer(t)] == list(pii._emails(t)), t
+        assert [(m.start(), m.end()) for m in ip.finditer(t)] == [x[:2] for x in pii._addresses(t)], t
+    began = time.time()
+    for t in ("a" * 1_000_000 + " @b.c", "1" * 1_000_000 + " 1.2", "1." * 500_000, "@" * 1_000_000, "+1 " * 300_000, "a@b.c " * 100_000):
+        base = pii.base_spans(t)
+        pii.Finder({}).added(t, base)
+    assert time.time() - began < 60 and len(base) == 100_000
+
+
 def test_pii_threshold_follows_precision():
     v, y = np.array([0.9, 0.8, 0.8, 0.7, 0.6, 0.2]), np.array([1, 1, 1, 1, 0, 0.0])
     assert math.isclose(pii.threshold(v, y, 0.95), 0.65) and math.isclose(pii.threshold(v, y, 0.8), 0.4) and pii.threshold(v, 1 - y, 0.95) == float("inf")
