@@ -30,11 +30,12 @@ def saved(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, key: str) -> DataFrame:
-    """As ``saved``, in buckets of ``key``: grouping by it needs no shuffle of these rows."""
+def bucketed(df: DataFrame, key: str, dealt: bool = False) -> DataFrame:
+    """As ``saved``, in buckets of ``key``: grouping by it needs no shuffle of these rows; ``dealt`` brings each bucket's rows together before (one file each)."""
     spark = df.sparkSession
     name = f"traceloom_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df = df.repartition(buckets, key) if dealt else df
     df.write.bucketBy(buckets, key).option("compression", "zstd").option("path", new_path(spark, name)).saveAsTable(name)
     return spark.table(name)
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import wordhash
-from .common import saved
+from .common import bucketed, saved
 from .components import components
 
 SAMPLES, PICKED, SHINGLE, SIMILARITY = 24, 4, 5, 0.8
@@ -165,7 +165,7 @@ def _apart(bucket: DataFrame, comp: DataFrame, seqs: DataFrame, similarity: floa
     each = told.select("hub", "doc_id", "component", "n", "d", "odd", "least", F.explode("keys").alias("key"))
     # shingles that no pair of two components shares link nothing: they stand first in every order
     several = each.groupBy("key").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("odd").alias("any_odd")).filter("lo < hi and any_odd").select("key", "f")
-    shared = each.join(several, "key").groupBy("hub", "doc_id", "component", "n", "d", "odd", "least").agg(F.sort_array(F.collect_list(F.struct("f", "key"))).alias("keys"))
+    shared = each.join(several, "key").groupBy("hub", "doc_id", "component", "n", "d", "odd", "least").agg(F.sort_array(F.collect_set(F.struct("f", "key"))).alias("keys"))
     first = shared.select("doc_id", "component", "n", "d", "odd", "least", (F.col("d") - F.size("keys")).alias("before"), F.posexplode("keys").alias("place", "k"))
     first = saved(first.select("doc_id", "component", "n", "d", "odd", "least", (F.col("before") + F.col("place")).alias("rank"), F.col("k.key").alias("key")).filter("rank <= d - least").drop("least"), "omh-first")
     far = first.filter("odd").select("key", F.col("doc_id").alias("o"), F.col("component").alias("oc"), F.col("n").alias("on"), F.col("d").alias("od"), F.col("rank").alias("orank"))
@@ -177,7 +177,7 @@ def _apart(bucket: DataFrame, comp: DataFrame, seqs: DataFrame, similarity: floa
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``class_id`` (the smallest doc_id of its class) and ``n_in_class`` of every row."""
-    return _classes(saved(sketches(docs), "omh-sketches"), similarity)
+    return _classes(bucketed(sketches(docs), "doc_id", dealt=True), similarity)
 
 
 def _classes(sk: DataFrame, similarity: float) -> DataFrame:
@@ -198,7 +198,7 @@ def _classes(sk: DataFrame, similarity: float) -> DataFrame:
     close = F.least("n", "hub.n") >= similarity * F.greatest("n", "hub.n")
     pairs = met.filter(close & (F.col("doc_id") != F.col("hub.doc_id"))).select(F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b"))
     pairs = saved(pairs.distinct(), "omh-pairs")
-    seqs = saved(sk.select("doc_id", "seq").join(bucket.select("doc_id").distinct(), "doc_id", "left_semi").distinct(), "omh-seqs")
+    seqs = sk.select("doc_id", "seq")  # in buckets: only what meets it is shuffled
     # several texts under one id are one document
     mixed = sk.groupBy("doc_id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).filter("lo <> hi").select("doc_id")
     reps = sk.join(mixed, "doc_id", "left_semi").select("doc_id", "digest").distinct().join(first, "digest").select("doc_id", "rep")
@@ -219,7 +219,7 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     Of several rows with that ``doc_id`` the one whose text (then whose other columns) sorts first stays.
     """
-    sk = saved(sketches(docs), "omh-sketches")
+    sk = bucketed(sketches(docs), "doc_id", dealt=True)
     found = _classes(sk, similarity).filter("doc_id <> class_id").select("doc_id").distinct()
     kept = docs.join(found, "doc_id", "left_anti").select(*docs.columns)
     again = saved(sk.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "omh-again")
