@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from . import wordhash
 from .common import bucketed, saved
-from .packed import by_part, numbers, planes
+from .packed import by_part, narrow, numbers, planes, widened
 
 #: Classes with a single word, and hashed classes.
 OWN, SHARED = 64, 16
@@ -105,6 +105,9 @@ def _counted(corpus: DataFrame, asked: DataFrame | None, keys, parts: int, name:
     """For each block and part: counts ``n`` of its finer keys and ``all`` of its keys over the corpus, in the block's order;
     with ``summary``, also each part's most frequent keys and totals by hashed class, without a block."""
 
+    # most frequent keys are told by their whole hashes
+    pack, opened = (np.ndarray.tobytes, lambda x: np.frombuffer(x, np.uint64)) if summary else (narrow, widened)
+
     def dealt(held: DataFrame, counts: bool) -> DataFrame:
         def rows(batches):
             for b in batches:
@@ -113,14 +116,14 @@ def _counted(corpus: DataFrame, asked: DataFrame | None, keys, parts: int, name:
                     order, cut = by_part(key, parts)
                     key, fine, n = key[order], fine[order], n[order] if counts else np.zeros(len(key), np.int64)
                     some = np.flatnonzero(np.diff(cut)).tolist()
-                    cols = (some, [block] * len(some), *([x[cut[p] : cut[p + 1]].tobytes() for p in some] for x in (key, fine)), [planes(n[cut[p] : cut[p + 1]]) for p in some])
+                    cols = (some, [block] * len(some), [pack(key[cut[p] : cut[p + 1]]) for p in some], [fine[cut[p] : cut[p + 1]].tobytes() for p in some], [planes(n[cut[p] : cut[p + 1]]) for p in some])
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()))], ["part", "block", "key", "fine", "n"])
 
         return held.select("block", "words", "at", "many").mapInArrow(rows, "part int, block long, key binary, fine binary, n binary")
 
     def count(group: pa.Table) -> pa.Table:
         raw = {c: group.column(c).to_pylist() for c in group.column_names}
-        key, fine = np.concatenate([np.frombuffer(x, np.uint64) for x in raw["key"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in raw["fine"]])
+        key, fine = np.concatenate([opened(x) for x in raw["key"]]), np.concatenate([np.frombuffer(x, np.uint32) for x in raw["fine"]])
         n = np.concatenate([numbers(x) for x in raw["n"]])
         order = np.lexsort((fine, key))
         k, f = key[order], fine[order]
@@ -132,7 +135,7 @@ def _counted(corpus: DataFrame, asked: DataFrame | None, keys, parts: int, name:
             each = np.empty(len(key), np.int64)
             each[order] = np.repeat(np.add.reduceat(n[order], start), np.diff(np.append(start, len(key))))
             found.append(np.minimum(each, 0xFFFFFFFF))
-        cut = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw["key"]])])
+        cut = np.concatenate([[0], np.cumsum([len(x) // 4 for x in raw["fine"]])])
         out = [(b, p, *(planes(x[a:z]) for x in found)) for b, p, a, z in zip(raw["block"], raw["part"], cut[:-1].tolist(), cut[1:].tolist())]
         if summary:
             one = order[new]
