@@ -48,22 +48,29 @@ def _grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def banded_distance(pattern: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int]:
-    """Least edits of ``pattern`` against any part of ``text``, and where that part ends; edits over ``most`` may count as more.
+def banded_distance(pattern: np.ndarray, text: np.ndarray, low: int, high: int, most: int, anchored: bool = False) -> tuple[int, int]:
+    """Least edits of ``pattern`` against a part of ``text``, on the diagonals ``low`` to ``high`` only, and where that part ends.
 
-    Rows of the alignment matrix at once: insertions along a row are a running minimum.
+    The part starts anywhere, or with the text if ``anchored``.  Places outside the text match nothing, which costs what
+    leaving out the pattern's character costs.  More than ``most`` edits may count as more.  Rows of the band at once:
+    insertions along a row are a running minimum.
     """
-    n = len(text)
-    row, at = np.zeros(n + 1, np.int64), np.arange(n + 1)
+    m, n, width = len(pattern), len(text), high - low + 1
+    padded = np.full(m + width, -1, np.int64)
+    a, z = max(0, low), min(n, high + m)
+    if a < z:
+        padded[a - low : z - low] = text[a:z]
+    at = np.arange(width)
+    row = np.where(low + at >= 0, low + at, most + 1) if anchored else np.zeros(width, np.int64)
+    step = np.empty(width, np.int64)
     for i, c in enumerate(pattern.tolist()):
-        step = np.empty(n + 1, np.int64)
-        step[0] = i + 1
-        np.minimum(row[1:] + 1, row[:-1] + (text != c), out=step[1:])
+        np.add(row, padded[i : i + width] != c, out=step)
+        np.minimum(step[:-1], row[1:] + 1, out=step[:-1])
         row = np.minimum.accumulate(step - at) + at
         if row.min() > most:
             return most + 1, n
     end = int(row.argmin())
-    return int(row[end]), end
+    return int(row[end]), min(max(low + m + end, 0), n)
 
 
 class ItemIndex:
@@ -122,11 +129,11 @@ class ItemIndex:
                 e = int(self.edits[i])
                 if i in out and out[i][1] == 0:
                     continue
-                a, z = max(0, int(d.min()) - e), min(len(codes), int(d.max()) + len(self.codes[i]) + e)
-                found, end = banded_distance(self.codes[i], codes[a:z], e)
+                found, end = banded_distance(self.codes[i], codes, int(d.min()) - e, int(d.max()) + e, e)
                 if found <= e and (i not in out or found < out[i][1]):
-                    back, length = banded_distance(self.codes[i][::-1], codes[a : a + end][::-1], found)
-                    out[i] = (self.ids[i], found, a + end - length, a + end)
+                    before = codes[max(0, end - len(self.codes[i]) - e) : end]
+                    _, length = banded_distance(self.codes[i][::-1], before[::-1], -found, found, found, anchored=True)
+                    out[i] = (self.ids[i], found, end - length, end)
         return sorted(out.values())
 
 
