@@ -8,6 +8,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from traceloom.llm import ann, bpe, decontam, lm, neardup, pii, quality, substring, toxicity, warc, wordhash
 from traceloom.llm.common import new_path
@@ -273,6 +274,34 @@ def test_decontamination_equals_brute_force(spark):
     assert decontam.hits(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_banded_alignment_equals_the_whole_matrix():
+    def edits(p, t, free):
+        row = [0 if free else j for j in range(len(t) + 1)]
+        for i, c in enumerate(p, 1):
+            new = [i]
+            for j, d in enumerate(t, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+            row = new
+        return min(row) if free else row[-1]
+
+    r = random.Random(8)
+    for _ in range(400):
+        p = "".join(r.choice("abcd") for _ in range(r.randint(8, 40)))
+        e, changed = len(p) // 5, list(p)
+        for _ in range(r.randint(0, e)):
+            at = r.randrange(len(changed))
+            changed[at : at + 1] = r.choice(["x", "", "y" + changed[at]])
+        before = "".join(r.choice("abcd") for _ in range(r.randint(0, 9)))
+        t = before + "".join(changed) + "".join(r.choice("abcd") for _ in range(r.randint(0, 9)))
+        code = decontam._codes
+        assert decontam.banded_distance(code(p), code(t), -len(p), len(t), len(p))[0] == edits(p, t, True)
+        found, end = decontam.banded_distance(code(p), code(t), len(before) - 2 * e, len(before) + 2 * e, e)
+        assert found <= e
+        part = t[max(0, end - len(p) - e) : end]
+        back, length = decontam.banded_distance(code(p[::-1]), code(part[::-1]), -found, found, found, anchored=True)
+        assert back == found == edits(p, t[end - length : end], False)
+
+
 def test_ann_recall_and_odd_vectors(spark):
     x = np.random.default_rng(2).normal(size=(1500, 16)).astype("float32")
     x[100:160] = x[100]
@@ -324,6 +353,18 @@ def test_toxicity_learns_words_and_index_is_exact(spark):
     assert toxicity.classify(docs(spark, []), lab).count() == 0
 
 
+def test_toxicity_of_clashing_labels_and_repeated_rows(spark):
+    rows = [(i, f"{prose(30, i)} awfulword nastything" if i % 4 == 1 else prose(30, i)) for i in range(200)]
+    schema = "doc_id long, quality int, toxic int, text string, score double, y int"
+    labels = spark.createDataFrame([(i, 1, int(i % 4 == 1), "clash", 0.5, 3) for i in range(200)] + [(1, 1, 0, "again", 0.1, 0), (2, 1, 7, None, None, None)], schema)
+    d = docs(spark, [*rows, rows[1], (2, "zzz another text of this id"), (500, "awfulword nastything " * 5000)])
+    out = toxicity.classify(d, labels).collect()
+    again = toxicity.classify(d.orderBy(F.desc("text")), labels).collect()
+    key = lambda x: (x["doc_id"], x["score"])
+    assert sorted(map(key, out)) == sorted(map(key, again)) and len(out) == 203
+    assert {x["predicted"] for x in out if x["doc_id"] in (1, 500)} == {1} and len({x["score"] for x in out if x["doc_id"] == 1}) == 1
+
+
 def test_pii_base_spans_and_redaction(spark):
     text = "é write a.b@x.org or 10.0.0.1, 300.1.1.1, card 4111 1111 1111 1111 / 4111-1111-1111-1112, call +1 (743) 555-3824 or +1 2"
     assert [(k, text[a:b]) for k, a, b in pii.base_spans(text)] == [("email", "a.b@x.org"), ("ip", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (743) 555-3824")]

@@ -1,17 +1,17 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
 Terms are the lower-case words of a text and the first five characters of each word.  Over all
-labelled rows, Spark counts each term's documents by class (near copies once); the terms that keep company with a
-class beyond chance form the index vocabulary.  A bounded sample of labelled rows, half of it of
-each class as far as they go, becomes the example index: postings sorted by example, cut into blocks with the
-largest weight of each term.  A text visits blocks in the order of their cosine bound until none
-can hold a nearer example.  Votes weighted by nearness are calibrated on a bounded
-sample of labelled rows, each without itself among the examples.
+labelled rows, Spark counts each term's documents by class (near copies once); the terms that keep company with
+either class beyond chance form the index vocabulary, weighted by plain TF-IDF.  A bounded sample of labelled
+rows, half of it of each class as far as they go, becomes the example index: postings sorted by example, cut into
+blocks with the largest weight of each term.  A text visits blocks in the order of their cosine bound until none
+can hold a nearer example.  Votes of the nearest examples, weighted by the fourth power of the cosine, are
+calibrated on a bounded sample of labelled rows, each without itself among the examples.
 
 Defined cases: null and empty texts, and texts without a term of the vocabulary, have no
 neighbours and get the calibrated score of such texts; equal cosines go to the smaller example
-id; a ``doc_id`` with several labels counts as toxic if one of them is; labels other than 0 and 1
-are ignored; without labels of both classes every score is the share of toxic labels (0 without
+id; a ``doc_id`` with several labels counts as toxic if one of them is, and of its several texts
+the one that sorts first teaches; labels other than 0 and 1 are ignored; without labels of both classes every score is the share of toxic labels (0 without
 any); repeated rows give a row each; an empty table gives an empty result.
 """
 
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import hashed_sample, saved
 
 #: Bounds of the model, which is held by the driver and sent to the tasks.
 EXAMPLES, TERMS, CALIBRATION_ROWS = 4_000, 20_000, 8_000
+NEIGHBOURS, POWER = 31, 4
 _WORD = re.compile(r"[^\W_]+")
 
 SCHEMA = "doc_id long, score double, evidence array<struct<example: long, toxic: int, cosine: double>>"
@@ -107,7 +108,7 @@ class Model:
         self.index, self.grid, self.value, self.none = index, grid, value, none
 
     def score(self, text: str | None) -> tuple[float, list]:
-        near = self.index.nearest(terms_of(text)) if self.index else []
+        near = self.index.nearest(terms_of(text), NEIGHBOURS) if self.index else []
         return (self.calibrated(vote(near)) if near else self.none), near
 
     def calibrated(self, v: float) -> float:
@@ -116,7 +117,7 @@ class Model:
 
 def vote(near: list[tuple[int, int, float]]) -> float:
     """Share of toxic nearness; one more vote of full nearness stands for no evidence."""
-    return sum(c for _, y, c in near if y) / (1 + sum(c for _, _, c in near))
+    return sum(c**POWER for _, y, c in near if y) / (1 + sum(c**POWER for _, _, c in near))
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +136,8 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id``, ``text``, ``y`` of the rows to learn from: those whose crc32(doc_id) mod 5 is not 0."""
     y = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("y"))
     y = y.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(y, "doc_id")
+    return texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y"))
 
 
 def copy_key(text: str | None) -> str:
@@ -171,18 +173,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(list(count)), pa.array([c[0] for c in count.values()], pa.int64()), pa.array([c[1] for c in count.values()], pa.int64())], ["term", "n", "n1"])
 
     counts = once.select("text", "y").mapInArrow(term_rows, "term string, n long, n1 long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
-    # one-sided G-test of each term against the share of toxic rows, with a bound that rises with the number of rows
+    # G-test of each term against the share of toxic rows, with a bound that rises with the number of rows
     share = n1 / n
     p = F.col("n1") / F.col("n")
     x = F.coalesce(F.col("n1") * F.log(p / share), F.lit(0.0)) + F.coalesce((F.col("n") - F.col("n1")) * F.log((1 - p) / (1 - share)), F.lit(0.0))
-    kept = counts.filter(F.col("n") >= 3).withColumn("g", 2 * x).filter(F.col("g") > 2 * math.log(n)).filter((p >= 0.95) | (p < share / 4))
+    kept = counts.filter(F.col("n") >= 3).withColumn("g", 2 * x).filter(F.col("g") > 2 * math.log(n))
     vocab = kept.orderBy(F.desc("g"), "term").limit(TERMS).collect()
-    idf = {r["term"]: float(np.log(1 + n / r["n"]) * np.sqrt(r["g"])) for r in vocab}
+    idf = {r["term"]: float(np.log(1 + n / r["n"])) for r in vocab}
     if not idf:
         return Model(None, np.array([0.0]), np.array([0.0]), share)
-    mixed = F.xxhash64("doc_id")
-    pick = lambda df, k: df.orderBy(mixed, "doc_id").limit(k)
-    sample = pick(held.filter("y = 1"), EXAMPLES // 2).unionByName(pick(held.filter("y = 0"), EXAMPLES // 2))
+    sample = hashed_sample(held.filter("y = 1"), "doc_id", EXAMPLES // 2).unionByName(hashed_sample(held.filter("y = 0"), "doc_id", EXAMPLES // 2))
     sent = held.sparkSession.sparkContext.broadcast(idf)
 
     def only_known(batches):
@@ -193,10 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     small = "doc_id long, y int, t array<string>, c array<long>"
     examples = [(r["doc_id"], r["y"], dict(zip(r["t"], r["c"]))) for r in sample.select("doc_id", "text", "y").mapInArrow(only_known, small).collect()]
     index = Index(idf, examples)
-    rest = pick(held, CALIBRATION_ROWS).select("doc_id", "text", "y").mapInArrow(only_known, small).collect()
+    rest = hashed_sample(held, "doc_id", CALIBRATION_ROWS).select("doc_id", "text", "y").mapInArrow(only_known, small).collect()
     votes, ys, none = [], [], [0.0, 0.0]
     for r in rest:  # each without itself as an example
-        near = [x for x in index.nearest(dict(zip(r["t"], r["c"])), 16) if x[0] != r["doc_id"]][:15]
+        near = [x for x in index.nearest(dict(zip(r["t"], r["c"])), NEIGHBOURS + 1) if x[0] != r["doc_id"]][:NEIGHBOURS]
         if near:
             votes.append(vote(near))
             ys.append(r["y"])
