@@ -124,3 +124,9 @@ def references(ids: DataFrame, texts: DataFrame) -> DataFrame:
     """Every text field in which an id stands by itself, whatever the case; the id's own row is left out."""
     found = texts.withColumn("id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(r"(?<![A-Z0-9])([A-Z]{1,5}-[0-9]+)(?![A-Z0-9])"), F.lit(1)))))
     return found.join(ids.select(F.upper("id").alias("id")).distinct(), "id").filter("row_id is null or upper(row_id) <> id")
+
+
+def pr_sessions(links: DataFrame, prs: DataFrame, on_branch: DataFrame) -> DataFrame:
+    """The sessions of each PR, by direct links and by work on its branch, each once.  ``links``: pr, session_id; ``prs``: pr, branch; ``on_branch``: branch, session_id."""
+    by_branch = prs.select("pr", "branch").distinct().join(on_branch.select("branch", "session_id").distinct(), "branch")
+    return links.select("pr", "session_id").union(by_branch.select("pr", "session_id")).filter("pr is not null and session_id is not null").distinct()

@@ -362,3 +362,11 @@ def subagent_tree(spark, sf_dir):
 def stale_and_top(spark, sf_dir):
     t = _t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("slug"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("priority"), F.when(F.col("c_mktsegment") == "BUILDING", "done").otherwise("open").alias("status"))
     return ledger.top_tasks(t).select("slug", "id", "priority", "rank", "open_tasks")
+
+
+@query("pr_sessions", "SELECT o_orderkey AS pr, o_custkey AS session_id FROM orders UNION SELECT o_orderkey, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'F'")
+def pr_sessions(spark, sf_dir):
+    o = _t(spark, sf_dir, "orders")
+    links = o.select(F.col("o_orderkey").alias("pr"), F.col("o_custkey").alias("session_id"))
+    prs = o.select(F.col("o_orderkey").alias("pr"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderkey")).alias("branch"))
+    return joins.pr_sessions(links, prs, _t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("branch"), F.col("l_suppkey").alias("session_id")))
