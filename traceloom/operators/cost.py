@@ -33,12 +33,11 @@ def per_group(sessions: DataFrame, members: DataFrame, group: str, key: str = "s
     return members.select(group, key).distinct().join(sessions, key).groupBy(group).agg(F.round(F.sum("usd"), 6).alias("usd"), F.count("*").alias("sessions"))
 
 
-def co_change(touches: DataFrame, session: str, item: str) -> DataFrame:
-    """Unordered pairs of items touched in the same session, and in how many.
-
-    The pairs of one session come from its own sorted set, so sessions never meet one another.
-    """
+def co_change(touches: DataFrame, session: str, item: str, written: DataFrame | None = None) -> DataFrame:
+    """Unordered pairs of items touched in the same session, and in how many; only of items in ``written``, if given."""
     sets = touches.select(session, item).distinct()
+    if written is not None:
+        sets = sets.join(written.select(item).distinct(), item, "left_semi")
     pairs = sets.alias("x").join(sets.alias("y"), (F.col(f"x.{session}") == F.col(f"y.{session}")) & (F.col(f"x.{item}") < F.col(f"y.{item}")))
     return pairs.groupBy(F.col(f"x.{item}").alias("a"), F.col(f"y.{item}").alias("b")).agg(F.count("*").alias("sessions"))
 

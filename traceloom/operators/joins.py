@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +40,8 @@ def upsert_missing(base: DataFrame, more: DataFrame, key: str) -> DataFrame:
 
 def merge_reconcile(prs: DataFrame, observations: DataFrame) -> DataFrame:
     """A pull request is merged at the earliest sighting with its number whose hint, if any, ends its repository's name."""
-    o = observations.select(F.col("number").alias("number_"), "repo_hint", F.col("merged_at").alias("merged_at_"))
+    # the earliest of each number and hint is enough, so that a number's sightings do not multiply
+    o = observations.groupBy(F.col("number").alias("number_"), "repo_hint").agg(F.min("merged_at").alias("merged_at_"))
     met = prs.join(o, (F.col("number") == F.col("number_")) & (F.col("repo_hint").isNull() | F.lower("repo").endswith(F.concat(F.lit("/"), F.lower("repo_hint")))))
     at = met.groupBy("repo", "number").agg(F.min("merged_at_").alias("seen_at"))
     return prs.join(at, ["repo", "number"], "left").select(*[c for c in prs.columns if c not in ("state", "merged_at")], F.when(F.col("seen_at").isNotNull(), "merged").otherwise(F.col("state")).alias("state"), F.coalesce("seen_at", "merged_at").alias("merged_at"))
@@ -51,17 +54,36 @@ def subagent_ends(agents: DataFrame, sessions: DataFrame) -> DataFrame:
     return agents.join(ends, "child_session_id", "left").join(parents, "session_id", "left")
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage of a round in ``spark.checkpoint.dir``; only a local session may do without that setting."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is not set")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-rounds-"))
+    return df.checkpoint()
+
+
 def subagent_tree(spark: SparkSession, links: DataFrame, child: str = "id", parent: str = "parent") -> DataFrame:
-    """Closure of parent links: depth, root and path of every node."""
-    links.select(F.col(child).alias("id"), F.col(parent).alias("parent")).createOrReplaceTempView("traceloom_links")
-    return spark.sql(
-        """
-        WITH RECURSIVE tree AS (
-          SELECT id, id AS root, 0 AS depth, CAST(id AS STRING) AS path FROM traceloom_links WHERE parent IS NULL
-          UNION ALL
-          SELECT l.id, t.root, t.depth + 1, concat(t.path, '/', CAST(l.id AS STRING)) FROM tree t JOIN traceloom_links l ON l.parent = t.id
-        ) SELECT * FROM tree"""
-    )
+    """Closure of parent links: depth, root and path of every node, at any depth.
+
+    Each round doubles the way up that a node knows, so a chain of n nodes takes log2(n) rounds.
+    Nodes on a cycle, and nodes under a parent that is not there, have no root and are left out.
+    """
+    root = F.col(parent).isNull()
+    now = links.select(F.col(child).alias("id"), F.coalesce(parent, child).alias("at"), root.alias("done"), F.when(root, 0).otherwise(1).alias("depth"), F.col(child).cast("string").alias("path"))
+    finished = -1
+    while True:
+        now = _cut(now)
+        n = now.agg(F.count(F.when(F.col("done"), 1)).alias("done"), F.count("*").alias("all")).first()
+        # every round reaches a root for some node that has one, else none is left
+        if n["done"] in (n["all"], finished):
+            return now.filter("done").select("id", F.col("at").alias("root"), "depth", "path")
+        finished = n["done"]
+        up = now.select(F.col("id").alias("at"), F.col("at").alias("at_"), F.col("done").alias("done_"), F.col("depth").alias("depth_"), F.col("path").alias("path_"))
+        met = now.filter("not done").join(up, "at")
+        now = now.filter("done").union(met.select("id", F.col("at_"), F.col("done_"), F.col("depth") + F.col("depth_"), F.concat("path_", F.lit("/"), "path")))
 
 
 def enrich_unique(rows: DataFrame, store: DataFrame, key: str) -> DataFrame:
@@ -90,11 +112,16 @@ def outside_roots(rows: DataFrame, path: str, roots: DataFrame) -> DataFrame:
 
 
 def match_slugs(hits: DataFrame, slugs: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """The first slug that occurs in one of the texts, whatever the case; slugs are a small, size-checked side."""
-    cond = F.lit(False)
-    for t in texts:
-        cond = cond | F.contains(F.lower(t), F.lower("slug"))
-    met = hits.join(small(slugs.select("slug")), cond).groupBy(key).agg(F.min("slug").alias("slug"))
+    """The first slug, by ``place`` where there is one, that occurs in one of the texts, whatever the case.
+
+    Slugs meet the texts by their first three characters (all, if fewer), and are then looked for whole.
+    """
+    order = ["place", "slug"] if "place" in slugs.columns else ["slug"]
+    s = slugs.filter("slug <> ''").select(*order).withColumn("part_", F.left(F.lower("slug"), F.lit(3)))
+    text = F.lower(F.concat_ws("\n", *texts))
+    parts = "array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, length(text_)), i -> substring(text_, i, n)))))"
+    rows = hits.select(F.col(key), text.alias("text_")).filter("text_ <> ''").withColumn("part_", F.explode(F.expr(parts)))
+    met = rows.join(s, "part_").filter(F.contains("text_", F.lower("slug"))).groupBy(key).agg(F.min(F.struct(*order))["slug"].alias("slug"))
     return hits.join(met, key, "left")
 
 

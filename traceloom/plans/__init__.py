@@ -1,0 +1,3 @@
+"""Queries over the driver's tables; importing the package registers all of them."""
+
+from . import activity, queries  # noqa: F401
