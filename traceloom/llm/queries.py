@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ann, bpe, decontam, lm, neardup, pii, quality, substring, toxicity, warc
+from . import ann, audit, bpe, decontam, lexical, lm, neardup, pii, quality, sharding, substring, toxicity, warc
 from .common import new_path, table
 
 
@@ -54,5 +55,52 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digests(pii.find(docs, pii.fit(docs)))
 
 
-QUERIES = {"op1_warc": op1_warc, "op2_weak_labels": op2_weak_labels, "op3_toxicity": op3_toxicity, "op4_masked_lm": op4_masked_lm, "op5_compact_windows": op5_compact_windows, "op6_bpe": op6_bpe, "op7_qgram_lemma": op7_qgram_lemma, "op8_kmeans_tree": op8_kmeans_tree, "op9_order_minhash": op9_order_minhash, "op10_pii": op10_pii}
-ORACLE_SQL: dict[str, str] = {}
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_segment_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_label_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_warc, op2_weak_labels, op3_toxicity, op4_masked_lm, op5_compact_windows, op6_bpe, op7_qgram_lemma, op8_kmeans_tree, op9_order_minhash, op10_pii, op11_dual_tree, op12_segment_trees, op13_label_propagation)}
+
+_LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op11_dual_tree": rf"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+tok AS (SELECT row_no, doc_id, unnest(terms) AS term FROM d),
+tf AS (SELECT row_no, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM tok GROUP BY row_no, term),
+len AS (SELECT row_no, sum(tf) AS n FROM tf GROUP BY row_no),
+tot AS (SELECT count(*) AS docs, sum(n) AS length FROM len),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM tf, tot GROUP BY term),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, row_no, any_value(doc_id) AS doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+  FROM items JOIN tf USING (term) JOIN w USING (term) JOIN len USING (row_no), tot GROUP BY item_id, row_no)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM
+  (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM s WHERE score > 0) WHERE rank <= 10""",
+    "op12_segment_trees": rf"""
+WITH d AS (SELECT row_number() OVER () AS row_no, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+tok AS (SELECT row_no, lang, source, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term FROM tok GROUP BY lang, term HAVING count(DISTINCT row_no) >= 30),
+v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+groups AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+cells AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n FROM groups g JOIN kept k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+tot AS (SELECT lang, source, sum(n) AS total FROM cells GROUP BY ALL),
+p AS (SELECT lang, source, term, n, CAST(1 + (1000000000::HUGEINT * (n + 5)) // (total + 5 * v) AS BIGINT) AS p FROM cells JOIN tot USING (lang, source) JOIN v USING (lang)),
+q AS (SELECT lang, term, CAST(1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(total) + 5 * any_value(v)) AS BIGINT) AS q
+  FROM cells JOIN (SELECT lang, sum(total) AS total FROM tot GROUP BY lang) t USING (lang) JOIN v USING (lang) GROUP BY lang, term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(x.value, 0) AS BIGINT) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT l.lang, l.source, r.source AS item, sum(abs(l.p - r.p)) AS value FROM p l JOIN p r ON l.lang = r.lang AND l.term = r.term GROUP BY ALL) x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+tops AS (SELECT p.lang, source, term AS item, p - q AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM pairs
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, CAST(row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS INT) AS rank FROM tops) WHERE rank <= 50""",
+}
