@@ -20,13 +20,16 @@ def run(spark, root, out, ckpt):
     table = incremental.FactTable(spark, out, {"turns": lambda f: turns.turn_rollup(f)}, buckets=4)
 
     def batch(rows, i):
+        rows.persist()
         marks = rows.groupBy("path").agg(F.max("rewound").alias("rewound"))
         if not rows.isEmpty():
-            table.batch(facts_of(rows).join(marks, "path"), i)
+            table.batch(facts_of(rows.filter("offset >= 0")).join(marks, "path"), i, marks.filter("rewound"))
+        rows.unpersist()
 
     spark.dataSource.register(incremental.TranscriptSource)
-    q = spark.readStream.format("transcripts").option("maxBytesPerTrigger", "300").load(root).writeStream.foreachBatch(batch).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
+    q = spark.readStream.format("transcripts").option("maxBytesPerTrigger", "900").option("progress", ckpt + "-progress").load(root).writeStream.foreachBatch(batch).option("checkpointLocation", ckpt).start()
+    q.processAllAvailable()
+    q.stop()
 
 
 def test_stream_gives_the_tables_of_a_batch(spark, tmp_path):
@@ -47,30 +50,117 @@ def test_stream_gives_the_tables_of_a_batch(spark, tmp_path):
     assert got.count() == 6
 
 
-def test_rewritten_file_is_read_again(spark, tmp_path):
-    (tmp_path / "p").mkdir()
-    file = tmp_path / "p" / "a.jsonl"
-    file.write_text("".join(lines(3)))
-    r = incremental.TranscriptReader({"path": str(tmp_path)})
-    first = r.latestOffset()
-    assert len(list(r.read(r.partitions({}, first)[0]))) == 3
-    file.write_text("".join(lines(2, "other")))
-    second = r.latestOffset()
-    span = r.partitions(first, second)[0]
-    assert span.rewound and [x[1] for x in r.read(span)][0] == 0
-    assert r.latestOffset() == second
-
-
-def test_rewrite_behind_the_first_kilobyte_is_seen(spark, tmp_path):
-    file = tmp_path / "a.jsonl"
-    text = "".join(lines(40))
-    file.write_text(text)
-    r = incremental.TranscriptReader({"path": str(tmp_path)})
-    first = r.latestOffset()
-    assert r.latestOffset() == first
-    file.write_text(text[:3000] + text[3000:].replace("s1-3", "s1-X"))
-    os.utime(file, ns=(0, 12345))
-    assert [s.rewound for s in r.partitions(first, r.latestOffset())] == [True]
+def reader(tmp_path, most=1 << 20):
+    return incremental.TranscriptReader({"path": str(tmp_path / "root"), "progress": str(tmp_path / "progress"), "maxbytespertrigger": str(most)})
+
+
+def batches(tmp_path, start, most=1 << 20, many=200):
+    """Batches until nothing is new: the rows of each, and the last offset."""
+    out = []
+    for _ in range(many):
+        r = reader(tmp_path, most)  # a new one each time, as after a restart
+        end = r.latestOffset()
+        spans = r.partitions(start, end)
+        if not spans:
+            break
+        out.append([row for s in spans for row in r.read(s)])
+        start = end
+    return out, start
+
+
+def put(file, text, time):
+    file.parent.mkdir(exist_ok=True)
+    file.write_bytes(text if isinstance(text, bytes) else text.encode())
+    os.utime(file, ns=(time, time))
+
+
+def test_batches_are_bounded_from_the_first_and_whole(tmp_path):
+    file = tmp_path / "root" / "a.jsonl"
+    text = "".join(lines(50)) + "é" * 5000 + "\nlast\ntorn"
+    put(file, text, 1)
+    out, end = batches(tmp_path, {}, most=100)
+    data = text.encode()
+    assert [b for rows in out for _, at, n, b, _ in rows] == text.split("\n")[:-1]
+    assert all(data[at : at + n].decode() == b for rows in out for _, at, n, b, _ in rows)
+    assert len(out) == -(-len(data) // 100) and max(len(rows) for rows in out) <= 2
+    put(file, text + " mended\n", 2)
+    more, end = batches(tmp_path, end, most=100)
+    assert [r[3:] for rows in more for r in rows] == [("torn mended", False)]
+    assert batches(tmp_path, end) == ([], end)
+
+
+def test_any_changed_byte_is_seen(tmp_path, monkeypatch):
+    monkeypatch.setattr(incremental, "CHUNK", 64)
+    file = tmp_path / "root" / "a.jsonl"
+    text = "".join(f"line {i}\n" for i in range(40)).encode()
+    put(file, text, 1)
+    _, end = batches(tmp_path, {})
+    for time, at in enumerate([0, 63, 64, 65, len(text) // 2, len(text) - 2], 2):
+        text = text[:at] + b"#" + text[at + 1 :]
+        put(file, text, time)
+        out, end = batches(tmp_path, end)
+        assert len(out) == 1 and out[0][0][1] == -1 and all(r[4] for r in out[0])
+        assert b"".join(r[3].encode() + b"\n" for r in out[0][1:]) == text
+
+
+def test_emptied_torn_and_deleted_files(tmp_path):
+    file, other = tmp_path / "root" / "a.jsonl", tmp_path / "root" / "b.jsonl"
+    put(file, "one\ntwo\n", 1)
+    put(other, "o\n", 1)
+    _, end = batches(tmp_path, {})
+    put(file, "", 2)
+    out, end = batches(tmp_path, end)
+    assert out == [[(str(file), -1, 0, None, True)]]
+    put(file, "three\n", 3)
+    out, end = batches(tmp_path, end)
+    assert [r[3:] for r in out[0]] == [("three", False)]
+    put(file, "torn", 4)  # shorter, and no line
+    out, end = batches(tmp_path, end)
+    assert out == [[(str(file), -1, 0, None, True)]]
+    put(file, "torn no more\n", 5)
+    out, end = batches(tmp_path, end)
+    assert [r[3:] for r in out[0]] == [("torn no more", False)]
+    file.unlink()
+    assert batches(tmp_path, end)[0] == []
+    end = reader(tmp_path).latestOffset()
+    put(file, "another one, longer\n", 6)
+    out, end = batches(tmp_path, end)
+    assert [r[3:] for r in out[0]] == [(None, True), ("another one, longer", True)]
+    file.unlink()
+    end = reader(tmp_path).latestOffset()
+    put(file, "another one, longer\n", 7)  # back as it was
+    assert [r for rows in batches(tmp_path, end)[0] for r in rows] == []
+
+
+def test_an_unchanged_file_is_not_compared_again(tmp_path, monkeypatch):
+    put(tmp_path / "root" / "a.jsonl", "".join(lines(30)), 1)
+    seen = []
+    monkeypatch.setattr(incremental.Chain, "holds", lambda self, file: seen.append(self.end) or True)
+    batches(tmp_path, {}, most=200)
+    assert not seen
+
+
+def test_a_replayed_batch_gives_the_same_rows(tmp_path):
+    file = tmp_path / "root" / "a.jsonl"
+    put(file, "".join(lines(5)), 1)
+    _, start = batches(tmp_path, {})
+    put(file, "".join(lines(9)), 2)
+    r = reader(tmp_path)
+    end = r.latestOffset()
+    first, again = ([row for s in r.partitions(start, end) for row in r.read(s)] for _ in range(2))
+    assert first == again and len(first) == 4
+
+
+def test_an_emptied_file_leaves_no_facts(spark, tmp_path):
+    file = tmp_path / "root" / "s1.jsonl"
+    put(file, "".join(lines(6)), 1)
+    put(tmp_path / "root" / "s2.jsonl", "".join(lines(6, "s2")), 1)
+    out, ckpt = str(tmp_path / "out"), str(tmp_path / "ckpt")
+    run(spark, str(tmp_path / "root"), out, ckpt)
+    put(file, "", 2)
+    run(spark, str(tmp_path / "root"), out, ckpt)
+    for t in ("facts", "turns"):
+        assert {r["session_id"] for r in spark.read.parquet(f"{out}/{t}").select("session_id").collect()} == {"s2"}
 
 
 def test_a_session_that_vanishes_leaves_no_rows(spark, tmp_path):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,90 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LINE_SCHEMA = "path string, offset long, length int, text string, rewound boolean"
+#: Bytes of a link of a file's chain of digests, and of one read.
+CHUNK, PIECE = 8 << 20, 1 << 20
+
+
+def file_system(uri: str):
+    """The file system of a URI and the path in it: any that ``pyarrow.fs`` knows (local, HDFS, S3, GCS, ABFS)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri)
+
+
+class Chain:
+    """Digests of a file's chunks, each over the one before and the chunk's bytes: the last one stands for all.
+
+    ``links`` are (end, digest), at every multiple of ``CHUNK`` and at the end.
+    """
+
+    def __init__(self, links: list, size: int, mtime: int):
+        self.links, self.size, self.mtime = [tuple(x) for x in links], size, mtime
+
+    @property
+    def end(self) -> int:
+        return self.links[-1][0] if self.links else 0
+
+    def whole(self) -> list[tuple[int, str]]:
+        return [x for x in self.links if x[0] % CHUNK == 0]
+
+    def extended(self, file, end: int, size: int, mtime: int) -> Chain:
+        """The chain up to ``end``; only the last, unfinished chunk is read again."""
+        links = [x for x in self.whole() if x[0] <= end]
+        return Chain([*links, *_links(file, links[-1] if links else (0, ""), end)], size, mtime)
+
+    def holds(self, file) -> bool:
+        """Whether the file still has these bytes; the first chunk that differs ends the reading."""
+        found = _links(file, (0, ""), self.end)
+        return all(next(found, None) == x for x in self.links)
+
+
+def _links(file, start: tuple[int, str], end: int) -> Iterator[tuple[int, str]]:
+    at, before = start
+    while at < end:
+        upto, found = min(end, at - at % CHUNK + CHUNK), hashlib.sha256(before.encode())
+        file.seek(at)
+        while at < upto and (piece := file.read(min(PIECE, upto - at))):
+            found.update(piece)
+            at += len(piece)
+        if at < upto:  # the file is shorter than it was
+            return
+        before = found.hexdigest()
+        yield at, before
+
+
+def _line_start(file, at: int) -> int:
+    """Where the line that goes on at ``at`` begins."""
+    while at > 0:
+        first = max(0, at - PIECE)
+        file.seek(first)
+        cut = file.read(at - first).rfind(b"\n")
+        if cut >= 0:
+            return first + cut + 1
+        at = first
+    return 0
+
+
+def lines_ended(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """Offset and bytes of every line whose LF lies from ``start`` to before ``end``."""
+    at, held, first = start, None, start
+    while at < end:
+        file.seek(at)
+        piece = file.read(min(PIECE, end - at))
+        if not piece:
+            return
+        parts = piece.split(b"\n")
+        if len(parts) > 1 and held is None:  # the first line may have begun long before
+            first = _line_start(file, start)
+            file.seek(first)
+            held = [file.read(at - first)]
+        for part in parts[:-1]:
+            line = b"".join([*held, part])
+            yield first, line
+            first, held = first + len(line) + 1, []
+        if held is not None:
+            held.append(parts[-1])
+        at += len(piece)
 
 
 class Span(InputPartition):
@@ -21,89 +106,98 @@ class Span(InputPartition):
 
 
 class TranscriptReader(DataSourceStreamReader):
-    """The offset is a map of file to (bytes read, their hash, time of the file's last change).
-
-    A batch ends each file at its last line end, and at ``maxBytesPerTrigger`` bytes in all; a record
-    longer than that doubles the limit for its file.  A file that has shrunk, or has changed and holds
-    other bytes where it was read before, is read again from the start, its lines marked ``rewound``.  Files must lie in a file system that
-    every task can open.
+    """The offset maps each file to the bytes taken, its size and time then, and a generation.
+
+    The driver lists sizes and times, and reads no file.  A batch takes ``maxBytesPerTrigger`` bytes in
+    all, cut anywhere: a line belongs to the batch that holds its LF, so a long record just waits for it,
+    and a torn tail gives no row.  The task of a file keeps a chain of chunk digests of what it has
+    taken under ``progress`` (a folder that driver and tasks share).  When a file's size or time is not
+    the one of its chain, the chunks are compared first; a file that has shrunk, was emptied or holds other
+    bytes anywhere is read again from its start.  Its rows are ``rewound``, the first of them with offset -1
+    and no text, so that a file without any line left is noticed too.  A deleted file keeps its place, and is
+    compared when it comes back.  ``progress`` also keeps the offset planned last, so that the first batch
+    after a restart is bounded like the others.  The engine plans a source of this kind only once for
+    ``trigger(availableNow=True)``: leave the limit off for that trigger.
     """
 
     def __init__(self, options: dict):
-        self.root = options["path"].removeprefix("file://")
-        self.most = int(options.get("maxbytespertrigger", 8 << 20))
+        if "progress" not in options:
+            raise ValueError("option progress must name a folder that driver and tasks share")
+        self.fs, self.root = file_system(options["path"])
+        self.kept, self.progress = file_system(options["progress"])
+        self.most = int(options.get("maxbytespertrigger", 1 << 62))
 
     def initialOffset(self) -> dict:
-        self._known: dict = {}
         return {}
 
-    def _files(self) -> list[str]:
-        import glob
+    def _write(self, name: str, what: dict) -> None:
+        """Under another name first: a reader finds either the old file or the new one."""
+        to = f"{self.progress}/{name}"
+        self.kept.create_dir(to.rsplit("/", 1)[0], recursive=True)
+        with self.kept.open_output_stream(part := f"{to}.{uuid.uuid4().hex}") as f:
+            f.write(json.dumps(what).encode())
+        self.kept.move(part, to)
 
-        return sorted(glob.glob(f"{self.root}/**/*.jsonl", recursive=True))
-
-    def _hash(self, path: str, n: int) -> str:
-        """Of the first ``n`` bytes, read in pieces."""
-        found = hashlib.sha256()
-        with open(path, "rb") as f:
-            while n > 0 and (piece := f.read(min(n, 1 << 20))):
-                found.update(piece)
-                n -= len(piece)
-        return found.hexdigest()
+    def _load(self, name: str) -> dict | None:
+        try:
+            with self.kept.open_input_stream(f"{self.progress}/{name}") as f:
+                return json.loads(f.read())
+        except FileNotFoundError:
+            return None
 
     def latestOffset(self) -> dict:
-        import os
-
-        # after a restart the offsets reached are only known to the engine; the first batch then takes all there is
-        known = getattr(self, "_known", None)
-        out, left = dict(known or {}), self.most if known is not None else None
-        for path in self._files():
-            size = os.path.getsize(path)
-            seen = out.get(path)
-            start = seen["at"] if seen and not self._rewritten(path, seen) else 0
-            if start == size or (left is not None and left <= 0):
+        from pyarrow import fs
+
+        known = self._load("planned.json") or {}
+        out = {path: seen | {"gone": True} for path, seen in known.items()}
+        left = self.most
+        for info in sorted(self.fs.get_file_info(fs.FileSelector(self.root, allow_not_found=True, recursive=True)), key=lambda x: x.path):
+            if not info.is_file or not info.path.endswith(".jsonl"):
+                continue
+            seen = known.get(info.path, {"at": 0, "size": 0, "mtime": 0, "generation": 0})
+            now = {"size": info.size, "mtime": info.mtime_ns}
+            shrunk = info.size < seen["at"]
+            start = 0 if shrunk else seen["at"]
+            take = min(left, info.size - start)
+            if not (shrunk or take or (start == info.size and (seen["size"], seen["mtime"]) != (info.size, info.mtime_ns))):
+                if info.path in known:
+                    out[info.path] = {k: v for k, v in seen.items() if k != "gone"}
                 continue
-            take = left if left is not None else size
-            while True:
-                with open(path, "rb") as f:
-                    f.seek(start)
-                    chunk = f.read(take)
-                cut = chunk.rfind(b"\n") + 1
-                if cut or start + len(chunk) >= size:
-                    break
-                take *= 2
-            if cut:
-                out[path] = {"at": start + cut, "hash": self._hash(path, start + cut), "changed": os.stat(path).st_mtime_ns}
-                left = left - cut if left is not None else None
-        self._known = out
+            out[info.path] = now | {"at": start + take, "generation": seen["generation"] + shrunk}
+            left -= take
+        if out != known:
+            self._write("planned.json", out)
         return out
 
-    def _rewritten(self, path: str, seen: dict) -> bool:
-        import os
-
-        now = os.stat(path)
-        return now.st_size < seen["at"] or (now.st_mtime_ns != seen["changed"] and self._hash(path, seen["at"]) != seen["hash"])
-
     def partitions(self, start: dict, end: dict) -> list[Span]:
         spans = []
         for path, e in end.items():
             s = start.get(path)
-            if s != e:
-                again = bool(s) and (e["at"] < s["at"] or self._rewritten(path, s))
+            if not e.get("gone") and (s is None or {k: v for k, v in s.items() if k != "gone"} != e or s.get("gone")):
+                again = s is not None and e["generation"] != s["generation"]
                 spans.append(Span(path, s["at"] if s and not again else 0, e["at"], again))
         return spans
 
-    def read(self, partition: Span) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            f.seek(partition.start)
-            at = partition.start
-            while at < partition.end:
-                line = f.readline()
-                yield partition.path, at, len(line) - 1, line[:-1].decode("utf-8", "replace"), partition.rewound
-                at += len(line)
+    def _chain(self, path: str, end: int) -> str:
+        return f"chains/{hashlib.sha256(path.encode()).hexdigest()}/{end}.json"
 
-    def commit(self, end: dict) -> None:
-        self._known = end
+    def read(self, partition: Span) -> Iterator[tuple]:
+        path, start = partition.path, partition.start
+        info = self.fs.get_file_info(path)
+        if not info.is_file:  # deleted since the batch was planned
+            return
+        end = min(partition.end, info.size)
+        with self.fs.open_input_file(path) as file:
+            kept = self._load(self._chain(path, start)) if start else None
+            chain = Chain(**kept) if kept else Chain([], info.size, info.mtime_ns)
+            same = start == 0 or (kept is not None and ((chain.size, chain.mtime) == (info.size, info.mtime_ns) or (info.size >= chain.end and chain.holds(file))))
+            rewound = partition.rewound or not same
+            if rewound:
+                start, chain = 0, Chain([], info.size, info.mtime_ns)
+                yield path, -1, 0, None, True
+            for at, line in lines_ended(file, start, end):
+                yield path, at, len(line), line.decode("utf-8", "replace"), rewound
+            self._write(self._chain(path, partition.end), vars(chain.extended(file, end, info.size, info.mtime_ns)))
 
 
 class TranscriptSource(DataSource):
@@ -158,12 +252,14 @@ class FactTable:
             gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/bucket={bucket}")
             gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
-    def batch(self, rows: DataFrame, batch_id: int = 0) -> None:
-        """For ``foreachBatch``: facts with path, offset, session_id and ``rewound``."""
+    def batch(self, rows: DataFrame, batch_id: int = 0, again: DataFrame | None = None) -> None:
+        """For ``foreachBatch``: facts with path, offset, session_id and ``rewound``; ``again`` has the path of every file
+        that is read anew, also of those without any fact left."""
         rows = rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int")).persist()
         try:
             touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most as many as buckets
-            again = rows.filter("rewound").select("path").distinct()
+            marked = rows.filter("rewound").select("path")
+            again = (marked if again is None else marked.union(again.select("path"))).distinct()
             old = self._read("facts")
             new = rows.drop("rewound")
             if old is not None:
