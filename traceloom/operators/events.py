@@ -170,20 +170,20 @@ def agent_links(rows: DataFrame) -> DataFrame:
 
 
 def result_text(content: Column) -> Column:
-    """H5: text of a tool result, whole or in blocks."""
-    texts = F.transform(F.filter(F.from_json(F.to_json(content), "array<struct<type: string, text: string>>"), lambda b: b["text"].isNotNull()), lambda b: b["text"])
+    """H5: text of a tool result, whole or in blocks; blocks without text leave no line."""
+    texts = F.transform(F.filter(F.from_json(F.to_json(content), "array<struct<type: string, text: string>>"), lambda b: b["text"] != ""), lambda b: b["text"])
     return F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string")).otherwise(F.coalesce(F.array_join(texts, "\n"), F.lit("")))
 
 
 def blobs(rows: DataFrame) -> DataFrame:
-    """The text of each tool result; errors as they are, else what the command printed."""
+    """The text of each failed tool result, and what successful commands printed; other results have no blob."""
     v = F.col("v")
     out, err = X.json_str(v, "$.toolUseResult.stdout"), X.json_str(v, "$.toolUseResult.stderr")
     printed = F.concat_ws("\n", F.when(F.trim(out) != "", out), F.when(F.trim(err) != "", err))
     own = X.json_str(v, "$.sessionId")
     r = rows.filter(own.isNotNull() & X.json_str(v, "$.timestamp").isNotNull()).select("path", "offset", own.alias("session_id"), "ts", printed.alias("printed"), F.explode(F.filter("blocks", lambda b: b["type"] == "tool_result")).alias("b"))
     failed = F.coalesce("b.is_error", F.lit(False))
-    return r.select("path", "offset", "session_id", "ts", F.col("b.tool_use_id").alias("tool_use_id"), failed.alias("is_error"), F.when(failed | (F.col("printed") == ""), result_text(F.col("b.content"))).otherwise(F.col("printed")).alias("raw_text")).filter(F.trim("raw_text") != "")
+    return r.select("path", "offset", "session_id", "ts", F.col("b.tool_use_id").alias("tool_use_id"), failed.alias("is_error"), F.when(failed, result_text(F.col("b.content"))).otherwise(F.col("printed")).alias("raw_text")).filter(F.trim("raw_text") != "")
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))

@@ -10,19 +10,27 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of a plan's size."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def small(df: DataFrame, most_bytes: int = 64 << 20) -> DataFrame:
     """A broadcast hint where the optimizer's size estimate stays within ``most_bytes``; the plain side beyond it."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= most_bytes else df
+    return F.broadcast(df) if plan_bytes(df) <= most_bytes else df
 
 
 def tool_names(results: DataFrame, uses: DataFrame) -> DataFrame:
-    """Each result's tool name, from the last use of its id before it; an id is used up by its first result."""
-    met = results.alias("r").join(uses.select("path", "tool_use_id", F.col("offset").alias("use_offset"), "name"), ["path", "tool_use_id"], "left")
-    met = met.withColumn("use_", F.when(F.col("use_offset") <= F.col("offset"), F.struct("use_offset", "name")))
-    named = met.groupBy(*results.columns).agg(F.max("use_").alias("use_"))
-    first = F.row_number().over(Window.partitionBy("path", "tool_use_id").orderBy("offset"))
-    return named.withColumn("n_", first).select(*results.columns, F.coalesce(F.when(F.col("n_") == 1, F.col("use_.name")), F.lit("generic")).alias("tool_name"))
+    """Each result's tool name: a use sets the name of its id, the next result of that id takes it, whatever follows is generic.
+
+    Only keys are shuffled; the names are joined back on (path, offset, tool_use_id).
+    """
+    keys = ["path", "tool_use_id", "offset"]
+    met = uses.select(*keys, F.lit(0).alias("side_"), "name").unionByName(results.select(*keys, F.lit(1).alias("side_"), F.lit(None).cast("string").alias("name")))
+    before = F.lag("name").over(Window.partitionBy("path", "tool_use_id").orderBy("offset", "side_"))
+    named = met.withColumn("tool_name", before).filter("side_ = 1").groupBy(*keys).agg(F.coalesce(F.max("tool_name"), F.lit("generic")).alias("tool_name"))
+    # a result without an id has no name to wait for
+    return results.join(named, keys, "left").select(*results.columns, F.coalesce("tool_name", F.lit("generic")).alias("tool_name"))
 
 
 def merge_halves(rows: DataFrame, key: str, parts: list[str]) -> DataFrame:
@@ -125,16 +133,6 @@ def match_slugs(hits: DataFrame, slugs: DataFrame, key: str, texts: list[str]) -
     return hits.join(met, key, "left")
 
 
-def asof(rows: DataFrame, key: str, at: str, prices: DataFrame, effective: str, values: list[str]) -> DataFrame:
-    """C14: the latest row of ``prices`` at or before ``at``, by one sort of both sides instead of a range join."""
-    types = dict(prices.dtypes)
-    left = rows.select(F.col(key).alias("k_"), F.col(at).alias("t_"), F.lit(1).alias("side_"), F.struct(*rows.columns).alias("row_"), *[F.lit(None).cast(types[v]).alias(v) for v in values])
-    right = prices.select(F.col(key).alias("k_"), F.col(effective).alias("t_"), F.lit(0).alias("side_"), F.lit(None).cast(left.schema["row_"].dataType).alias("row_"), *values)
-    w = Window.partitionBy("k_").orderBy("t_", "side_").rowsBetween(Window.unboundedPreceding, 0)
-    price = F.last_value(F.when(F.col("side_") == 0, F.struct(*values)), True).over(w)
-    return left.union(right).withColumn("p_", price).filter("side_ = 1").select("row_.*", *[F.col(f"p_.{v}").alias(v) for v in values])
-
-
 def dangling(edges: DataFrame, namespaces: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Per namespace, edge endpoints and those without an entity row (endpoints count, not distinct ones)."""
     ends = edges.select(F.col("source_ref").alias("ref")).union(edges.select("target_ref"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from . import scan
 
 ANY = "<*>"
 
@@ -134,8 +135,8 @@ def support(t: DataFrame) -> DataFrame:
     return t.agg(F.count("*").alias("templates"), one.alias("singletons"), (F.count("*") - one).alias("recurring"), F.round(F.try_divide(one, F.count("*")), 4).alias("singleton_rate"))
 
 
-def growth_curve(first_seen: DataFrame, every: int, partition: str = "tool_type") -> DataFrame:
+def growth_curve(first_seen: DataFrame, every: int, partition: str = "tool_type", **limits) -> DataFrame:
     """Templates so far by blobs seen, every ``every`` blobs.  ``first_seen``: partition, arrival, is_first."""
-    w = Window.partitionBy(partition).orderBy("arrival")
-    run = first_seen.select(partition, F.row_number().over(w).alias("blobs"), F.sum(F.col("is_first").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("templates"))
-    return run.filter(F.col("blobs") % every == 0)
+    rows = first_seen.select(partition, "arrival", "is_first")
+    run = scan.running(rows, [partition], ["arrival"], counts={"blobs": F.lit(True), "templates": F.col("is_first")}, **limits)
+    return run.select(partition, "blobs", "templates").filter(F.col("blobs") % every == 0)

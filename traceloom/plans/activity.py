@@ -163,9 +163,9 @@ def merge_halves(spark, sf_dir):
 
 
 @query("tool_names", """
-WITH e AS (SELECT user_id AS path, CAST(floor(value) AS BIGINT) % 5 AS tool_use_id, event_id AS "offset", event_type, props FROM events),
-m AS (SELECT r.path, r.tool_use_id, r."offset", arg_max(u.props, u."offset") AS name FROM e r LEFT JOIN e u ON u.event_type = 'click' AND u.path = r.path AND u.tool_use_id = r.tool_use_id AND u."offset" <= r."offset" WHERE r.event_type = 'error' GROUP BY ALL)
-SELECT path, tool_use_id, "offset", CASE WHEN row_number() OVER (PARTITION BY path, tool_use_id ORDER BY "offset") = 1 THEN coalesce(name, 'generic') ELSE 'generic' END AS tool_name FROM m""")
+WITH e AS (SELECT user_id AS path, CAST(floor(value) AS BIGINT) % 5 AS tool_use_id, event_id AS "offset", event_type, props FROM events WHERE event_type IN ('click', 'error')),
+m AS (SELECT *, lag(CASE WHEN event_type = 'click' THEN props END) OVER (PARTITION BY path, tool_use_id ORDER BY "offset") AS name FROM e)
+SELECT path, tool_use_id, "offset", coalesce(name, 'generic') AS tool_name FROM m WHERE event_type = 'error'""")
 def tool_names(spark, sf_dir):
     e = _t(spark, sf_dir, "events").selectExpr("user_id AS path", "CAST(floor(value) AS BIGINT) % 5 AS tool_use_id", "event_id AS offset", "event_type", "props AS name")
     return joins.tool_names(e.filter("event_type = 'error'").drop("event_type", "name"), e.filter("event_type = 'click'"))

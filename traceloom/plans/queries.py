@@ -143,7 +143,7 @@ SELECT o.o_orderkey, m.price FROM (SELECT o_orderkey, o_custkey % 100 AS k, o_or
 def asof_price(spark, sf_dir):
     prices = _t(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("k"), F.date_trunc("month", "l_shipdate").cast("timestamp_ntz").alias("d")).agg(F.max(F.round("l_extendedprice")).cast("long").alias("price"))
     rows = _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 100).alias("k"), "o_orderdate")
-    return joins.asof(rows, "k", "o_orderdate", prices, "d", ["price"]).select("o_orderkey", "price")
+    return turns.asof(rows, "k", "o_orderdate", prices, "d", ["price"]).select("o_orderkey", "price")
 
 
 @query("last_in_effect", """
