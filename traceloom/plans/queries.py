@@ -268,11 +268,11 @@ def template_support(spark, sf_dir):
     return templates.support(templates.templates(_assigned(spark, sf_dir)))
 
 
-_TOKENS = r"SELECT doc_id AS span_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS token FROM documents"
+_TOKENS = r"SELECT doc_id AS span_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\p{L}\p{N}]+'))) AS token FROM documents"
 
 
 @query("search_match", f"""
-WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'))) AS token FROM benchmark), k AS (SELECT query_id, count(*) AS k FROM q GROUP BY 1), t AS ({_TOKENS})
+WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(regexp_extract_all(strip_accents(lower(text)), '[\\p{{L}}\\p{{N}}]+'))) AS token FROM benchmark), k AS (SELECT query_id, count(*) AS k FROM q GROUP BY 1), t AS ({_TOKENS})
 SELECT query_id, span_id FROM q JOIN t USING (token) JOIN k USING (query_id) GROUP BY query_id, span_id, k HAVING count(*) = k""")
 def search_match(spark, sf_dir):
     spans = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("span_id"), F.lit("text").alias("field"), "text")
