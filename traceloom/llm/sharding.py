@@ -28,6 +28,12 @@ from .common import saved
 BUCKET_ROWS = 20_000
 
 
+def _kept(df: DataFrame, name: str, n: int) -> DataFrame:
+    """As ``saved``, in few files where there are few rows."""
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(df.coalesce(min(most, max(8, n // BUCKET_ROWS))), name, "snappy")
+
+
 def numbered(rows: DataFrame, by: list[str], order: list[Column], name: str, buckets: int) -> DataFrame:
     """``name``: 0, 1, 2, ... within ``by``, by ``order`` and then by the hash of ``id``, through counts of buckets."""
     orders = {f"o{i}_": c for i, c in enumerate(order)}
@@ -92,7 +98,7 @@ def quotas(asked: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int
 def memberships(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
     """``id``, ``key``, ``degree``, ``common``: the keys that a row shares with another row."""
     all_ = rows.select("id", F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(k).alias("value")) for i, k in enumerate(keys)])).alias("key")).filter("key.value is not null")
-    degrees = saved(all_.groupBy("key").agg(F.count("*").alias("degree")).filter("degree > 1"), "shard-degrees")
+    degrees = _kept(all_.groupBy("key").agg(F.count("*").alias("degree")).filter("degree > 1"), "shard-degrees", n_rows)
     least = max(2, n_rows * len(keys) // 1000 + 1)  # so fewer than 1,000 keys are common
     common = F.broadcast(degrees.filter(F.col("degree") >= least))
     hot = all_.join(common, "key").withColumn("common", F.lit(True))
@@ -100,10 +106,10 @@ def memberships(rows: DataFrame, keys: list[str], n_rows: int) -> DataFrame:
     return hot.unionByName(rest).select("id", "key", "degree", "common")
 
 
-def votes(links: DataFrame, placed: DataFrame, round_no: int, open_shards: list[int]) -> DataFrame:
+def votes(links: DataFrame, placed: DataFrame, n: int, round_no: int, open_shards: list[int]) -> DataFrame:
     """``id``, ``shard``, ``target``, ``size_class``: rows that would rather be in another shard, of those open to them."""
     at = links.join(placed, "id")
-    tally = saved(at.groupBy("key", "common", F.col("shard").alias("to")).agg(F.count("*").alias("n")), "shard-tally")
+    tally = _kept(at.groupBy("key", "common", F.col("shard").alias("to")).agg(F.count("*").alias("n")), "shard-tally", n)
     hot = at.filter("common").join(F.broadcast(tally.filter("common").drop("common")), "key")
     rest = at.filter("not common").join(tally.filter("not common").drop("common"), "key")
     met = hot.unionByName(rest).filter(F.col("to").isin(open_shards) | (F.col("to") == F.col("shard")))
@@ -119,7 +125,7 @@ def propagate(links: DataFrame, shares: list[int], rounds: int = 16, report: dic
     ids = links.select("id").distinct()
     n = ids.count()
     buckets = max(16, n // BUCKET_ROWS)
-    placed = saved(numbered(ids, [], [], "number", buckets).select("id", F.pmod("number", F.lit(shards)).cast("int").alias("shard")), "shard-placed")
+    placed = _kept(numbered(ids, [], [], "number", buckets).select("id", F.pmod("number", F.lit(shards)).cast("int").alias("shard")), "shard-placed", n)
     load = [n // shards + (j < n % shards) for j in range(shards)]
     idle, moved = 0, []
     for round_no in range(rounds if n else 0):
@@ -127,7 +133,7 @@ def propagate(links: DataFrame, shares: list[int], rounds: int = 16, report: dic
         # by turns any shard may be asked for, which lets full ones exchange rows, or those with room (where all are full, half of them)
         some = [j for j in range(shards) if room[j] > 0] or [(j + round_no // 2) % shards for j in range(shards // 2)]
         open_shards = some if round_no % 2 else list(range(shards))
-        asks = saved(votes(links, placed, round_no, open_shards), "shard-asks")
+        asks = _kept(votes(links, placed, n, round_no, open_shards), "shard-asks", n)
         asked = {(r["shard"], r["target"]): r["n"] for r in asks.groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
         quota = {k: q for k, q in quotas(asked, room).items() if q}
         moved.append(sum(quota.values()))
@@ -138,7 +144,7 @@ def propagate(links: DataFrame, shares: list[int], rounds: int = 16, report: dic
             continue
         may = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for (i, j), q in sorted(quota.items()) for x in (i * shards + j, q)]), F.col("shard") * shards + F.col("target")), F.lit(0))
         goes = numbered(asks, ["shard", "target"], [F.col("size_class"), F.col("key_part")], "number", buckets).filter(F.col("number") < may).select("id", "target")
-        placed = saved(placed.join(goes, "id", "left").select("id", F.coalesce("target", "shard").alias("shard")), "shard-placed")
+        placed = _kept(placed.join(goes, "id", "left").select("id", F.coalesce("target", "shard").alias("shard")), "shard-placed", n)
         for (i, j), q in quota.items():
             load[i] -= q
             load[j] += q
@@ -155,12 +161,12 @@ def assign(rows: DataFrame, keys: list[str], shards: int = 8, rounds: int = 16,
     """
     n = rows.count()
     shares = [n // shards + (j < n % shards) for j in range(shards)]
-    links = saved(memberships(rows, keys, n), "shard-links")
+    links = _kept(memberships(rows, keys, n), "shard-links", n)
     placed, load = propagate(links, shares, rounds, report)
     buckets = max(16, n // BUCKET_ROWS)
     free = numbered(rows.select("id").join(placed.select("id"), "id", "left_anti"), [], [], "number", buckets)
     filled = free.select("id", by_number("number", [share - held for share, held in zip(shares, load)]).alias("shard"))
-    whole = saved(rows.join(placed.unionByName(filled), "id"), "shard-rows")
+    whole = _kept(rows.join(placed.unionByName(filled), "id"), "shard-rows", n)
     return numbered(whole, ["shard"], [], "slot", buckets)
 
 
@@ -168,5 +174,5 @@ def shard_documents(docs: DataFrame, shards: int = 8, report: dict | None = None
     """``doc_id``, ``size``, ``text_crc32``, ``shard``, ``slot``: documents of equal text are kept together."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("same_text"))
-    rows = saved(rows.withColumn("id", F.monotonically_increasing_id()), "shard-ids")
+    rows = saved(rows.withColumn("id", F.monotonically_increasing_id()), "shard-ids", "snappy")
     return assign(rows, ["same_text"], shards, report=report).select("doc_id", "size", "text_crc32", "shard", "slot")
