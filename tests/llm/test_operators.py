@@ -322,6 +322,12 @@ def test_ann_recall_and_odd_vectors(spark):
     assert ann.search(v.limit(0)).count() == 0
 
 
+def test_ann_of_two_lengths_and_repeated_ids(spark):
+    rows = [(i, [float(i), 0.0, 1.0]) for i in range(1, 40)] + [(100, [7.2, 0.0, 1.0]), (100, [9.2, 0.0, 1.0]), (200, [1.0, 2.0]), (201, [1.0, 3.0]), (202, [1.0, 9.0]), (202, [1.0, 2.5])]
+    got = sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).collect())
+    assert [(q, n, i) for q, n, i, _ in got] == [(100, 1, 7), (100, 2, 8), (100, 3, 6), (200, 1, 202), (200, 2, 201), (200, 3, 202)]
+
+
 def test_toxicity_learns_words_and_index_is_exact(spark):
     r = random.Random(3)
     bad = ["awfulword", "nastything", "meanies"]
@@ -433,11 +439,11 @@ def test_lm_prefers_what_the_corpus_says(spark):
     rows = [(i, "the cat sat on the mat and the dog lay on the rug " * 5) for i in range(30)] + [(100, "mat the on on rug dog the and lay cat sat the " * 5), (101, None), (101, "")]
     d = docs(spark, rows)
     out = collections.defaultdict(list)
-    for r in lm.score(d, lm.fit(d)).collect():
+    for r in lm.score_own(lm.fit(d)).collect():
         out[r["doc_id"]].append(r)
     assert out[0][0]["per_token"] > out[100][0]["per_token"] and out[0][0]["n_tokens"] == 65
     assert [(r["n_tokens"], r["log_prob"], r["per_token"]) for r in out[101]] == [(0, 0.0, None)] * 2
-    assert lm.score(docs(spark, []), lm.fit(docs(spark, []))).count() == 0
+    assert lm.score_own(lm.fit(docs(spark, []))).count() == 0 and lm.score(docs(spark, []), lm.fit(docs(spark, []))).count() == 0
 
 
 def test_lm_counts_every_word_and_window(spark, monkeypatch):
@@ -464,7 +470,8 @@ def test_lm_counts_every_word_and_window(spark, monkeypatch):
             out += math.log((full[a, w, c] - less + lm.SMOOTH * net) / (pair[a, c] - less + lm.SMOOTH))
         return out
 
-    got = sorted((r["doc_id"], r["log_prob"]) for r in lm.score(d, model).collect())
+    got = sorted((r["doc_id"], r["log_prob"]) for r in lm.score_own(model).collect())
+    assert sorted((r["doc_id"], r["log_prob"]) for r in lm.score(d, model).collect()) == sorted((r["doc_id"], r["log_prob"]) for r in lm.score(d.select("*"), model).collect())
     want = sorted((i, log_prob(t, 1)) for (i, _), t in zip(rows, windows))
     assert [g[0] for g in got] == [w[0] for w in want] and np.allclose([g[1] for g in got], [w[1] for w in want])
     other = {r["doc_id"]: r for r in lm.score(docs(spark, [rows[3], (900, "never seen"), (901, None)]), model).collect()}

@@ -6,22 +6,24 @@ leaves; a bounded set of queries is answered by brute force over all rows, and t
 leaves visited is widened until these reach the recall asked for.  The visits then meet the
 leaves in a grouped Spark job, in which a large leaf is split into parts.
 
-Defined cases: vectors that are null, zero, hold null or non-finite components, or whose length
-is not the most common one (ties: the smaller) take no part, neither do null ids; rows with the
-query's own id are never its neighbours; an empty table, or a query without candidates, gives no
+Defined cases: vectors that are null, zero, or hold null or non-finite components take no part,
+neither do null ids; vectors of different lengths are no candidates for each other, so each length
+is searched by itself; of several rows of one query id the vector that sorts first asks, and all
+of them stay candidates of others; rows with the query's own id are never its neighbours; an empty table, or a query without candidates, gives no
 rows; ties go to the smaller ``vec_id``; columns other than ``vec_id`` and ``embedding`` are ignored.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import hashed_sample, saved
 
 #: Bounds of what is held by the driver and sent to the tasks: vectors that fit the tree, and queries that calibrate it.
 SAMPLE_ROWS, CALIBRATION_QUERIES = 16_384, 128
@@ -30,9 +32,7 @@ SAMPLE_ROWS, CALIBRATION_QUERIES = 16_384, 128
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id``, ``embedding`` (array of float) of the vectors that take part."""
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
-    v = v.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
-    lengths = v.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.filter(F.size("embedding") == lengths[0]["n"]) if lengths else v
+    return v.filter("vec_id is not null and embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(embedding, x -> x <> 0)")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -155,9 +155,17 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
 
     ``report``, if given, receives the number of leaves and of those visited.
     """
-    spark = vectors.sparkSession
     v = usable(vectors)
-    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").collect()
+    lengths = sorted(r[0] for r in v.select(F.size("embedding")).distinct().collect())  # a handful
+    found = [_search(v.filter(F.size("embedding") == n), is_query, k, recall, report) for n in lengths]
+    empty = v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score")).limit(0)
+    return reduce(DataFrame.union, found) if found else empty
+
+
+def _search(v: DataFrame, is_query: str, k: int, recall: float, report: dict | None) -> DataFrame:
+    """Of vectors of one length."""
+    spark = v.sparkSession
+    sample = hashed_sample(v, "vec_id", SAMPLE_ROWS).select("embedding").limit(SAMPLE_ROWS).collect()
     tree = Tree(np.array([r["embedding"] for r in sample]) if sample else np.zeros((0, 1)))
     sent = spark.sparkContext.broadcast(tree)
     held = saved(_with_leaf(v, sent), "ann-leaves")
@@ -165,7 +173,8 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
     total = sum(r["count"] for r in rows)
     part_rows = max(256, min(8192, total // 512))
     parts = {r["leaf"]: -(-r["count"] // part_rows) for r in rows}
-    first = held.filter(is_query).orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATION_QUERIES).collect()
+    asking = held.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    first = hashed_sample(asking, "vec_id", CALIBRATION_QUERIES).collect()
     most = _calibrate(held, tree, first, k, recall)
     if report is not None:
         report |= {"leaves": tree.leaves, "visited": most, "rows": total}
@@ -182,7 +191,7 @@ def search(vectors: DataFrame, is_query: str = "vec_id % 100 = 0", k: int = 10,
             mixed = (b.column(0).to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(mixed.astype(np.int64) % n)], ["vec_id", "embedding", "leaf", "part"])
 
-    asked = held.filter(is_query).select("vec_id", "embedding").mapInArrow(visits, "query_id long, q array<double>, leaf_ long, part_ long")
+    asked = asking.mapInArrow(visits, "query_id long, q array<double>, leaf_ long, part_ long")
     rows_ = held.mapInArrow(dealt, "vec_id long, embedding array<double>, leaf long, part long")
 
     def meet(key, left: pa.Table, right: pa.Table) -> pa.Table:

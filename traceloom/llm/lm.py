@@ -207,7 +207,6 @@ class Network:
 class Model(NamedTuple):
     """The corpus in blocks, its word counts by block, and what has a fixed size: own words, totals and log probabilities of classes."""
 
-    docs: DataFrame
     held: DataFrame
     words: DataFrame
     parts: int
@@ -255,19 +254,31 @@ def fit(docs: DataFrame) -> Model:
     counts = np.zeros(cells)
     counts[np.array([r["window"] for r in found], np.int64)] = [r["n"] for r in found]
     _, logp = Network().fit(counts.reshape(-1, CLASSES)).forward()
-    return Model(docs, held, words, parts, own, totals, logp.ravel())
+    return Model(held, words, parts, own, totals, logp.ravel())
+
+
+def score_own(model: Model) -> DataFrame:
+    """As ``score``, of the documents that the model was fitted on: a token's own occurrence is left out of the counts."""
+    return _score(None, model)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id``, ``n_tokens``, ``log_prob`` (sum of conditional log probabilities) and ``per_token`` (its mean) of every document."""
-    inside = docs is model.docs
+    """``doc_id``, ``n_tokens``, ``log_prob`` (sum of conditional log probabilities) and ``per_token`` (its mean) of every document.
+
+    The documents are new to the model, whatever they hold; see ``score_own`` for those it was fitted on.
+    """
+    return _score(docs, model)
+
+
+def _score(docs: DataFrame | None, model: Model) -> DataFrame:
+    inside = docs is None
     held = model.held if inside else bucketed(blocks(docs).withColumn("block", -F.col("block") - 1), "block")
     asked = None if inside else held
     words = model.words if inside else _counted(model.held, asked, word_keys, model.parts, "lm-words")
     windows = _counted(model.held, asked, window_keys, model.parts, "lm-windows")
     back = words.withColumn("window", F.lit(False)).union(windows.withColumn("window", F.lit(True))).filter("block is not null" if inside else "block < 0")
     parts, own, totals = model.parts, model.own, model.totals
-    sent = docs.sparkSession.sparkContext.broadcast(model.logp)
+    sent = held.sparkSession.sparkContext.broadcast(model.logp)
     less = int(inside)  # a token's own occurrence
 
     def put_together(key, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -20,12 +20,11 @@ def op2_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("evidence")
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm.score(docs, lm.fit(docs))
+    return lm.score_own(lm.fit(table(spark, sf_dir, "documents")))
 
 
 def op5_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:

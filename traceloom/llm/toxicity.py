@@ -5,8 +5,9 @@ labelled rows, Spark counts each term's documents by class (near copies once); t
 either class beyond chance form the index vocabulary, weighted by plain TF-IDF.  A bounded sample of labelled
 rows, half of it of each class as far as they go, becomes the example index: postings sorted by example, cut into
 blocks with the largest weight of each term.  A text visits blocks in the order of their cosine bound until none
-can hold a nearer example.  Votes of the nearest examples, weighted by the fourth power of the cosine, are
-calibrated on a bounded sample of labelled rows, each without itself among the examples.
+can hold a nearer example; examples of the very same text are no evidence for it, in calibration and in scores
+alike, so no text's own label enters its score.  Votes of the nearest examples, weighted by the fourth power of the cosine, are
+calibrated on a bounded sample of labelled rows.
 
 Defined cases: null and empty texts, and texts without a term of the vocabulary, have no
 neighbours and get the calibrated score of such texts; equal cosines go to the smaller example
@@ -17,6 +18,7 @@ any); repeated rows give a row each; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
@@ -30,13 +32,19 @@ from .common import hashed_sample, saved
 
 #: Bounds of the model, which is held by the driver and sent to the tasks.
 EXAMPLES, TERMS, CALIBRATION_ROWS = 4_000, 20_000, 8_000
-NEIGHBOURS, POWER = 31, 4
+#: Labelled rows that must hold a term before the G-test can judge it, neighbours that vote, and the power of the cosine.
+LEAST_ROWS, NEIGHBOURS, POWER = 3, 31, 4
 _WORD = re.compile(r"[^\W_]+")
 
 SCHEMA = "doc_id long, score double, evidence array<struct<example: long, toxic: int, cosine: double>>"
 
 
-def terms_of(text: str | None, most: int | None = None) -> dict[str, int]:
+def text_key(text: str | None) -> int:
+    """By which a text knows the examples that are itself."""
+    return int.from_bytes(hashlib.blake2b((text or "").encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def terms_of(text: str | None) -> dict[str, int]:
     """Term -> count; whole words as they are, first five characters with a mark behind."""
     out: dict[str, int] = {}
     for w in _WORD.findall((text or "").lower()):
@@ -50,16 +58,17 @@ def terms_of(text: str | None, most: int | None = None) -> dict[str, int]:
 class Index:
     """Examples as blocks of postings, with each block's largest weight of each term."""
 
-    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], block: int = 64):
+    def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], block: int = 64, keys: list[int] | None = None):
         self.terms = {t: i for i, t in enumerate(sorted(idf))}
         self.idf = np.array([idf[t] for t in sorted(idf)])
-        found = [(i, y, *self.vector(tf)) for i, y, tf in sorted(examples, key=lambda x: x[0])]
+        found = [(i, y, *self.vector(tf), key) for (i, y, tf), key in sorted(zip(examples, keys or [0] * len(examples)), key=lambda x: x[0][0])]
         found = [x for x in found if len(x[2])]
         self.ids, self.labels, self.block = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int32), block
         n = -(-len(found) // block)
-        self.max = [({}, {}) for _ in range(n)]
+        self.keys = np.zeros(n * block, np.int64)
+        self.keys[: len(found)] = [x[4] for x in found]
         postings: list[dict[int, list]] = [{} for _ in range(n)]
-        for e, (_, _, t, w) in enumerate(found):
+        for e, (_, _, t, w, _) in enumerate(found):
             for a, b in zip(t.tolist(), w.tolist()):
                 postings[e // block].setdefault(a, []).append((e % block, b))
         self.postings = [{t: (np.array([x[0] for x in p]), np.array([x[1] for x in p])) for t, p in b.items()} for b in postings]
@@ -69,7 +78,6 @@ class Index:
             for t, (_, w) in b.items():
                 by_term.setdefault(t, []).append((k, w.max()))
         self.bounds = {t: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for t, v in by_term.items()}
-        del self.max
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of unit length."""
@@ -79,8 +87,8 @@ class Index:
         norm = np.sqrt((w * w).sum())
         return t, w / norm if norm else w
 
-    def nearest(self, tf: dict[str, int], k: int = 15) -> list[tuple[int, int, float]]:
-        """The ``k`` examples of largest cosine above 0: (id, label, cosine)."""
+    def nearest(self, tf: dict[str, int], k: int = 15, own: int | None = None) -> list[tuple[int, int, float]]:
+        """The ``k`` examples of largest cosine above 0: (id, label, cosine); those whose text has the key ``own`` are left out."""
         t, q = self.vector(tf)
         if not len(t):
             return []
@@ -98,6 +106,8 @@ class Index:
                 if a in self.postings[blk]:
                     at, w = self.postings[blk][a]
                     s[at] += b * w
+            if own is not None:
+                s[self.keys[blk * self.block : (blk + 1) * self.block] == own] = 0
             best += [(-s[i], blk * self.block + i) for i in np.flatnonzero(s > 0).tolist()]
             best = sorted(best)[:k]
         return [(int(self.ids[e]), int(self.labels[e]), float(min(1.0, -c))) for c, e in best]
@@ -108,7 +118,7 @@ class Model:
         self.index, self.grid, self.value, self.none = index, grid, value, none
 
     def score(self, text: str | None) -> tuple[float, list]:
-        near = self.index.nearest(terms_of(text), NEIGHBOURS) if self.index else []
+        near = self.index.nearest(terms_of(text), NEIGHBOURS, text_key(text)) if self.index else []
         return (self.calibrated(vote(near)) if near else self.none), near
 
     def calibrated(self, v: float) -> float:
@@ -177,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     share = n1 / n
     p = F.col("n1") / F.col("n")
     x = F.coalesce(F.col("n1") * F.log(p / share), F.lit(0.0)) + F.coalesce((F.col("n") - F.col("n1")) * F.log((1 - p) / (1 - share)), F.lit(0.0))
-    kept = counts.filter(F.col("n") >= 3).withColumn("g", 2 * x).filter(F.col("g") > 2 * math.log(n))
+    kept = counts.filter(F.col("n") >= LEAST_ROWS).withColumn("g", 2 * x).filter(F.col("g") > 2 * math.log(n))
     vocab = kept.orderBy(F.desc("g"), "term").limit(TERMS).collect()
     idf = {r["term"]: float(np.log(1 + n / r["n"])) for r in vocab}
     if not idf:
@@ -188,15 +198,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def only_known(batches):
         for b in batches:
             tf = [{t: c for t, c in terms_of(x.as_py()).items() if t in sent.value} for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(t) for t in tf], pa.list_(pa.string())), pa.array([list(t.values()) for t in tf], pa.list_(pa.int64()))], ["doc_id", "y", "t", "c"])
+            keys = pa.array([text_key(x.as_py()) for x in b.column(1)], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(t) for t in tf], pa.list_(pa.string())), pa.array([list(t.values()) for t in tf], pa.list_(pa.int64())), keys], ["doc_id", "y", "t", "c", "key"])
 
-    small = "doc_id long, y int, t array<string>, c array<long>"
-    examples = [(r["doc_id"], r["y"], dict(zip(r["t"], r["c"]))) for r in sample.select("doc_id", "text", "y").mapInArrow(only_known, small).collect()]
-    index = Index(idf, examples)
+    small = "doc_id long, y int, t array<string>, c array<long>, key long"
+    found = sample.select("doc_id", "text", "y").mapInArrow(only_known, small).collect()
+    index = Index(idf, [(r["doc_id"], r["y"], dict(zip(r["t"], r["c"]))) for r in found], keys=[r["key"] for r in found])
     rest = hashed_sample(held, "doc_id", CALIBRATION_ROWS).select("doc_id", "text", "y").mapInArrow(only_known, small).collect()
     votes, ys, none = [], [], [0.0, 0.0]
-    for r in rest:  # each without itself as an example
-        near = [x for x in index.nearest(dict(zip(r["t"], r["c"])), NEIGHBOURS + 1) if x[0] != r["doc_id"]][:NEIGHBOURS]
+    for r in rest:
+        near = index.nearest(dict(zip(r["t"], r["c"])), NEIGHBOURS, r["key"])
         if near:
             votes.append(vote(near))
             ys.append(r["y"])
