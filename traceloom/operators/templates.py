@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -19,47 +21,140 @@ def signatures(blobs: DataFrame) -> DataFrame:
     return s.select("*", X.mask(F.col("sig.signature")).alias("masked"), X.mask_params(F.col("sig.signature")).alias("params"), (F.col("sig.anchored") | F.coalesce(F.col("is_error"), F.lit(False))).alias("eligible"))
 
 
+class Cluster:
+    """A template with the line that created it and how many lines it stands for."""
+
+    __slots__ = ("id", "tokens", "created_by", "size", "touched", "leaf", "slot")
+
+    def __init__(self, id: int, tokens: list[str], created_by: str, size: int, touched: int, leaf: Clusters | None = None):
+        self.id, self.tokens, self.created_by, self.size, self.touched, self.leaf, self.slot = id, tokens, created_by, size, touched, leaf, -1
+
+    @property
+    def template(self) -> str:
+        return " ".join(self.tokens)
+
+
 class Clusters:
-    """K6, K7: clusters of lines with the same number of tokens; a wildcard of a template matches every token.
+    """K6, K7: the clusters of a leaf, all of lines with the same number of tokens; a wildcard of a template matches every token.
 
-    Tokens are numbered, a row of numbers for each place, so a line is compared with all clusters at once.
+    Tokens are numbered and templates are rows of numbers, so one comparison meets all clusters.
     """
 
     def __init__(self, least: float):
-        self.least, self.tokens, self.created_by = least, [], []
+        self.least = least
+        self.rows: list[Cluster | None] = []
         self.codes: dict[str, int] = {}
-        self.table, self.wild = np.zeros((0, 16), np.int32), np.zeros(16, np.int32)
-
-    def _numbers(self, tokens: list[str]) -> list[int]:
-        return [self.codes.setdefault(t, len(self.codes) + 1) for t in tokens]
-
-    def add(self, tokens: list[str], created_by: str) -> int:
-        n = len(self.tokens)
+        self.table, self.wild = np.zeros((8, 0), np.int32), np.zeros(8, np.int64)
+
+    def _numbers(self, tokens: list[str]) -> np.ndarray:
+        codes = self.codes
+        return np.array([codes.setdefault(t, len(codes) + 1) for t in tokens], np.int32)
+
+    def add(self, cluster: Cluster) -> None:
+        if not self.rows:
+            self.table = np.zeros((8, len(cluster.tokens)), np.int32)
+        if len(self.rows) == len(self.table):
+            self.table, self.wild = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.wild, np.zeros_like(self.wild)])
+        cluster.slot = len(self.rows)
+        self.rows.append(cluster)
+        numbers = self._numbers(cluster.tokens)
+        any_ = np.array([t == ANY for t in cluster.tokens], bool)
+        self.table[cluster.slot] = np.where(any_, 0, numbers)
+        self.wild[cluster.slot] = any_.sum()
+
+    def drop(self, cluster: Cluster) -> None:
+        """The others keep their order, which decides between equals."""
+        at, n = cluster.slot, len(self.rows)
+        del self.rows[at]
+        self.table[at : n - 1], self.wild[at : n - 1] = self.table[at + 1 : n].copy(), self.wild[at + 1 : n].copy()
+        for other in self.rows[at:]:
+            other.slot -= 1
+
+    def find(self, words: list[str]) -> Cluster | None:
+        """The most similar cluster, the earliest of equals, generalised to hold ``words``; none if none is similar enough."""
+        n = len(self.rows)
         if not n:
-            self.table = np.zeros((len(tokens), 16), np.int32)
-        if n == len(self.wild):
-            self.table, self.wild = np.concatenate([self.table, np.zeros_like(self.table)], axis=1), np.concatenate([self.wild, np.zeros_like(self.wild)])
-        self.tokens.append(list(tokens))
-        self.created_by.append(created_by)
-        self.table[:, n] = [0 if t == ANY else c for t, c in zip(tokens, self._numbers(tokens))]
-        self.wild[n] = tokens.count(ANY)
-        return n
-
-    def insert(self, words: list[str]) -> int:
-        """The most similar cluster, the earliest of equals, generalised to hold ``words``; a new one if none is similar enough."""
-        n = len(self.tokens)
-        equal = self.wild[:n].copy()
-        for row, code in zip(self.table, self._numbers(words)):
-            equal += row[:n] == code
-        best = int(equal.argmax()) if n else -1
-        if n == 0 or (words and equal[best] / len(words) < self.least):
-            return self.add(words, " ".join(words))
-        for place, (x, y) in enumerate(zip(self.tokens[best], words)):
-            if x != y and x != ANY:
-                self.tokens[best][place] = ANY
-                self.table[place, best] = 0
+            return None
+        numbers = self._numbers(words)
+        equal = (self.table[:n] == numbers).sum(1) + self.wild[:n]
+        best = int(equal.argmax())
+        if words and equal[best] / len(words) < self.least:
+            return None
+        cluster = self.rows[best]
+        if equal[best] < len(words):
+            for place in np.flatnonzero((self.table[best] != numbers) & (self.table[best] != 0)).tolist():
+                cluster.tokens[place] = ANY
+                self.table[best, place] = 0
                 self.wild[best] += 1
-        return best
+        return cluster
+
+
+class Tree:
+    """K6, K8, K9: leaves by number of tokens and first two tokens, with at most ``most`` clusters in all.
+
+    Beyond ``most_children`` tokens under a node, further ones share the wildcard branch.  When there are too
+    many clusters, the one that stands for the fewest lines goes, of equals the one not met for longest.
+    """
+
+    def __init__(self, least: float = 0.55, most: int = 5000, most_children: int = 100):
+        self.least, self.most, self.most_children = least, most, most_children
+        self.children: dict[tuple, set] = {}
+        self.leaves: dict[tuple, Clusters] = {}
+        self.alive: dict[int, Cluster] = {}
+        self.by_size: list[tuple[int, int, int]] = []
+        self.next_id, self.clock = 1, 0
+        self.changed: set[int] = set()
+        self.gone: set[int] = set()
+
+    def _leaf(self, tokens: list[str]) -> Clusters:
+        node: tuple = (len(tokens),)
+        for token in tokens[:2]:
+            under = self.children.setdefault(node, set())
+            if token not in under and (len(under - {ANY}) >= self.most_children):
+                token = ANY
+            under.add(token)
+            node = (*node, token)
+        return self.leaves.setdefault(node, Clusters(self.least))
+
+    def restore(self, clusters: list[Cluster]) -> None:
+        """Clusters kept from before, with their ids; their order is that of their ids."""
+        for c in sorted(clusters, key=lambda c: c.id):
+            c.leaf = self._leaf(c.tokens)
+            c.leaf.add(c)
+            self.alive[c.id] = c
+            heapq.heappush(self.by_size, (c.size, c.touched, c.id))
+            self.next_id, self.clock = max(self.next_id, c.id + 1), max(self.clock, c.touched)
+
+    def insert(self, words: list[str], times: int = 1, leaf: Clusters | None = None) -> Cluster:
+        """The line's cluster; ``leaf`` is found by its tokens unless it is given."""
+        self.clock += 1
+        leaf = self._leaf(words) if leaf is None else leaf
+        cluster = leaf.find(words)
+        if cluster is None:
+            cluster = Cluster(self.next_id, list(words), " ".join(words), 0, self.clock, leaf)
+            self.next_id += 1
+            leaf.add(cluster)
+            self.alive[cluster.id] = cluster
+        cluster.size += times
+        cluster.touched = self.clock
+        self.changed.add(cluster.id)
+        heapq.heappush(self.by_size, (cluster.size, cluster.touched, cluster.id))
+        if len(self.alive) > self.most:
+            self._evict()
+        if len(self.by_size) > 4 * self.most + 64:  # entries that are out of date
+            self.by_size = [(c.size, c.touched, c.id) for c in self.alive.values()]
+            heapq.heapify(self.by_size)
+        return cluster
+
+    def _evict(self) -> None:
+        while True:
+            size, touched, id = heapq.heappop(self.by_size)
+            c = self.alive.get(id)
+            if c is not None and (c.size, c.touched) == (size, touched):
+                del self.alive[id]
+                self.gone.add(id)
+                c.leaf.drop(c)
+                return
 
 
 def overflow(rows: DataFrame, most: int = 100) -> DataFrame:
@@ -73,11 +168,12 @@ def overflow(rows: DataFrame, most: int = 100) -> DataFrame:
     return rows
 
 
-def drain(lines: DataFrame, least: float = 0.55, most_children: int = 100) -> DataFrame:
-    """The template of every distinct masked line.
+def drain(lines: DataFrame, least: float = 0.55, most_children: int = 100, most: int = 5000) -> DataFrame:
+    """The template of every distinct masked line.
 
-    ``lines``: tool_type, masked, arrival.  Repeats change no cluster, so only first arrivals of
-    distinct lines are clustered, each leaf (tool, number of tokens, first two tokens) on its own.
+    ``lines``: tool_type, masked, arrival.  Only distinct lines are clustered, in the order of their first arrival
+    and with the number of their repeats, each leaf (tool, number of tokens, first two tokens) on its own and with
+    at most ``most`` clusters, so neither the memory of a leaf nor the comparisons of a line grow with the lines.
     """
     distinct = lines.groupBy("tool_type", "masked").agg(F.min("arrival").alias("arrival"), F.count("*").alias("n"))
     rows = distinct.withColumn("tokens", X.tokens(F.col("masked"))).withColumn("n_tokens", F.size("tokens"))
@@ -85,18 +181,19 @@ def drain(lines: DataFrame, least: float = 0.55, most_children: int = 100) -> Da
 
     def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival", kind="stable")
-        found: dict[tuple, Clusters] = {}
+        found: dict[tuple, tuple[Tree, Clusters]] = {}
         owners = []
-        for tool, k1, k2, tokens in zip(pdf["tool_type"], pdf["k1"], pdf["k2"], pdf["tokens"]):
-            c = found.setdefault((tool, len(tokens), k1, k2), Clusters(least))
-            owners.append((c, c.insert(list(tokens))))
-        return pd.DataFrame({"tool_type": pdf["tool_type"], "masked": pdf["masked"], "n": pdf["n"], "arrival": pdf["arrival"], "created_by": [c.created_by[o] for c, o in owners], "template": [" ".join(c.tokens[o]) for c, o in owners]})
+        for tool, k1, k2, masked, n in zip(pdf["tool_type"], pdf["k1"], pdf["k2"], pdf["masked"], pdf["n"]):
+            words = masked.split()
+            tree, leaf = found.setdefault((tool, len(words), k1, k2), (Tree(least, most), Clusters(least)))
+            owners.append(tree.insert(words, int(n), leaf))
+        return pd.DataFrame({"tool_type": pdf["tool_type"], "masked": pdf["masked"], "n": pdf["n"], "arrival": pdf["arrival"], "created_by": [c.created_by for c in owners], "template": [c.template for c in owners]})
 
     arrival = dict(lines.dtypes)["arrival"]
     # leaves are small and many: a group holds several
     shards = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     shard = F.pmod(F.xxhash64("tool_type", "n_tokens", "k1", "k2"), F.lit(shards)).alias("shard")
-    found = rows.groupBy(shard).applyInPandas(leaves, f"tool_type string, masked string, n long, arrival {arrival}, created_by string, template string")
+    found = rows.drop("tokens").groupBy(shard).applyInPandas(leaves, f"tool_type string, masked string, n long, arrival {arrival}, created_by string, template string")
     return found.withColumn("template_id", X.template_id(F.col("tool_type"), F.col("created_by")))
 
 
@@ -109,16 +206,19 @@ def templates(assigned: DataFrame, most: int | None = None) -> DataFrame:
     return t.withColumn("r_", F.row_number().over(w)).filter(F.col("r_") <= most).drop("r_")
 
 
-def warm_start(state: DataFrame, fresh: DataFrame, least: float = 0.55) -> DataFrame:
+def warm_start(state: DataFrame, fresh: DataFrame, least: float = 0.55, most: int = 5000) -> DataFrame:
     """Clusters kept from before (leaf, cluster_id, tokens, created_by) take new lines (leaf, masked, tokens, arrival) first."""
 
     def go(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        clusters = Clusters(least)
+        tree, leaf = Tree(least, most), Clusters(least)
         for r in old.sort_values("cluster_id").itertuples():
-            clusters.add(list(r.tokens), r.created_by)
+            leaf.add(Cluster(r.cluster_id, list(r.tokens), r.created_by, 1, 0, leaf))
+        tree.alive = {c.id: c for c in leaf.rows}
+        tree.by_size = [(c.size, c.touched, c.id) for c in leaf.rows]
+        tree.next_id = max([0, *tree.alive]) + 1
         new = new.sort_values("arrival", kind="stable")
-        owners = [clusters.insert(list(t)) for t in new["tokens"]]
-        return pd.DataFrame({"leaf": new["leaf"], "masked": new["masked"], "created_by": [clusters.created_by[o] for o in owners], "template": [" ".join(clusters.tokens[o]) for o in owners]})
+        owners = [tree.insert(list(t), 1, leaf) for t in new["tokens"]]
+        return pd.DataFrame({"leaf": new["leaf"], "masked": new["masked"], "created_by": [c.created_by for c in owners], "template": [c.template for c in owners]})
 
     return state.groupBy("leaf").cogroup(fresh.groupBy("leaf")).applyInPandas(go, "leaf string, masked string, created_by string, template string")
 
