@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cost, joins, ledger, quality, search, turns
+from ..operators import cost, joins, ledger, quality, scan, search, turns
+from ..sources import transcripts
 from .queries import _KIND_SQL, _LOOPS, _RESOLVES, _USAGE, _ledger, _priced, _t, query
 
 _TOUCHES = "SELECT l_partkey AS path, CASE l_linenumber % 4 WHEN 0 THEN 'read' WHEN 1 THEN 'write' WHEN 2 THEN 'edit' ELSE 'human' END AS kind, CAST(l_quantity AS BIGINT) AS growth, l_orderkey AS session_id, l_suppkey AS branch, strftime(l_shipdate, '%Y-%m-%d') AS ts, l_orderkey AS transcript, l_linenumber AS \"offset\" FROM lineitem"
@@ -171,6 +172,22 @@ def tool_names(spark, sf_dir):
     return joins.tool_names(e.filter("event_type = 'error'").drop("event_type", "name"), e.filter("event_type = 'click'"))
 
 
+@query("quarantine", """
+WITH RECURSIVE l AS (SELECT user_id AS path, event_id, '{"k": ' || event_id || CASE WHEN event_id % 211 = 7 THEN '' ELSE ', "v": "' || repeat('x', CAST(event_id % 83 * (event_id % 83) // 20 AS INT)) || '"}' END AS text FROM events),
+o AS (SELECT path, text, CAST(sum(length(text) + 1) OVER (PARTITION BY path ORDER BY event_id) AS BIGINT) AS "end", CAST(length(text) + 1 AS BIGINT) AS size, NOT ends_with(text, '}') AS bad FROM l),
+b AS (SELECT path, min("end" - size) AS first_bad FROM o WHERE bad GROUP BY path),
+n AS (SELECT f.path, f."end" - f.size AS start, max(o."end") AS nxt FROM o f JOIN b ON b.path = f.path JOIN o ON o.path = f.path AND o."end" <= f."end" - f.size + CAST(300 * pow(2, greatest(0, ceil(log2(f.size / 300.0)))) AS BIGINT) GROUP BY ALL),
+c AS (SELECT path, CAST(0 AS BIGINT) AS start FROM b UNION ALL SELECT c.path, n.nxt FROM c JOIN n ON n.path = c.path AND n.start = c.start),
+k AS (SELECT path, first_bad, max(start) AS kept_bytes FROM c JOIN b USING (path) WHERE start <= first_bad GROUP BY ALL)
+SELECT o.path, count(CASE WHEN k.path IS NULL OR o."end" <= kept_bytes THEN 1 END) AS good, any_value(first_bad) AS first_bad_offset, any_value(kept_bytes) AS kept_bytes FROM o LEFT JOIN k USING (path) GROUP BY o.path""")
+def quarantine(spark, sf_dir):
+    e = _t(spark, sf_dir, "events").selectExpr("user_id AS path", "event_id", """'{"k": ' || event_id || CASE WHEN event_id % 211 = 7 THEN '' ELSE ', "v": "' || repeat('x', cast(event_id % 83 * (event_id % 83) div 20 AS int)) || '"}' END AS text""").withColumn("length", F.octet_length("text"))
+    lines = scan.running(e, ["path"], ["event_id"], sums={"end": F.col("length") + 1}).withColumn("offset", F.col("end") - F.col("length") - 1)
+    good, bad = transcripts.quarantining(lines.select("path", "offset", "length", "text"), 300)
+    counts = e.select("path").distinct().join(good.groupBy("path").agg(F.count("*").alias("good")), "path", "left").fillna(0, ["good"])
+    return counts.join(bad.drop("reason"), "path", "left").select("path", "good", "first_bad_offset", "kept_bytes")
+
+
 @query("enrich_unique", "SELECT o_orderkey AS id, o_custkey, l_partkey FROM orders LEFT JOIN (SELECT l_orderkey, min(l_partkey) AS l_partkey FROM lineitem GROUP BY 1 HAVING count(*) = 1) ON l_orderkey = o_orderkey")
 def enrich_unique(spark, sf_dir):
     rows = _t(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey")
