@@ -69,6 +69,41 @@ def json_bool(v: Column, path: str) -> Column:
     return F.coalesce(F.when(json_kind(v, path) == "BOOLEAN", F.try_variant_get(v, path, "boolean")), F.lit(False))
 
 
+# H6, H7 text of JSON values
+_TOKEN_OF_JSON = r'"(?:[^"\\]|\\.)*+":?|[\[\]{}]'
+
+
+def string_leaves(json: Column, depth: int = 6, most: int = 65) -> Column:
+    """The string values of a JSON text, not its keys and no empty ones, down to ``depth`` and at most ``most`` of them.
+
+    The text is cut into brackets and strings, and one fold counts the open brackets.
+    """
+    start = F.struct(F.lit(0).alias("open"), F.array().cast("array<string>").alias("found"))
+
+    def step(a: Column, x: Column) -> Column:
+        kept = x.startswith('"') & x.endswith('"') & (x != '""') & (a["open"] <= depth) & (F.size(a["found"]) < most)
+        opened = F.when(x.isin("{", "["), 1).when(x.isin("}", "]"), -1).otherwise(0)
+        return F.struct((a["open"] + opened).alias("open"), F.when(kept, F.concat(a["found"], F.array(x))).otherwise(a["found"]).alias("found"))
+
+    found = F.aggregate(F.regexp_extract_all(json, F.lit(_TOKEN_OF_JSON), F.lit(0)), start, step, lambda a: a["found"])
+    return F.coalesce(F.from_json(F.concat(F.lit("["), F.array_join(found, ","), F.lit("]")), "array<string>"), F.array().cast("array<string>"))
+
+
+def utf16_length(text: Column) -> Column:
+    """Length in UTF-16 units: a character beyond the basic plane counts twice."""
+    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+
+
+def utf16_left(text: Column, most: int) -> Column:
+    """The first ``most`` UTF-16 units; a character of two units that does not fit is left out."""
+    # as many characters as units, at most, are looked at; where some count twice, units are cut
+    head = F.left(text, F.lit(most))
+    units = F.encode(head, "UTF-16BE")
+    half = F.hex(F.substring(units, 2 * most - 1, 1)).between("D8", "DB")
+    cut = F.decode(F.when(half, F.substring(units, 1, 2 * most - 2)).otherwise(F.substring(units, 1, 2 * most)), "UTF-16BE")
+    return F.when(utf16_length(head) > most, cut).otherwise(head)
+
+
 # H2 references
 def ref(kind: str, *parts: Column) -> Column:
     return F.concat(F.lit(f"{kind}:"), *parts)
@@ -109,6 +144,14 @@ def real_command(raw: Column) -> Column:
     return F.trim(F.regexp_replace(F.trim(raw), r"^(?:cd\s+[^&;]+(?:&&|;)\s*){1,4}", ""))
 
 
+def normal_path(path: Column) -> Column:
+    """``a/b/../c`` as ``a/c``, up to four levels up, and ``a/./b`` as ``a/b``."""
+    path = F.regexp_replace(path, r"/(?:\./)+", "/")
+    for _ in range(4):
+        path = F.regexp_replace(path, r"/(?!\.\./)[^/]+/\.\.(?=/|$)", "")
+    return path
+
+
 def command_dir(raw: Column, cwd: Column, home: str = "~") -> Column:
     """``git -C`` wins over a leading ``cd``; relative ones stand on the session's directory."""
     d = F.coalesce(extract(raw, rf"{_B}git\s+-C\s+['\"]?([^\s'\"]+)"), F.trim(extract(F.trim(raw), r"^cd\s+['\"]?([^&;'\"]+?)['\"]?\s*(?:&&|;)")))
