@@ -167,29 +167,33 @@ def clean_branch(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "^origin/", ""), "['\"]", "")
 
 
-def real_branch(c: Column) -> Column:
-    """The cleaned name, null where it is a flag or another kind of ref."""
-    name = clean_branch(c)
-    return F.when((name != "") & (name != "HEAD") & (name != "/") & ~name.startswith("-") & ~name.contains(":"), name)
+def bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def git_intent(raw: Column) -> Column:
-    """Struct of set_branch, branch_base, deleted_branch, merged_pr, commit, push; null where no git or gh is named."""
-    created, worktree, head = extract(raw, NEW_WITH_START), extract(raw, WORKTREE), extract(raw, PR_HEAD)
-    name = F.coalesce(created, worktree, head, extract(raw, PUSH_BRANCH), extract(raw, SWITCH))
-    base = F.when(created.isNotNull(), F.when(~raw.contains("<<"), real_branch(extract(raw, NEW_WITH_START, 2)))).when(worktree.isNull() & head.isNotNull(), real_branch(extract(raw, PR_BASE)))
-    set_branch = real_branch(name)
-    return F.when(
-        raw.contains("git") | raw.contains("gh "),
-        F.struct(
-            set_branch.alias("set_branch"),
-            F.when(set_branch.isNotNull() & (base != set_branch), base).alias("branch_base"),
-            empty_to_null(clean_branch(extract(raw, DELETE))).alias("deleted_branch"),
-            extract(raw, MERGE).cast("long").alias("merged_pr"),
-            raw.rlike(COMMIT).alias("commit"),
-            raw.rlike(PUSH).alias("push"),
-        ),
-    )
+    """Struct of set_branch, branch_base, deleted_branch, merged_pr, commit, push; null where no git or gh is named.
+
+    Each pattern is matched once; all else works on what the patterns captured.
+    """
+    patterns = {"created": (NEW_WITH_START, 1), "start": (NEW_WITH_START, 2), "worktree": (WORKTREE, 1), "head": (PR_HEAD, 1), "pushed": (PUSH_BRANCH, 1), "switched": (SWITCH, 1), "base": (PR_BASE, 1), "deleted": (DELETE, 1), "merged": (MERGE, 1)}
+    captured = F.struct(*[F.regexp_extract(raw, p, g).alias(name) for name, (p, g) in patterns.items()], raw.contains("<<").alias("heredoc"), raw.rlike(COMMIT).alias("commit"), raw.rlike(PUSH).alias("push"))
+
+    def named(c: Column) -> Column:
+        name = F.coalesce(*[empty_to_null(c[k]) for k in ("created", "worktree", "head", "pushed", "switched")])
+        base = F.when(c["created"] != "", F.when(~c["heredoc"], c["start"])).when((c["worktree"] == "") & (c["head"] != ""), c["base"])
+        return F.struct(clean_branch(name).alias("name"), clean_branch(base).alias("base"), empty_to_null(clean_branch(c["deleted"])).alias("deleted"), c["merged"].alias("merged"), c["commit"].alias("commit"), c["push"].alias("push"))
+
+    def checked(c: Column) -> Column:
+        real = lambda x: F.when((x != "") & (x != "HEAD") & (x != "/") & ~x.startswith("-") & ~x.contains(":"), x)
+        return F.struct(real(c["name"]).alias("set_branch"), real(c["base"]).alias("base"), c["deleted"].alias("deleted_branch"), empty_to_null(c["merged"]).cast("long").alias("merged_pr"), c["commit"].alias("commit"), c["push"].alias("push"))
+
+    def whole(c: Column) -> Column:
+        base = F.when(c["base"] != c["set_branch"], c["base"])
+        return F.struct(c["set_branch"].alias("set_branch"), base.alias("branch_base"), c["deleted_branch"].alias("deleted_branch"), c["merged_pr"].alias("merged_pr"), c["commit"].alias("commit"), c["push"].alias("push"))
+
+    return F.when(raw.contains("git") | raw.contains("gh "), bound(bound(bound(captured, named), checked), whole))
 
 
 def pr_title(raw: Column) -> Column:
