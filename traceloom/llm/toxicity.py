@@ -55,8 +55,17 @@ def terms_of(text: str | None) -> dict[str, int]:
     return out
 
 
+def _ranges(start: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the postings of all terms ``t``, term by term, and how many each has."""
+    many = start[t + 1] - start[t]
+    return np.arange(many.sum()) + np.repeat(start[t] - np.concatenate([[0], np.cumsum(many)[:-1]]), many), many
+
+
 class Index:
-    """Examples as blocks of postings, with each block's largest weight of each term."""
+    """Examples as postings sorted by term and example, with each block's largest weight of each term."""
+
+    #: Blocks that are scored first, to learn what the others must reach.
+    FIRST = 4
 
     def __init__(self, idf: dict[str, float], examples: list[tuple[int, int, dict[str, int]]], block: int = 64, keys: list[int] | None = None):
         self.terms = {t: i for i, t in enumerate(sorted(idf))}
@@ -64,20 +73,20 @@ class Index:
         found = [(i, y, *self.vector(tf), key) for (i, y, tf), key in sorted(zip(examples, keys or [0] * len(examples)), key=lambda x: x[0][0])]
         found = [x for x in found if len(x[2])]
         self.ids, self.labels, self.block = np.array([x[0] for x in found], np.int64), np.array([x[1] for x in found], np.int32), block
-        n = -(-len(found) // block)
-        self.keys = np.zeros(n * block, np.int64)
-        self.keys[: len(found)] = [x[4] for x in found]
-        postings: list[dict[int, list]] = [{} for _ in range(n)]
-        for e, (_, _, t, w, _) in enumerate(found):
-            for a, b in zip(t.tolist(), w.tolist()):
-                postings[e // block].setdefault(a, []).append((e % block, b))
-        self.postings = [{t: (np.array([x[0] for x in p]), np.array([x[1] for x in p])) for t, p in b.items()} for b in postings]
-        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by_term: dict[int, list] = {}
-        for k, b in enumerate(self.postings):
-            for t, (_, w) in b.items():
-                by_term.setdefault(t, []).append((k, w.max()))
-        self.bounds = {t: (np.array([x[0] for x in v]), np.array([x[1] for x in v])) for t, v in by_term.items()}
+        self.keys = np.array([x[4] for x in found], np.int64)
+        self.blocks = -(-len(found) // block)
+        none = np.zeros(0)
+        term = np.concatenate([none.astype(np.int64), *(x[2] for x in found)])
+        example = np.repeat(np.arange(len(found)), [len(x[2]) for x in found])
+        weight = np.concatenate([none, *(x[3] for x in found)])
+        order = np.argsort(term, kind="stable")
+        self.example, self.weight = example[order], weight[order]
+        self.start = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+        cell = term[order] * max(self.blocks, 1) + self.example // block
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else none
+        self.of_block = cell[first] % max(self.blocks, 1)
+        self.most_start = np.searchsorted(cell[first] // max(self.blocks, 1), np.arange(len(self.terms) + 1))
 
     def vector(self, tf: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and weights of unit length."""
@@ -88,29 +97,34 @@ class Index:
         return t, w / norm if norm else w
 
     def nearest(self, tf: dict[str, int], k: int = 15, own: int | None = None) -> list[tuple[int, int, float]]:
-        """The ``k`` examples of largest cosine above 0: (id, label, cosine); those whose text has the key ``own`` are left out."""
+        """The ``k`` examples of largest cosine above 0: (id, label, cosine); those whose text has the key ``own`` are left out.
+
+        The blocks of the largest bounds are scored first, then at once all whose bound reaches the kth cosine so far.
+        """
         t, q = self.vector(tf)
-        if not len(t):
+        if not len(t) or not self.blocks:
             return []
-        bound = np.zeros(len(self.postings))
-        for a, b in zip(t.tolist(), q.tolist()):
-            if a in self.bounds:
-                at, most = self.bounds[a]
-                bound[at] += b * most
-        best: list[tuple[float, int]] = []  # (-cosine, example)
-        for blk in np.argsort(-bound, kind="stable").tolist():
-            if bound[blk] <= 0 or (len(best) == k and bound[blk] < -best[-1][0] - 1e-12):
-                break
-            s = np.zeros(self.block)
-            for a, b in zip(t.tolist(), q.tolist()):
-                if a in self.postings[blk]:
-                    at, w = self.postings[blk][a]
-                    s[at] += b * w
+        at, many = _ranges(self.most_start, t)
+        bound = np.bincount(self.of_block[at], np.repeat(q, many) * self.most[at], self.blocks)
+        at, many = _ranges(self.start, t)
+        example, value = self.example[at], np.repeat(q, many) * self.weight[at]
+        block = example // self.block
+        score, least = np.zeros(len(self.ids)), 0.0
+        now = np.zeros(self.blocks, bool)
+        now[np.argsort(-bound, kind="stable")[: self.FIRST]] = True
+        done = np.zeros(self.blocks, bool)
+        while (now & (bound > 0)).any():
+            mine = now[block]
+            score += np.bincount(example[mine], value[mine], len(score))
+            done |= now
             if own is not None:
-                s[self.keys[blk * self.block : (blk + 1) * self.block] == own] = 0
-            best += [(-s[i], blk * self.block + i) for i in np.flatnonzero(s > 0).tolist()]
-            best = sorted(best)[:k]
-        return [(int(self.ids[e]), int(self.labels[e]), float(min(1.0, -c))) for c, e in best]
+                score[self.keys == own] = 0
+            if (score > 0).sum() >= k:
+                least = np.partition(score, len(score) - k)[len(score) - k]
+            now = ~done & (bound >= least - 1e-12)
+        near = np.flatnonzero((score >= least) & (score > 0))
+        near = near[np.lexsort((near, -score[near]))][:k]
+        return [(int(self.ids[e]), int(self.labels[e]), float(min(1.0, score[e]))) for e in near]
 
 
 class Model:
