@@ -33,13 +33,37 @@ def per_group(sessions: DataFrame, members: DataFrame, group: str, key: str = "s
     return members.select(group, key).distinct().join(sessions, key).groupBy(group).agg(F.round(F.sum("usd"), 6).alias("usd"), F.count("*").alias("sessions"))
 
 
-def co_change(touches: DataFrame, session: str, item: str, written: DataFrame | None = None) -> DataFrame:
+#: Items of a block: a session of more of them is dealt out as pairs of blocks.
+BLOCK_ITEMS = 1000
+
+
+def block_pairs(sets: DataFrame, session: str, item: str, block_items: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the pairs of a session's items: ``first_`` and ``second_`` block of a pair, and the item.
+
+    A session of n items has n / ``block_items`` blocks, and each pair of blocks is a key of its own, so that no task has
+    more than the pairs of two blocks.  Most sessions are one block, and each of their items stands once on either side.
+    """
+    most = block_items or BLOCK_ITEMS
+    large = sets.groupBy(F.col(session).alias("large_")).agg(F.count("*").alias("n_")).filter(F.col("n_") > most)
+    large = small(large.select("large_", F.ceil(F.col("n_") / most).cast("int").alias("blocks_")))
+    met = sets.join(large, sets[session] == large["large_"], "left").select(session, item, F.coalesce("blocks_", F.lit(1)).alias("blocks_"))
+    met = met.withColumn("own_", F.pmod(F.xxhash64(item), F.col("blocks_")).cast("int"))
+    left = met.select(session, item, F.col("own_").alias("first_"), F.explode(F.sequence("own_", F.col("blocks_") - 1)).alias("second_"))
+    right = met.select(session, item, F.explode(F.sequence(F.lit(0), "own_")).alias("first_"), F.col("own_").alias("second_"))
+    return left, right
+
+
+def co_change(touches: DataFrame, session: str, item: str, written: DataFrame | None = None, block_items: int | None = None) -> DataFrame:
     """Unordered pairs of items touched in the same session, and in how many; only of items in ``written``, if given."""
     sets = touches.select(session, item).distinct()
     if written is not None:
         sets = sets.join(written.select(item).distinct(), item, "left_semi")
-    pairs = sets.alias("x").join(sets.alias("y"), (F.col(f"x.{session}") == F.col(f"y.{session}")) & (F.col(f"x.{item}") < F.col(f"y.{item}")))
-    return pairs.groupBy(F.col(f"x.{item}").alias("a"), F.col(f"y.{item}").alias("b")).agg(F.count("*").alias("sessions"))
+    x, y = (side.alias(name) for side, name in zip(block_pairs(sets, session, item, block_items), "xy"))
+    on = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in (session, "first_", "second_")]
+    # items of two blocks meet once, in either order; within a block the smaller one comes first
+    met = x.join(y, [*on, (F.col("x.first_") < F.col("x.second_")) | (F.col(f"x.{item}") < F.col(f"y.{item}"))])
+    pair = [F.least(f"x.{item}", f"y.{item}").alias("a"), F.greatest(f"x.{item}", f"y.{item}").alias("b")]
+    return met.select(*pair).groupBy("a", "b").agg(F.count("*").alias("sessions"))
 
 
 def co_change_top(pairs: DataFrame, k: int = 6) -> DataFrame:

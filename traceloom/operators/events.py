@@ -171,7 +171,7 @@ def shell(uses: DataFrame, task_words: tuple[str, ...] = (), roots: DataFrame |
     command = X.json_str(F.col("input"), "$.command")
     s = uses.filter("name = 'Bash'").withColumn("command", command).filter("command is not null")
     folder = X.command_dir(F.col("command"), F.col("cwd"))
-    out = s.select("path", "offset", "session_id", "ts", "tool_use_id", "command", folder.alias("folder"), folder.alias("at_"), X.git_intent(F.col("command")).alias("intent"), X.pr_title(F.col("command")).alias("pr_title"), (X.task_id(F.col("command"), task_words) if task_words else F.lit(None).cast("string")).alias("task_id"))
+    out = s.select("path", "offset", "use_no", "session_id", "ts", "tool_use_id", "command", folder.alias("folder"), folder.alias("at_"), X.git_intent(F.col("command")).alias("intent"), X.pr_title(F.col("command")).alias("pr_title"), (X.task_id(F.col("command"), task_words) if task_words else F.lit(None).cast("string")).alias("task_id"))
     return in_repository(out, "at_", roots).drop("at_")
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import exprs as X
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -119,17 +120,53 @@ def outside_roots(rows: DataFrame, path: str, roots: DataFrame) -> DataFrame:
     return rows.join(inside, path, "left_anti")
 
 
-def match_slugs(hits: DataFrame, slugs: DataFrame, key: str, texts: list[str]) -> DataFrame:
-    """The first slug, by ``place`` where there is one, that occurs in one of the texts, whatever the case.
+#: Bytes of words that tasks hold at once; more make several passes.
+WORD_BYTES = 32 << 20
 
-    Slugs meet the texts by their first three characters (all, if fewer), and are then looked for whole.
+
+def occurring(rows: DataFrame, text: str, words: DataFrame, whole: bool = False, word_bytes: int | None = None) -> DataFrame:
+    """``rows`` with ``word``: a row for each distinct word (``words``: word) that occurs in a text, whatever the case.
+
+    An automaton of all words reads each text once, however long it is and however many words there are.  ``whole``:
+    only where neither a letter nor a digit (of ASCII) stands beside.  Empty words occur nowhere.
     """
+    low = words.select(F.lower("word").alias("word")).filter("word <> ''").distinct()
+    size = low.agg(F.sum(F.octet_length("word"))).first()[0] or 0
+    slices = max(1, -(-size // (word_bytes or WORD_BYTES)))
+    keep, out = rows.columns, None
+    spark, read = rows.sparkSession, rows.withColumn("low_", F.lower(text)).filter("low_ <> ''")
+    schema = T.StructType([*read.drop("low_").schema.fields, T.StructField("word", T.StringType())])
+    for s in range(slices):
+        sent = spark.sparkContext.broadcast([r["word"] for r in low.filter(F.pmod(F.xxhash64("word"), F.lit(slices)) == s).toLocalIterator()])
+
+        def find(batches, sent=sent):
+            import ahocorasick
+
+            machine = ahocorasick.Automaton()
+            for w in sent.value:
+                machine.add_word(w, w)
+            machine.make_automaton()
+            beside = lambda c: c.isascii() and c.isalnum()
+            for b in batches:
+                at, found = [], []
+                for i, t in enumerate(b.column(len(keep)).to_pylist() if len(machine) else []):
+                    hits = {w for end, w in machine.iter(t) if not whole or not ((end + 1 < len(t) and beside(t[end + 1])) or (end >= len(w) and beside(t[end - len(w)])))}
+                    at += [i] * len(hits)
+                    found += sorted(hits)
+                picked = b.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*picked.columns[: len(keep)], pa.array(found, pa.string())], [*keep, "word"])
+
+        met = read.mapInArrow(find, schema)
+        out = met if out is None else out.union(met)
+    return out
+
+
+def match_slugs(hits: DataFrame, slugs: DataFrame, key: str, texts: list[str], **limits) -> DataFrame:
+    """The first slug, by ``place`` where there is one, that occurs in one of the texts, whatever the case."""
     order = ["place", "slug"] if "place" in slugs.columns else ["slug"]
-    s = slugs.filter("slug <> ''").select(*order).withColumn("part_", F.left(F.lower("slug"), F.lit(3)))
-    text = F.lower(F.concat_ws("\n", *texts))
-    parts = "array_distinct(flatten(transform(sequence(1, 3), n -> transform(sequence(1, length(text_)), i -> substring(text_, i, n)))))"
-    rows = hits.select(F.col(key), text.alias("text_")).filter("text_ <> ''").withColumn("part_", F.explode(F.expr(parts)))
-    met = rows.join(s, "part_").filter(F.contains("text_", F.lower("slug"))).groupBy(key).agg(F.min(F.struct(*order))["slug"].alias("slug"))
+    s = slugs.filter("slug <> ''").groupBy(F.lower("slug").alias("word")).agg(F.min(F.struct(*order)).alias("first_"))
+    rows = hits.select(F.col(key), F.concat_ws("\n", *texts).alias("text_"))
+    met = occurring(rows, "text_", s, **limits).select(key, "word").join(small(s), "word").groupBy(key).agg(F.min("first_")["slug"].alias("slug"))
     return hits.join(met, key, "left")
 
 
@@ -145,10 +182,10 @@ def dangling(edges: DataFrame, namespaces: dict[str, tuple[DataFrame, str]]) ->
     return met.groupBy("namespace").agg(F.sum("n").alias("edges"), F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0)).alias("dangling"))
 
 
-def references(ids: DataFrame, texts: DataFrame) -> DataFrame:
-    """Every text field in which an id stands by itself, whatever the case; the id's own row is left out."""
-    found = texts.withColumn("id", F.explode(F.array_distinct(F.regexp_extract_all(F.upper("text"), F.lit(r"(?<![A-Z0-9])([A-Z]{1,5}-[0-9]+)(?![A-Z0-9])"), F.lit(1)))))
-    return found.join(ids.select(F.upper("id").alias("id")).distinct(), "id").filter("row_id is null or upper(row_id) <> id")
+def references(ids: DataFrame, texts: DataFrame, **limits) -> DataFrame:
+    """Every text (row_id, text) in which an id of any form stands by itself, whatever the case; the id's own row is left out."""
+    met = occurring(texts, "text", ids.select(F.col("id").alias("word")), whole=True, **limits)
+    return met.filter("row_id is null or lower(row_id) <> word").select(*texts.columns, F.upper("word").alias("id"))
 
 
 def pr_sessions(links: DataFrame, prs: DataFrame, on_branch: DataFrame) -> DataFrame:

@@ -173,12 +173,30 @@ def check_rollup(checks: DataFrame, key: str) -> DataFrame:
 
 
 def audit_order(rows: DataFrame, states: list[str]) -> DataFrame:
-    """rank first (missing ones last), then the order of states, then slug."""
+    """rank first (missing ones last), then the order of states, then slug."""
     return rows.orderBy(F.col("rank").asc_nulls_last(), F.array_position(F.array(*[F.lit(s) for s in states]), F.col("state")), "slug")
 
 
+def sections(initiatives: DataFrame) -> DataFrame:
+    """initiatives by section, with their place in it: focused by rank (missing ones last), paused by the time since
+    when (missing ones first), done by the latest update, ties and the rest by slug.  Other states have no section."""
+    states = [("focused", "Focused"), ("backburner", "Backburner"), ("paused", "Paused"), ("done", "Done")]
+    heading = F.coalesce(*[F.when(F.col("state") == s, h) for s, h in states])
+    number = F.array_position(F.array(*[F.lit(s) for s, _ in states]), F.col("state")).cast("int")
+    own = lambda state, c: F.when(F.col("state") == state, F.col(c))
+    w = Window.partitionBy("state").orderBy(own("focused", "rank").asc_nulls_last(), F.coalesce(own("paused", "paused_since"), F.lit("")), own("done", "updated").desc_nulls_last(), "slug")
+    return initiatives.filter(heading.isNotNull()).select(heading.alias("heading"), number.alias("section"), F.row_number().over(w).alias("place"), "slug", "state", "rank", "paused_since", "updated")
+
+
+def recent_sessions(listed: DataFrame, lines: DataFrame, n: int = 50) -> DataFrame:
+    """the ``n`` transcripts changed last (``sources.discover``), with the first prompt in each; only these are looked at."""
+    top = listed.filter("subagent_id is null").orderBy(F.desc("mtime"), "display_path").limit(n).select("path", "display_path", "mtime", "length")
+    said = lines.join(F.broadcast(top.select("path")), "path").filter("event_type = 'user_prompt'").groupBy("path").agg(F.min_by("content_text", "offset").alias("first_prompt"), F.min("session_id").alias("session_id"))
+    return top.join(said, "path", "left").select("display_path", "session_id", "mtime", "length", F.left("first_prompt", F.lit(240)).alias("first_prompt"))
+
+
 def session_list(sessions: DataFrame, n: int = 100) -> DataFrame:
-    """the latest sessions with their first line that is not blank."""
+    """the latest sessions with their first line that is not blank."""
     first = F.try_element_at(F.filter(F.split("body", "\n"), lambda x: F.trim(x) != ""), F.lit(1))
     return sessions.orderBy(F.desc("ended"), "file").limit(n).select("slug", "file", "session_id", "ended", F.left(F.trim(first), F.lit(120)).alias("summary"))
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .joins import dangling
+
 
 def precision_coverage(reported: DataFrame, truth: DataFrame, key: str) -> DataFrame:
     """Share of reported that is true and share of truth that is reported; an empty side gives 1."""
@@ -73,6 +75,50 @@ def relation_liveness(spark: SparkSession, edges: DataFrame, declared: list[str]
     return seen.join(words, "relation", "full_outer").select("relation", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("declared", F.lit(False)).alias("declared"))
 
 
+#: table.column -> why it may be empty
+EXPECTED_EMPTY = {
+    "session_model_usage.cost_usd": "costs come from joining prices, so that changes of prices apply to the past",
+    "edges.t_invalid": "null means current; no edge is ever replaced in place",
+    "edges.t_expired": "null means current",
+}
+
+
+def liveness_report(tables: dict[str, DataFrame], relations: list[str], namespaces: dict[str, tuple[str, str]], expected: dict[str, str] | None = None) -> DataFrame:
+    """Q11: findings about an index: ``finding``, ``subject``, ``n`` and ``reason``.
+
+    empty_column and expected_empty (every row's value is null; ``expected`` has the reasons; columns of empty tables
+    say nothing), dead_relation (declared, without an edge) and undeclared_relation, dangling_ref (``n`` endpoints of a
+    namespace without an entity) and unmapped_namespace.  ``tables`` has edges and the entity tables; ``namespaces``
+    maps a prefix to the (table, column) of its bare ids.  Each table is scanned once for its columns.
+    """
+    spark = tables["edges"].sparkSession
+    expected = EXPECTED_EMPTY if expected is None else expected
+    columns = reduce(DataFrame.union, [column_liveness(df, name) for name, df in sorted(tables.items())]).filter("non_null = 0 and rows > 0")
+    reasons = spark.createDataFrame([*expected.items(), (None, None)], "subject string, reason string")
+    empty = columns.select(F.concat_ws(".", "table_name", "column").alias("subject"), F.col("rows").alias("n")).join(F.broadcast(reasons), "subject", "left")
+    found = empty.select(F.when(F.col("reason").isNull(), "empty_column").otherwise("expected_empty").alias("finding"), "subject", "n", "reason")
+    none = F.lit(None).cast("string")
+    r = relation_liveness(spark, tables["edges"], relations)
+    found = found.union(r.filter("n = 0 or not declared").select(F.when(F.col("declared"), "dead_relation").otherwise("undeclared_relation"), "relation", "n", none))
+    known = {name: (tables[t].filter(F.col(c).isNotNull()), c) for name, (t, c) in namespaces.items()}
+    ends = dangling(tables["edges"], known)
+    mapped = F.col("namespace").isin(*namespaces)
+    found = found.union(ends.filter(~mapped | (F.col("dangling") > 0)).select(F.when(mapped, "dangling_ref").otherwise("unmapped_namespace"), "namespace", F.when(mapped, F.col("dangling")).otherwise(F.col("edges")), none))
+    return found
+
+
+def builds_agree(builds: dict[str, dict[str, DataFrame]], columns: dict[str, list[str]]) -> DataFrame:
+    """Q5: digests of each table of several builds (full, incremental, rotated) side by side: ``table_name``, ``builds``
+    that were compared, how many different ``digests`` they have, and ``equal``."""
+    rows = None
+    for build, tables in builds.items():
+        for name, df in tables.items():
+            d = table_digest(df, columns[name])
+            one = d.select(F.lit(name).alias("table_name"), F.lit(build).alias("build"), F.to_json(F.struct(*d.columns)).alias("digest"))
+            rows = one if rows is None else rows.union(one)
+    return rows.groupBy("table_name").agg(F.count("*").alias("builds"), F.countDistinct("digest").alias("digests")).withColumn("equal", (F.col("digests") == 1) & (F.col("builds") == len(builds)))
+
+
 def freshness(transcripts: DataFrame) -> DataFrame:
     """Transcripts by status, bytes still to read and the latest indexing."""
     return transcripts.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.greatest(F.col("size") - F.col("offset"), F.lit(0))).alias("lag_bytes"), F.max("indexed_at").alias("indexed_at"))

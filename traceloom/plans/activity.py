@@ -214,11 +214,14 @@ def outside_roots(spark, sf_dir):
     return joins.outside_roots(p, "url", roots).select("page_id")
 
 
-@query("id_references", "SELECT 'OR-' || o_orderkey AS row_id, 'OR-' || o_custkey AS id FROM orders WHERE o_custkey <> o_orderkey AND o_custkey IN (SELECT o_orderkey FROM orders)")
+@query("id_references", r"""
+WITH w AS (SELECT 'd' || doc_id AS row_id, upper(unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')))) AS word FROM documents),
+v AS (SELECT DISTINCT upper(word) AS id FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM benchmark) WHERE length(word) >= 9)
+SELECT row_id, word AS id FROM w JOIN v ON v.id = w.word""")
 def id_references(spark, sf_dir):
-    o = _t(spark, sf_dir, "orders")
-    texts = o.selectExpr("'OR-' || o_orderkey AS row_id", "'see or-' || o_custkey || ', OR-' || o_custkey || ' and not XOR-' || o_orderkey || 'a; or-' || o_orderkey || '.' AS text")
-    return joins.references(o.selectExpr("'OR-' || o_orderkey AS id"), texts).select("row_id", "id")
+    words = _t(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("id")).filter("length(id) >= 9").distinct()
+    texts = _t(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("row_id"), "text")
+    return joins.references(words, texts).select("row_id", "id")
 
 
 @query("discovery", """

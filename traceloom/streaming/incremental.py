@@ -318,6 +318,11 @@ def with_pending_names(stream: DataFrame) -> DataFrame:
     return stream.groupBy("path").transformWithStateInPandas(PendingNames(), "path string, offset long, tool_use_id string, tool_name string", "Append", "None")
 
 
+def trigger_policy(poll_seconds: int = 60, once: bool = False) -> dict:
+    """Arguments of ``writeStream.trigger``: look for new bytes every ``poll_seconds``, or take what there is and end."""
+    return {"availableNow": True} if once else {"processingTime": f"{poll_seconds} seconds"}
+
+
 def run_summary(rows: DataFrame, name: str = "run") -> DataFrame:
     """Counts of a batch as observed metrics, without another pass."""
     return rows.observe(name, F.count("*").alias("lines"), F.count(F.when(F.col("rewound"), 1)).alias("rewound"), F.sum("length").alias("bytes"))
