@@ -9,17 +9,17 @@ from pyspark.sql import functions as F
 def documents(spark: SparkSession, path: str, schema: str, glob: str = "*.md") -> tuple[DataFrame, DataFrame]:
     """Front matter (or a whole YAML file) by ``schema`` with ``body``, and the files that do not parse.
 
-    Front matter is read as JSON by PyYAML where that is installed; values go through Spark's own JSON reader.
+    Front matter is read by PyYAML, which the driver and every worker must have; values go through Spark's own JSON reader.
     """
+    import yaml  # noqa: F401  missing here, it is missing before any task starts
+
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path).select("path", F.col("content").cast("string").alias("text"))
 
     def parse(batches):
         import json
 
-        try:
-            import yaml
-        except ImportError:
-            yaml = None
+        import yaml
+
         for pdf in batches:
             out = []
             for p, text in zip(pdf["path"], pdf["text"]):
@@ -28,7 +28,7 @@ def documents(spark: SparkSession, path: str, schema: str, glob: str = "*.md") -
                     head, _, body = text[4:].partition("\n---")
                     body = body.partition("\n")[2]
                 try:
-                    value = yaml.safe_load(head) if yaml else json.loads(head)
+                    value = yaml.safe_load(head)
                     out.append((p, json.dumps(value, default=str) if isinstance(value, dict) else None, body, None if isinstance(value, dict) else "not a mapping"))
                 except Exception as e:  # noqa: BLE001  every unreadable file is reported
                     out.append((p, None, body, str(e)[:200]))
