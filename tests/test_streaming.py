@@ -176,3 +176,58 @@ def test_a_session_that_vanishes_leaves_no_rows(spark, tmp_path):
         put(name, k > 0)
         for t in ("facts", "turns"):
             assert {r["session_id"] for r in spark.read.parquet(f"{out}/{t}").select("session_id").collect()} == {name}
+
+
+def facts_frame(spark, sessions, n=20):
+    rows = [(f"{s}.jsonl", i, len(t), t) for s in sessions for i, t in enumerate(lines(n, s))]
+    return facts_of(spark.createDataFrame(rows, "path string, offset long, length int, text string")).withColumn("rewound", F.lit(False))
+
+
+def written(out):
+    """Files and bytes by the time of their last change."""
+    return {f: f.stat().st_mtime_ns for f in out.rglob("*.parquet") if "_staged" not in str(f)}
+
+
+def test_a_batch_writes_as_much_while_the_table_grows(spark, tmp_path):
+    out = tmp_path / "out"
+    table = incremental.FactTable(spark, str(out), {"turns": lambda f: turns.turn_rollup(f)}, buckets=2, bucket_rows=60)
+    before, sizes = {}, []
+    for k in range(12):
+        table.batch(facts_frame(spark, [f"s{k}-{i}" for i in range(4)]), k)
+        now = written(out)
+        fresh = [f for f in now if f not in before and "/facts/" in str(f)]
+        sizes.append(spark.read.parquet(*map(str, fresh)).count())
+        before = now
+    rows = spark.read.parquet(f"{out}/facts")
+    assert rows.count() == 12 * 4 * 20 and table.layout() == {"buckets": 16, "rows": 960, "moving": []}
+    # the table is twelve times as large as after the first batch, which wrote 80 rows
+    assert max(sizes[6:]) <= 600 and sum(sizes[8:]) < 0.5 * 4 * 960
+    assert rows.filter(F.col("bucket") != table._bucket(16)).count() == 0
+    whole = turns.turn_rollup(rows.drop("bucket"))
+    assert quality.table_digest(spark.read.parquet(f"{out}/turns"), whole.columns).first() == quality.table_digest(whole, whole.columns).first()
+
+
+def test_a_batch_that_died_while_splitting_is_mended(spark, tmp_path, monkeypatch):
+    out = str(tmp_path / "out")
+    table = incremental.FactTable(spark, out, {"turns": lambda f: turns.turn_rollup(f)}, buckets=1, bucket_rows=30)
+    table.batch(facts_frame(spark, ["a", "b"]), 0)
+    replace = table._replace
+
+    def dies(name, rows, buckets):
+        if name == "turns":
+            raise RuntimeError("lost")
+        replace(name, rows, buckets)
+
+    monkeypatch.setattr(table, "_replace", dies)
+    fresh = facts_frame(spark, ["c", "d", "e"])
+    try:
+        table.batch(fresh, 1)
+        raise AssertionError
+    except RuntimeError:
+        assert table.layout()["moving"]
+    monkeypatch.setattr(table, "_replace", replace)
+    table.batch(fresh, 1)
+    facts, got = spark.read.parquet(f"{out}/facts"), spark.read.parquet(f"{out}/turns")
+    whole = turns.turn_rollup(facts.drop("bucket"))
+    assert facts.count() == 100 and table.layout()["moving"] == []
+    assert quality.table_digest(got, whole.columns).first() == quality.table_digest(whole, whole.columns).first()

@@ -221,17 +221,44 @@ def unchanged_skip(listed: DataFrame, recorded: DataFrame) -> DataFrame:
 
 
 class FactTable:
-    """Facts in Parquet by transcript bucket; each batch replaces only the touched buckets.
+    """Facts in Parquet by session bucket; each batch replaces only the touched buckets.
 
     ``derive`` makes a table from all facts of the touched sessions; its rows are kept by session
     bucket and replaced alike, so late halves meet in any batch and the order of batches does not matter.
+
+    Buckets grow by linear hashing: when they hold more than ``bucket_rows`` rows each on average, the next one is
+    split in two (at most ``MOST_SPLITS`` of them in a batch), so a batch writes as much as the sessions it touches
+    need, however large the table is.  The layout is written before rows move, with the buckets that are being
+    split; a batch that finds such a note of one that died does its work again.
     """
 
-    def __init__(self, spark: SparkSession, path: str, derive: dict[str, Callable[[DataFrame], DataFrame]], buckets: int = 16):
-        self.spark, self.path, self.derive, self.buckets = spark, path, derive, buckets
+    MOST_SPLITS = 4
+
+    def __init__(self, spark: SparkSession, path: str, derive: dict[str, Callable[[DataFrame], DataFrame]], buckets: int = 16, bucket_rows: int = 1_000_000):
+        self.spark, self.path, self.derive, self.first, self.bucket_rows = spark, path, derive, buckets, bucket_rows
+        self.fs, self.root = file_system(path)
 
-    def _bucket(self, key: str):
-        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int").alias("bucket")
+    def layout(self) -> dict:
+        """How many buckets and rows there are, and the buckets whose rows may lie in another one."""
+        try:
+            with self.fs.open_input_stream(f"{self.root}/_layout.json") as f:
+                return json.loads(f.read())
+        except FileNotFoundError:
+            return {"buckets": self.first, "rows": 0, "moving": []}
+
+    def _keep(self, layout: dict) -> None:
+        self.fs.create_dir(self.root, recursive=True)
+        part = f"{self.root}/_layout.{uuid.uuid4().hex}"
+        with self.fs.open_output_stream(part) as f:
+            f.write(json.dumps(layout).encode())
+        self.fs.move(part, f"{self.root}/_layout.json")
+
+    @staticmethod
+    def _bucket(n: int):
+        """The bucket of a session among ``n``: those not split yet take what belongs to their later halves."""
+        half = 1 << (n.bit_length() - 1)
+        h = F.pmod(F.xxhash64("session_id"), F.lit(2 * half))
+        return F.when(h < n, h).otherwise(h - half).cast("int")
 
     def _read(self, name: str) -> DataFrame | None:
         try:
@@ -252,36 +279,54 @@ class FactTable:
             gone = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/bucket={bucket}")
             gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
 
+    def _grown(self, layout: dict, more: int) -> dict:
+        """The layout with room for ``more`` rows, and the buckets that this moves rows between."""
+        n, rows, moving = layout["buckets"], layout["rows"] + more, {*layout["moving"]}
+        for _ in range(self.MOST_SPLITS):
+            if rows <= n * self.bucket_rows:
+                break
+            moving |= {n - (1 << (n.bit_length() - 1)), n}
+            n += 1
+        return {"buckets": n, "rows": rows, "moving": sorted(moving)}
+
     def batch(self, rows: DataFrame, batch_id: int = 0, again: DataFrame | None = None) -> None:
         """For ``foreachBatch``: facts with path, offset, session_id and ``rewound``; ``again`` has the path of every file
         that is read anew, also of those without any fact left."""
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(self.buckets)).cast("int")).persist()
+        rows = rows.persist()
         try:
-            touched = [r["bucket"] for r in rows.select("bucket").distinct().collect()]  # at most as many as buckets
+            layout = self._grown(self.layout(), rows.count())
+            bucket = self._bucket(layout["buckets"])
+            touched = {r[0] for r in rows.select(bucket).distinct().collect()} | {*layout["moving"]}  # as many as buckets, at most
             marked = rows.filter("rewound").select("path")
             again = (marked if again is None else marked.union(again.select("path"))).distinct()
             old = self._read("facts")
-            new = rows.drop("rewound")
+            new = rows.drop("rewound").withColumn("bucket", bucket)
             if old is not None:
-                gone = [r["bucket"] for r in old.join(again, "path", "left_semi").select("bucket").distinct().collect()]
-                touched = sorted({*touched, *gone})
-                kept = old.filter(F.col("bucket").isin(touched)).join(again, "path", "left_anti")
-                new = kept.select(*new.columns).unionByName(new)
+                if not again.isEmpty():
+                    touched |= {r["bucket"] for r in old.join(again, "path", "left_semi").select("bucket").distinct().collect()}
+                kept = old.filter(F.col("bucket").isin(sorted(touched))).join(again, "path", "left_anti")
+                new = kept.withColumn("bucket", bucket).select(*new.columns).unionByName(new)
             if not touched:
                 return
-            self._replace("facts", new.dropDuplicates(["path", "offset"]), touched)
+            self._keep(layout)
+            self._replace("facts", new.dropDuplicates(["path", "offset"]), sorted(touched))
             stored = self._read("facts")
-            facts = (stored if stored is not None else new.limit(0)).filter(F.col("bucket").isin(touched))
+            facts = (stored if stored is not None else new.limit(0)).filter(F.col("bucket").isin(sorted(touched)))
             for name, f in self.derive.items():
-                self._replace(name, f(facts.drop("bucket")).withColumn("bucket", self._bucket("session_id")), touched)
+                self._replace(name, f(facts.drop("bucket")).withColumn("bucket", bucket), sorted(touched))
+            self._keep(layout | {"moving": []})
         finally:
             rows.unpersist()
 
     def rebuild(self, rows: DataFrame) -> None:
         """Everything anew."""
-        rows.withColumn("bucket", self._bucket("session_id")).drop("rewound").dropDuplicates(["path", "offset"]).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/facts")
+        facts = rows.drop("rewound").dropDuplicates(["path", "offset"])
+        n = facts.count()
+        buckets = max(self.first, -(-n // self.bucket_rows))
+        facts.withColumn("bucket", self._bucket(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/facts")
         for name, f in self.derive.items():
-            f(self._read("facts").drop("bucket")).withColumn("bucket", self._bucket("session_id")).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
+            f(self._read("facts").drop("bucket")).withColumn("bucket", self._bucket(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{name}")
+        self._keep({"buckets": buckets, "rows": n, "moving": []})
 
 
 class PendingNames(StatefulProcessor):
