@@ -92,3 +92,18 @@ def test_exact_ranks_of_one_key_with_all_rows(spark, shape):
 def test_between_the_bounds_are_few_rows(spark, monkeypatch):
     df = spark.range(200_000).selectExpr("1 AS k", "cast(id * 7919 % 200000 AS double) AS v")
     assert turns.percentile_nearest(df, ["k"], "v", {"p50": 0.5}).first()["p50"] == 99_999.0
+
+
+def test_what_makes_the_rows_of_a_scan_runs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(2000, numPartitions=4).mapInArrow(count, "id long").selectExpr("id % 10 AS k", "id AS t")
+    for limits in ({"one_task_bytes": 0}, FORCED):  # no key is large enough to be cut; all keys are
+        seen.value = 0
+        assert scan.running(df, ["k"], ["t"], counts={"n": F.lit(True)}, **limits).agg(F.sum("n")).first()[0] == 10 * 200 * 201 // 2
+        assert seen.value == 2000

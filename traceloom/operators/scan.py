@@ -30,14 +30,16 @@ def _renamed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{c}_r") for c in columns], *[c for c in df.columns if c not in columns])
 
 
-def segments(rows: DataFrame, keys: list[str], order: list[str], segment_rows: int | None = None) -> DataFrame:
-    """``rows`` with ``seg_``: 0, 1, ... along the order of each key that is cut, null for the others.
+def segments(rows: DataFrame, keys: list[str], order: list[str], segment_rows: int | None = None) -> DataFrame | None:
+    """``rows`` with ``seg_``: 0, 1, ... along the order of each key that is cut, null for the others; None if no key is cut.
 
     Rows of equal order stay in one segment, so the order should be total.
     """
     n = rows.groupBy(*keys).agg(F.count("*").alias("n_"))
-    total = n.agg(F.sum("n_")).first()[0] or 0
-    least = max(segment_rows or SEGMENT_ROWS, total // MOST_KEYS)
+    total, largest = n.agg(F.sum("n_"), F.max("n_")).first()
+    least = max(segment_rows or SEGMENT_ROWS, (total or 0) // MOST_KEYS)
+    if (largest or 0) <= least:
+        return None
     large = F.broadcast(_renamed(n.filter(F.col("n_") > least), keys))
     # some 20 sampled rows a segment give even bounds; what they are does not change any result
     parts = F.least(F.lit(MOST_SEGMENTS), F.ceil(F.col("n_") / least))
@@ -73,7 +75,12 @@ def running(
     if not keys:
         rows, keys = rows.withColumn("one_", F.lit(1)), ["one_"]
     cut = plan_bytes(rows) > (ONE_TASK_BYTES if one_task_bytes is None else one_task_bytes)
-    rows = segments(rows, keys, order, segment_rows) if cut else rows.withColumn("seg_", F.lit(None).cast("int"))
+    if cut:  # what makes the rows runs once, not for each look at them
+        rows = _cut(rows)
+        met = segments(rows, keys, order, segment_rows)
+        rows, cut = (met, True) if met is not None else (rows, False)
+    if not cut:
+        rows = rows.withColumn("seg_", F.lit(None).cast("int"))
     each = Window.partitionBy(*keys, "seg_").orderBy(*order)
     upto = each.rowsBetween(Window.unboundedPreceding, 0)
     local = {f"at_{name}": F.count(F.when(F.col(f"c_{name}"), 1)).over(upto) for name in counts}

@@ -121,9 +121,10 @@ def branch_in_effect(commands: DataFrame, **limits) -> DataFrame:
     order = ["path", "offset", "use_no"]
     at = F.struct(*order)
     c = scan.running(commands, ["session_id"], order, last={"switch_": F.when(F.col("intent.set_branch").isNotNull(), F.struct(F.col("intent.set_branch").alias("name"), at.alias("at")))}, **limits)
-    gone = c.filter("intent.deleted_branch is not null").select("session_id", F.col("intent.deleted_branch").alias("name_"), *order, F.lit(0).alias("side_"), F.lit(None).cast(c.schema["switch_"].dataType).alias("switch_"), F.lit(None).cast(commands.schema["intent"].dataType).alias("intent"))
-    asks = c.select("session_id", F.col("switch_.name").alias("name_"), *order, F.lit(1).alias("side_"), "switch_", "intent")
-    met = scan.running(gone.unionByName(asks), ["session_id", "name_"], [*order, "side_"], last={"gone_": F.when(F.col("side_") == 0, at)}, **limits)
+    # a row asks for its switch, and one that deletes a branch also tells so
+    sides = F.explode(F.when(F.col("intent.deleted_branch").isNotNull(), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("side_")
+    both = c.select("session_id", *order, "switch_", "intent", sides).withColumn("name_", F.when(F.col("side_") == 0, F.col("intent.deleted_branch")).otherwise(F.col("switch_.name")))
+    met = scan.running(both, ["session_id", "name_"], [*order, "side_"], last={"gone_": F.when(F.col("side_") == 0, at)}, **limits)
     return met.filter("side_ = 1").select("session_id", *order, "intent", F.when(F.col("gone_").isNull() | (F.col("gone_") < F.col("switch_.at")), F.col("switch_.name")).alias("branch"))
 
 
