@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from traceloom.operators import cost, joins
+from traceloom.plans import lines
 
 
 def test_tree_of_a_long_chain_with_a_cycle_and_an_orphan(spark):
@@ -44,3 +45,11 @@ def test_halves_and_unique_stores(spark):
     assert [tuple(r) for r in joins.merge_halves(rows, "key", ["title", "number"]).collect()] == [("k", "t", 7)]
     store = spark.createDataFrame([("k", 1), ("k", 2), ("l", 3)], "key string, v long")
     assert {r["key"]: r["v"] for r in joins.enrich_unique(rows.select("key").distinct().withColumn("n", F.lit(1)), store, "key").collect()} == {"k": None, "l": 3}
+
+
+def test_rows_of_one_row_group_are_dealt_evenly(spark, tmp_path, monkeypatch):
+    spark.range(4000).selectExpr("id AS event_id", "id % 7 AS user_id", "double(id) AS value", "timestamp'2026-01-01' AS ts").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(joins, "DEALT_ROWS", 400)
+    made = lines._lines(spark, str(tmp_path))
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert made.count() == made.select("offset").distinct().count() == 4000 and len(sizes) == 10 and max(sizes) < 600

@@ -77,7 +77,8 @@ def _split(text: str) -> list[str]:
 
 
 def _lines(spark, sf_dir: str) -> DataFrame:
-    b = _t(spark, sf_dir, "events").selectExpr("event_id AS e", "user_id AS u", "event_id % 16 AS k", "event_id div 16 AS q", "cast(floor(value) AS bigint) AS n", "'x/s' || user_id || '.jsonl' AS path", "'s' || user_id AS session_id", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS ts")
+    # making and parsing a line costs far more than reading its row
+    b = joins.dealt(_t(spark, sf_dir, "events"), "event_id").selectExpr("event_id AS e", "user_id AS u", "event_id % 16 AS k", "event_id div 16 AS q", "cast(floor(value) AS bigint) AS n", "'x/s' || user_id || '.jsonl' AS path", "'s' || user_id AS session_id", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") AS ts")
     kinds = " ".join(f"WHEN {k} THEN {x}" for k, x in _kinds().items())
     return b.select("path", F.col("e").alias("offset"), F.expr(f"CASE k {kinds} END").alias("text")).withColumn("length", F.octet_length("text"))
 
@@ -265,6 +266,6 @@ def branch_activity(spark, sf_dir):
     name = F.concat(F.lit("b"), (F.floor("value").cast("long") % 3).cast("string"))
     kind = F.col("event_type")
     command = F.when(kind == "signup", F.concat(F.lit("git switch "), name)).when(kind == "error", F.concat(F.lit("git branch -d "), name)).when(kind == "click", F.lit("git commit -m x"))
-    c = _t(spark, sf_dir, "events").filter(command.isNotNull()).select(F.col("user_id").alias("session_id"), F.lit("").alias("path"), F.col("event_id").alias("offset"), F.lit(0).alias("use_no"), X.git_intent(command).alias("intent"))
+    c = joins.dealt(_t(spark, sf_dir, "events"), "event_id").filter(command.isNotNull()).select(F.col("user_id").alias("session_id"), F.lit("").alias("path"), F.col("event_id").alias("offset"), F.lit(0).alias("use_no"), X.git_intent(command).alias("intent"))
     s = signals.branch_stats(c)
     return s.select("branch", "commits", F.size("sessions").cast("long").alias("sessions"))
