@@ -128,3 +128,36 @@ def test_state_of_a_stream_is_bounded(spark, tmp_path):
     often = [x for x in rows if x["masked"].startswith("kept")]
     assert sum(x["is_new"] for x in often) == 1 and len({x["template_id"] for x in often}) == 1
     assert sum(x["is_new"] for x in rows) > 40
+
+
+def test_clusters_that_go_equal_a_plain_list():
+    r = random.Random(5)
+    lines = [[r.choice("abcdefgh") for _ in range(4)] for _ in range(3000)]
+    plain, clock, got = [], 0, templates.Tree(least=0.8, most=20)
+    leaf = templates.Clusters(0.8)
+    for words in lines:
+        clock += 1
+        best = max(plain, key=lambda c: (sum(x in ("<*>", y) for x, y in zip(c["t"], words)), -c["id"]), default=None)
+        if best is None or sum(x in ("<*>", y) for x, y in zip(best["t"], words)) / 4 < 0.8:
+            best = {"id": clock, "t": list(words), "by": " ".join(words), "size": 0}
+            plain.append(best)
+        best["t"] = [x if x == y else "<*>" for x, y in zip(best["t"], words)]
+        best["size"], best["touched"] = best["size"] + 1, clock
+        if len(plain) > 20:
+            plain.remove(min(plain, key=lambda c: (c["size"], c["touched"])))
+        c = got.insert(words, 1, leaf)
+        assert (c.created_by, c.template) == (best["by"], " ".join(best["t"]))
+    assert len(leaf.rows) == 20 and len(leaf.seats) < 2 * 20 + 64 + 2 and sum(len(at) for at in leaf.places) < 1000
+
+
+def test_lines_are_masked_once_and_lines_without_a_tool_stay(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    lines = spark.range(300, numPartitions=3).mapInArrow(count, "id long").selectExpr("IF(id % 3 = 0, NULL, 'Bash') AS tool_type", "concat('line w', id % 50, ' of x', id % 7) AS masked", "id AS arrival")
+    assert templates.drain(lines).agg(F.sum("n")).first()[0] == 300
+    assert seen.value == 300

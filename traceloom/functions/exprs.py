@@ -25,7 +25,8 @@ PR_TITLE = rf"""{_B}gh\s+pr\s+create{_E}[\s\S]*?--title[=\s]+(?:"((?:\\.|[^"\\])
 MASKS = [
     ("UUID", rf"(?i){_B}[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}{_E}"),
     ("SHA", rf"(?i){_B}[0-9a-f]{{7,40}}{_E}"),
-    ("PATH", r"(?:\.{0,2}/)?(?:[A-Za-z0-9_.-]+/)+[A-Za-z0-9_.-]+"),
+    # a word that leads into no path does so from none of its letters, so only its first is tried
+    ("PATH", r"(?<![A-Za-z0-9_.-])(?:\.{0,2}/)?(?:[A-Za-z0-9_.-]++/)+[A-Za-z0-9_.-]++"),
     ("DURATION", rf"(?i){_B}[0-9]+(?:\.[0-9]+)?\s?(?:ms|s|sec|seconds|min){_E}"),
     ("LINENO", rf":[0-9]+:[0-9]+{_E}"),
     ("EXITCODE", rf"(?i){_B}(?:exit code|exit status)[: ]+[0-9]+{_E}"),

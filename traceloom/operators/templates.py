@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from . import scan
+from .joins import _cut
 
 ANY = "<*>"
 
@@ -24,68 +26,85 @@ def signatures(blobs: DataFrame) -> DataFrame:
 class Cluster:
     """A template with the line that created it and how many lines it stands for."""
 
-    __slots__ = ("id", "tokens", "created_by", "size", "touched", "leaf", "slot")
+    __slots__ = ("id", "tokens", "created_by", "size", "touched", "leaf", "seat")
 
     def __init__(self, id: int, tokens: list[str], created_by: str, size: int, touched: int, leaf: Clusters | None = None):
-        self.id, self.tokens, self.created_by, self.size, self.touched, self.leaf, self.slot = id, tokens, created_by, size, touched, leaf, -1
+        self.id, self.tokens, self.created_by, self.size, self.touched, self.leaf, self.seat = id, tokens, created_by, size, touched, leaf, -1
 
     @property
     def template(self) -> str:
         return " ".join(self.tokens)
 
+    @property
+    def slot(self) -> int:
+        """Its place among the leaf's clusters, in the order of their creation."""
+        return self.leaf.rows.index(self)
+
 
 class Clusters:
     """K6, K7: the clusters of a leaf, all of lines with the same number of tokens; a wildcard of a template matches every token.
 
-    Tokens are numbered and templates are rows of numbers, so one comparison meets all clusters.
+    Each place has the clusters of each token there, so a line meets only the clusters that share one of its tokens.
+    Seats follow creation, which decides between equals; those of clusters that are gone stay until they are the most.
     """
 
+    GONE = -(1 << 40)
+
     def __init__(self, least: float):
         self.least = least
-        self.rows: list[Cluster | None] = []
-        self.codes: dict[str, int] = {}
-        self.table, self.wild = np.zeros((8, 0), np.int32), np.zeros(8, np.int64)
+        self.seats: list[Cluster | None] = []
+        self.dead = 0
+        self.wild = np.zeros(8, np.int64)
+        self.places: list[dict[str, array]] = []
 
-    def _numbers(self, tokens: list[str]) -> np.ndarray:
-        codes = self.codes
-        return np.array([codes.setdefault(t, len(codes) + 1) for t in tokens], np.int32)
+    @property
+    def rows(self) -> list[Cluster]:
+        return [c for c in self.seats if c is not None]
 
     def add(self, cluster: Cluster) -> None:
-        if not self.rows:
-            self.table = np.zeros((8, len(cluster.tokens)), np.int32)
-        if len(self.rows) == len(self.table):
-            self.table, self.wild = np.concatenate([self.table, np.zeros_like(self.table)]), np.concatenate([self.wild, np.zeros_like(self.wild)])
-        cluster.slot = len(self.rows)
-        self.rows.append(cluster)
-        numbers = self._numbers(cluster.tokens)
-        any_ = np.array([t == ANY for t in cluster.tokens], bool)
-        self.table[cluster.slot] = np.where(any_, 0, numbers)
-        self.wild[cluster.slot] = any_.sum()
+        if not self.places:
+            self.places = [{} for _ in cluster.tokens]
+        if len(self.seats) == len(self.wild):
+            self.wild = np.concatenate([self.wild, np.zeros_like(self.wild)])
+        cluster.seat = len(self.seats)
+        self.seats.append(cluster)
+        self.wild[cluster.seat] = cluster.tokens.count(ANY)
+        for at, token in zip(self.places, cluster.tokens):
+            if token != ANY:
+                at.setdefault(token, array("i")).append(cluster.seat)
 
     def drop(self, cluster: Cluster) -> None:
-        """The others keep their order, which decides between equals."""
-        at, n = cluster.slot, len(self.rows)
-        del self.rows[at]
-        self.table[at : n - 1], self.wild[at : n - 1] = self.table[at + 1 : n].copy(), self.wild[at + 1 : n].copy()
-        for other in self.rows[at:]:
-            other.slot -= 1
+        self.seats[cluster.seat] = None
+        self.wild[cluster.seat] = self.GONE
+        self.dead += 1
+        if 2 * self.dead > len(self.seats) + 64:
+            kept = self.rows
+            self.seats, self.dead, self.places = [], 0, []
+            for c in kept:
+                self.add(c)
 
     def find(self, words: list[str]) -> Cluster | None:
         """The most similar cluster, the earliest of equals, generalised to hold ``words``; none if none is similar enough."""
-        n = len(self.rows)
-        if not n:
+        n = len(self.seats)
+        if n == self.dead:
             return None
-        numbers = self._numbers(words)
-        equal = (self.table[:n] == numbers).sum(1) + self.wild[:n]
+        equal = self.wild[:n]
+        met = [np.frombuffer(at[w], np.int32) for at, w in zip(self.places, words) if w in at]
+        if met:
+            equal = equal + np.bincount(np.concatenate(met), minlength=n)
+        del met  # as long as they are looked at, they can't grow
         best = int(equal.argmax())
         if words and equal[best] / len(words) < self.least:
             return None
-        cluster = self.rows[best]
+        cluster = self.seats[best]
         if equal[best] < len(words):
-            for place in np.flatnonzero((self.table[best] != numbers) & (self.table[best] != 0)).tolist():
-                cluster.tokens[place] = ANY
-                self.table[best, place] = 0
-                self.wild[best] += 1
+            for k, (mine, word) in enumerate(zip(cluster.tokens, words)):
+                if mine != word and mine != ANY:
+                    cluster.tokens[k] = ANY
+                    self.places[k][mine].remove(best)
+                    if not self.places[k][mine]:
+                        del self.places[k][mine]
+                    self.wild[best] += 1
         return cluster
 
 
@@ -158,14 +177,22 @@ class Tree:
 
 
 def overflow(rows: DataFrame, most: int = 100) -> DataFrame:
-    """K8: first tokens beyond the ``most`` that came first under a node share the wildcard branch."""
+    """K8: first tokens beyond the ``most`` that came first under a node share the wildcard branch.
+
+    ``rows``: tool_type, n_tokens, arrival, and the first two tokens ``t1`` and ``t2``, which become ``k1`` and ``k2``.
+    """
     for level, node in ((1, ["tool_type", "n_tokens"]), (2, ["tool_type", "n_tokens", "k1"])):
-        token = F.when(F.size("tokens") >= level, F.get("tokens", F.lit(level - 1))).otherwise(F.lit(""))
-        rows = rows.withColumn("t_", token)
-        first = rows.groupBy(*node, "t_").agg(F.min("arrival").alias("first_"))
-        rank = first.withColumn("r_", F.row_number().over(Window.partitionBy(*node).orderBy("first_"))).select(*node, "t_", "r_")
-        rows = rows.join(rank, [*node, "t_"]).withColumn(f"k{level}", F.when(F.col("r_") <= most, F.col("t_")).otherwise(F.lit(ANY))).drop("t_", "r_")
-    return rows
+        token = f"t{level}"
+        first = rows.groupBy(*node, token).agg(F.min("arrival").alias("first_"))
+        early = first.withColumn("r_", F.row_number().over(Window.partitionBy(*node).orderBy("first_"))).filter(F.col("r_") <= most)
+        early = early.select(*[F.col(c).alias(f"{c}_") for c in [*node, token]])
+        on = [rows[c].eqNullSafe(early[f"{c}_"]) for c in [*node, token]]
+        rows = rows.join(early, on, "left").select(*[rows[c] for c in rows.columns], F.coalesce(f"{token}_", F.lit(ANY)).alias(f"k{level}"))
+    return rows.drop("t1", "t2")
+
+
+#: Distinct lines of a shard of leaves.
+SHARD_LINES = 50_000
 
 
 def drain(lines: DataFrame, least: float = 0.55, most_children: int = 100, most: int = 5000) -> DataFrame:
@@ -175,25 +202,34 @@ def drain(lines: DataFrame, least: float = 0.55, most_children: int = 100, most:
     and with the number of their repeats, each leaf (tool, number of tokens, first two tokens) on its own and with
     at most ``most`` clusters, so neither the memory of a leaf nor the comparisons of a line grow with the lines.
     """
-    distinct = lines.groupBy("tool_type", "masked").agg(F.min("arrival").alias("arrival"), F.count("*").alias("n"))
-    rows = distinct.withColumn("tokens", X.tokens(F.col("masked"))).withColumn("n_tokens", F.size("tokens"))
+    # distinct lines are written once; masks and shuffles of all lines would else run for each look at them
+    distinct = _cut(lines.groupBy("tool_type", "masked").agg(F.min("arrival").alias("arrival"), F.count("*").alias("n")))
+    tokens = X.tokens(F.col("masked"))
+    token = lambda k: F.coalesce(F.get("tokens", F.lit(k)), F.lit(""))
+    rows = distinct.withColumn("tokens", tokens).select("*", F.size("tokens").alias("n_tokens"), token(0).alias("t1"), token(1).alias("t2")).drop("tokens")
     rows = overflow(rows, most_children)
 
     def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("arrival", kind="stable")
-        found: dict[tuple, tuple[Tree, Clusters]] = {}
-        owners = []
-        for tool, k1, k2, masked, n in zip(pdf["tool_type"], pdf["k1"], pdf["k2"], pdf["masked"], pdf["n"]):
-            words = masked.split()
-            tree, leaf = found.setdefault((tool, len(words), k1, k2), (Tree(least, most), Clusters(least)))
-            owners.append(tree.insert(words, int(n), leaf))
-        return pd.DataFrame({"tool_type": pdf["tool_type"], "masked": pdf["masked"], "n": pdf["n"], "arrival": pdf["arrival"], "created_by": [c.created_by for c in owners], "template": [c.template for c in owners]})
+        words, times = [m.split() for m in pdf["masked"]], pdf["n"].tolist()
+        members: dict[tuple, list[int]] = {}
+        for i, (tool, n, k1, k2) in enumerate(zip(pdf["tool_type"], pdf["n_tokens"], pdf["k1"], pdf["k2"])):
+            members.setdefault((tool, n, len(words[i]), k1, k2), []).append(i)
+        created, template = [""] * len(words), [""] * len(words)
+        for mine in members.values():  # one leaf after the other, so that only one is held
+            if len(mine) == 1:
+                created[mine[0]] = template[mine[0]] = " ".join(words[mine[0]])
+                continue
+            tree, leaf = Tree(least, most), Clusters(least)
+            for i, c in zip(mine, [tree.insert(words[i], times[i], leaf) for i in mine]):
+                created[i], template[i] = c.created_by, c.template
+        return pd.DataFrame({"tool_type": pdf["tool_type"], "masked": pdf["masked"], "n": pdf["n"], "arrival": pdf["arrival"], "created_by": created, "template": template})
 
     arrival = dict(lines.dtypes)["arrival"]
-    # leaves are small and many: a group holds several
-    shards = 4 * int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shard = F.pmod(F.xxhash64("tool_type", "n_tokens", "k1", "k2"), F.lit(shards)).alias("shard")
-    found = rows.drop("tokens").groupBy(shard).applyInPandas(leaves, f"tool_type string, masked string, n long, arrival {arrival}, created_by string, template string")
+    # leaves are small and many: a group holds several, of about ``SHARD_LINES`` lines in all
+    parts = max(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-distinct.count() // SHARD_LINES))
+    shard = F.pmod(F.xxhash64("tool_type", "n_tokens", "k1", "k2"), F.lit(4 * parts)).alias("shard")
+    found = rows.withColumn("shard", shard).repartition(parts, "shard").groupBy("shard").applyInPandas(leaves, f"tool_type string, masked string, n long, arrival {arrival}, created_by string, template string")
     return found.withColumn("template_id", X.template_id(F.col("tool_type"), F.col("created_by")))
 
 
