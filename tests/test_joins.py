@@ -53,3 +53,18 @@ def test_rows_of_one_row_group_are_dealt_evenly(spark, tmp_path, monkeypatch):
     made = lines._lines(spark, str(tmp_path))
     sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
     assert made.count() == made.select("offset").distinct().count() == 4000 and len(sizes) == 10 and max(sizes) < 600
+
+
+def test_co_change_deals_its_rows_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(cost, "TASK_ROWS", 100)
+    touched = spark.range(2000).selectExpr("id div 4 AS session", "id * 7 % 1999 AS item")
+    pairs = cost.co_change(touched, "session", "item")
+    assert "hashpartitioning(a#" in (plan := pairs._jdf.queryExecution().toString()) and ", 30), REPARTITION_BY_NUM" in plan
+    items = {}
+    for r in touched.collect():
+        items.setdefault(r["session"], set()).add(r["item"])
+    want = {}
+    for own in items.values():
+        for a, b in ((a, b) for a in own for b in own if a < b):
+            want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["a"], r["b"]): r["sessions"] for r in pairs.collect()} == want
