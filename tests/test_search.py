@@ -30,3 +30,17 @@ def test_frequent_tokens_do_not_meet_all_spans(spark):
     queries = spark.range(50).selectExpr("id AS query_id", "concat('common every rare', id * 7) AS text")
     got = search.match_queries(search.index_spans(spans), queries).collect()
     assert sorted((r["query_id"], r["span_id"]) for r in got) == [(i, i * 7) for i in range(50)]
+
+
+def test_a_search_of_queries_reads_the_texts_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    tokens = spark.range(300).selectExpr("id AS span_id", "'text' AS field", "explode(array('a', concat('b', id % 3))) AS token").mapInArrow(count, "span_id long, field string, token string")
+    asked = spark.createDataFrame([(1, "a b1"), (2, "a"), (3, "a none")], "query_id long, text string")
+    got = search.match_queries(tokens, asked).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in got} == {1: 100, 2: 300} and seen.value == 600
