@@ -223,6 +223,18 @@ def test_passages_with_edits_and_partial_copies(spark):
     assert {a for a, _ in met if a < 1000} == {10, 11, 12} and all((a < 1000) == (b < 1000) and abs(a - b) < 3 for a, b in met)
 
 
+def test_passages_that_the_first_texts_hold_in_parts(spark):
+    """Earlier texts hold 40 words of a passage each, wherever one looks; only the last two hold all 60."""
+    rows, pairs = [], set()
+    for k in range(4):
+        p = prose(60, 700 + k).split()
+        rows += [(100 * k + i, f"{prose(60, 9000 + 50 * k + i)} {' '.join(p[i : i + 40])} {prose(60, 10000 + 50 * k + i)}") for i in range(0, 21, 2)]
+        rows += [(100 * k + i, f"{prose(60, 12000 + 50 * k + i)} {' '.join(p)} {prose(60, 13000 + 50 * k + i)}") for i in (30, 31)]
+        pairs.add((100 * k + 30, 100 * k + 31))
+    out = substring.passages(docs(spark, rows)).collect()
+    assert pairs <= {tuple(sorted((r["doc_id"], r["other_id"]))) for r in out}
+
+
 def test_passages_of_repeated_lines_and_rows(spark, monkeypatch):
     monkeypatch.setattr(substring, "HOT", 4)
     line = prose(60, 1)
