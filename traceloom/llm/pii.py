@@ -2,16 +2,17 @@
 
 Generators propose overlapping spans: anything around an at sign or a spelt-out one, and every run
 of groups of digits with separators that is no longer than its kind.  Candidates that pass the strict base patterns of their kind are
-positives, all others (for e-mail also spans of plain prose) unlabelled negatives; boosted trees, grown in numpy on a bounded sample of
-candidates, learn the format and context of real ones from features that do not see the strict
-test itself.  A threshold for each kind is calibrated on the precision of held-out candidates
-against the positives; those that reach it are added, and for cards a passed checksum counts
+positives, all others (for e-mail also spans of plain prose) unlabelled negatives; boosted trees learn the format
+and context of real ones from features that do not see the strict test itself.  All candidates of all documents are
+grown on: Spark counts equal ones, finds the bins, and sums each level of the trees over them.  A threshold for each
+kind is calibrated on the precision of all candidates against the positives, each scored by trees that were grown on
+the other half of the texts; those that reach it are added, and for cards a passed checksum counts
 besides.  Base spans always stay.
 
 Defined cases: null and empty texts have no spans; spans of one kind never overlap, a base span
 wins over an added one and a more probable (then longer, then earlier) one over another; repeated rows give a row each; an
 empty table gives an empty result, and with fewer than 20 positives or 20 negatives of a
-kind in the sample nothing is added for it; very long texts take time in proportion to their length; columns other than ``doc_id`` and ``text`` are ignored by ``find`` and kept by ``redact``.
+kind nothing is added for it; very long texts take time in proportion to their length; columns other than ``doc_id`` and ``text`` are ignored by ``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations
@@ -22,14 +23,17 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark import RDD
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed_sample
+from ..operators.scan import running
+from .common import saved
+from .trees import Growing, Trees, grow
 
 KINDS = ("email", "ip", "card", "phone")
-#: Bounds of the sample that the trees are grown on: documents, characters of each, candidates.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_CANDIDATES = 20_000, 20_000, 40_000
+#: Different candidates that a task of a level sums up, and that a task that counts them holds.
+TASK_ROWS, HELD_ROWS = 500_000, 8_192
 
 #: E-mail: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+, found from its at sign in both directions.
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -46,7 +50,8 @@ MOST_DIGITS = 19
 #: Share of labelled positives among the held-out candidates that reach a threshold.
 PRECISION = 0.95
 _AT, _DOT = re.compile(r" ?(?:\(at\)|\[at\]) ?", re.I), re.compile(r" ?(?:\(dot\)|\[dot\]) ?", re.I)
-_PROSE = re.compile(r"\w+ \w+ \w+")
+#: Three words from the start of one; a word is read once, however long.
+_PROSE = re.compile(r"(?<!\w)\w++ \w++ \w++")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -168,63 +173,6 @@ def features(text: str, kind: str, a: int, b: int) -> list[float]:
     ]
 
 
-class Trees:
-    """Gradient boosting for the logistic loss with trees of depth 3 over binned features."""
-
-    def __init__(self, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 24):
-        self.rounds, self.depth, self.rate, self.bins = rounds, depth, rate, bins
-        self.start, self.trees = 0.0, []
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Trees":
-        cuts = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
-        binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)], axis=1)
-        p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
-        self.start = float(np.log(p / (1 - p)))
-        f = np.full(len(y), self.start)
-        for _ in range(self.rounds):
-            p = 1 / (1 + np.exp(-f))
-            g, h = y - p, p * (1 - p)
-            tree = self._grow(binned, cuts, g, h, np.arange(len(y)), self.depth)
-            self.trees.append(tree)
-            f += self._value(tree, x)
-        return self
-
-    def _grow(self, binned, cuts, g, h, rows, depth):
-        leaf = self.rate * g[rows].sum() / (h[rows].sum() + 1.0)
-        if not depth or len(rows) < 20:
-            return leaf
-        best = (1e-6, None, None)
-        total_g, total_h = g[rows].sum(), h[rows].sum()
-        for j, c in enumerate(cuts):
-            if not len(c):
-                continue
-            gs = np.bincount(binned[rows, j], g[rows], len(c) + 1).cumsum()[:-1]
-            hs = np.bincount(binned[rows, j], h[rows], len(c) + 1).cumsum()[:-1]
-            gain = gs**2 / (hs + 1) + (total_g - gs) ** 2 / (total_h - hs + 1) - total_g**2 / (total_h + 1)
-            k = int(gain.argmax())
-            if gain[k] > best[0]:
-                best = (gain[k], j, k)
-        if best[1] is None:
-            return leaf
-        _, j, k = best
-        low = binned[rows, j] <= k
-        if low.all() or not low.any():
-            return leaf
-        return (j, float(cuts[j][k]), self._grow(binned, cuts, g, h, rows[low], depth - 1), self._grow(binned, cuts, g, h, rows[~low], depth - 1))
-
-    def _value(self, tree, x: np.ndarray) -> np.ndarray:
-        if not isinstance(tree, tuple):
-            return np.full(len(x), tree)
-        j, cut, low, high = tree
-        return np.where(x[:, j] <= cut, self._value(low, x), self._value(high, x))
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        f = np.full(len(x), self.start)
-        for t in self.trees:
-            f += self._value(t, x)
-        return 1 / (1 + np.exp(-f))
-
-
 class Finder:
     def __init__(self, models: dict[str, tuple[Trees, float]]):
         self.models = models
@@ -269,42 +217,141 @@ def threshold(held_out: np.ndarray, y: np.ndarray, precision: float = PRECISION)
     return float((v[at] + v[at + 1]) / 2) if at + 1 < len(v) else float(v[at])
 
 
-def fit(docs: DataFrame) -> Finder:
-    """Trees and thresholds from the candidates of a bounded sample of documents that hold digits or at signs."""
+def examples(text: str):
+    """Kind, label and features of the candidates of a text that teach, one after the other."""
+    spans = base_spans(text)
+    covered, exact, emails = Taken((a, e) for _, a, e in spans), set(spans), Taken((a, e) for k, a, e in spans if k == "email")
+    for k, a, e in candidates(text):
+        touched = covered.meets(a, e)
+        # runs of digits that are a part of a base span or more than it teach nothing
+        hit = touched and (emails.meets(a, e) if k == "email" else (k, a, e) in exact or (k, a + 1, e) in exact)
+        if hit or not touched:
+            yield k, int(hit), features(text, k, a, e)
+    prose = _PROSE.search(text)
+    if prose and "@" not in prose[0]:
+        yield "email", 0, features(text, "email", prose.start(), prose.end())
+
+
+_COUNTS = ("n0", "p0", "n1", "p1")
+
+
+def counted(docs: DataFrame) -> DataFrame:
+    """Different candidates of all documents: ``kind``, ``x`` (features as bytes), and for both halves of the texts how many they are and how many positive."""
 
     def rows(batches):
+        seen: dict[tuple[str, bytes], list[int]] = {}
+
+        def out():
+            columns = [[k for k, _ in seen], [x for _, x in seen], *zip(*seen.values())]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string(), pa.binary(), *[pa.int64()] * 4])], ["kind", "x", *_COUNTS])
+
+        for b in batches:
+            for half, text in zip(b.column(0).to_pylist(), b.column(1)):
+                for k, y, x in examples(text.as_py()):
+                    n = seen.setdefault((k, np.array(x).tobytes()), [0] * 4)
+                    n[2 * half] += 1
+                    n[2 * half + 1] += y
+                    if len(seen) >= HELD_ROWS:
+                        yield out()
+        if seen:
+            yield out()
+
+    texts = _plain(docs).filter("text is not null").select(F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("half"), "text")
+    each = texts.mapInArrow(rows, "kind string, x binary, n0 long, p0 long, n1 long, p1 long")
+    return each.groupBy("kind", "x").agg(*[F.sum(c).alias(c) for c in _COUNTS])
+
+
+def _by_kind(batch: pa.RecordBatch):
+    """Kind, features and counts (as ``_COUNTS``) of the rows of a batch, kind by kind."""
+    kinds, n = np.array(batch.column(0).to_pylist()), np.stack([batch.column(i).to_numpy() for i in range(2, 6)], axis=1)
+    x = np.frombuffer(b"".join(batch.column(1).to_pylist())).reshape(len(n), -1) if len(n) else n
+    for k in np.unique(kinds):
+        yield str(k), x[kinds == k], n[kinds == k]
+
+
+def _cuts(different: DataFrame) -> dict[str, list[np.ndarray]]:
+    """The bounds of the bins of each kind's features: quantiles of all candidates."""
+
+    def values(batches):
         for b in batches:
-            out = []
-            for text in b.column(1).to_pylist():
-                base = {(k, a, e) for k, a, e in base_spans(text)}
-                for k, a, e in candidates(text):
-                    touched = [x for x in base if x[1] < e and a < x[2]]
-                    # runs of digits that are a part of a base span or more than it teach nothing
-                    hit = any(k == k2 and (k == "email" or (e == e2 and a in (a2, a2 - 1))) for k2, a2, e2 in touched)
-                    if hit or not touched:
-                        out.append((k, int(hit), features(text, k, a, e)))
-                prose = _PROSE.search(text)
-                if prose and "@" not in prose[0]:
-                    out.append(("email", 0, features(text, "email", prose.start(), prose.end())))
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.list_(pa.float64()))], ["kind", "y", "x"])
-
-    some = hashed_sample(_plain(docs).filter(f"length(text) < {SAMPLE_CHARS} and text rlike '[0-9]{{3}}|@'"), "doc_id", SAMPLE_DOCS)
-    found = some.mapInArrow(rows, "kind string, y int, x array<double>").limit(SAMPLE_CANDIDATES).collect()
+            for kind, x, n in _by_kind(b):
+                for j, c in enumerate(x.T):
+                    v, at = np.unique(c, return_inverse=True)
+                    many = np.bincount(at, n[:, 0] + n[:, 2]).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(v)), pa.array([j] * len(v), pa.int32()), pa.array(v), pa.array(many)], ["kind", "j", "v", "n"])
+
+    found = different.mapInArrow(values, "kind string, j int, v double, n long").groupBy("kind", "j").agg(F.percentile("v", Trees().quantiles(), F.col("n")).alias("q")).collect()
+    return {k: [np.unique(r["q"]) for r in sorted((r for r in found if r["kind"] == k), key=lambda r: r["j"])] for k in {r["kind"] for r in found}}
+
+
+def _level(blocks: RDD, now: dict[tuple[str, int], Growing]) -> dict[tuple[str, int], np.ndarray]:
+    """The sums of a level of all models over all blocks; the tasks' sums are added by tasks, so what reaches the driver is small."""
+
+    def sums(rows):
+        total = {}
+        for kind, x, n in rows:
+            n = np.frombuffer(n, np.int64).reshape(-1, 4)
+            x = np.frombuffer(x, np.uint8).reshape(len(n), -1)
+            for (k, part), g in now.items():
+                if k == kind:
+                    mine = n[:, :2] + n[:, 2:] if part == 2 else n[:, 2 * part : 2 * part + 2]
+                    total[k, part] = total.get((k, part), 0) + g.sums(x, mine[:, 0], mine[:, 1])
+        yield total
+
+    return blocks.mapPartitions(sums).treeReduce(lambda a, b: {k: a.get(k, 0) + b.get(k, 0) for k in a | b})
+
+
+def thresholds(scores: DataFrame, precision: float = PRECISION) -> dict[str, float]:
+    """``threshold`` of each kind, from how many candidates of each score there are: ``kind``, ``v``, ``n``, ``y``."""
+    scores = saved(scores.select("kind", (-F.col("v")).alias("u"), "n", "y"), "pii-scores")
+    upto = running(scores, ["kind"], ["u"], sums={"all_n": F.col("n"), "all_y": F.col("y")})
+    last = {r["kind"]: r["u"] for r in upto.filter(F.col("all_y") / F.col("all_n") >= precision).groupBy("kind").agg(F.max("u").alias("u")).collect()}
+    if not last:
+        return {}
+    at = F.create_map(*[F.lit(x) for item in last.items() for x in item])[F.col("kind")]
+    below = {r["kind"]: r["u"] for r in scores.filter(F.col("u") > at).groupBy("kind").agg(F.min("u").alias("u")).collect()}
+    return {k: -(u + below.get(k, u)) / 2 for k, u in last.items()}
+
+
+def fit(docs: DataFrame) -> Finder:
+    """Trees and thresholds from the candidates of all documents: trees of all, and of either half for the threshold."""
+    different = saved(counted(docs), "pii-candidates")
+    of_kind = {r["kind"]: r for r in different.groupBy("kind").agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in _COUNTS]).collect()}
+    kinds = [k for k in KINDS if k in of_kind and (r := of_kind[k])["p0"] + r["p1"] >= 20 and r["n0"] + r["n1"] - r["p0"] - r["p1"] >= 20]
+    if not kinds:
+        return Finder({})
+    different = different.filter(F.col("kind").isin(kinds))
+    cuts = _cuts(different)
     models = {}
-    for kind in KINDS:
-        mine = [r for r in found if r["kind"] == kind]
-        y = np.array([r["y"] for r in mine], float)
-        if y.sum() < 20:
-            continue
-        if (y == 0).sum() < 20:
-            continue
-        x = np.array([r["x"] for r in mine])
-        fold = np.arange(len(y)) % 2 == 0
-        held_out = np.empty(len(y))
-        for part in (fold, ~fold):
-            held_out[~part] = Trees().fit(x[part], y[part]).predict(x[~part])
-        models[kind] = (Trees().fit(x, y), threshold(held_out, y))
-    return Finder(models)
+    for k in kinds:
+        n0, p0, n1, p1 = (of_kind[k][c] for c in _COUNTS)
+        for part, (n, p) in enumerate(((n0, p0), (n1, p1), (n0 + n1, p0 + p1))):
+            models[k, part] = Trees().begin(cuts[k], n, p)
+    bins = {k: models[k, 2] for k in kinds}
+
+    def packed(batches):
+        for b in batches:
+            found = [(k, bins[k].binned(x).tobytes(), n.tobytes()) for k, x, n in _by_kind(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.binary(), pa.binary()))], ["kind", "x", "n"])
+
+    tasks = -(-sum(of_kind[k]["rows"] for k in kinds) // TASK_ROWS)
+    blocks = saved(different.coalesce(tasks).mapInArrow(packed, "kind string, x binary, n binary"), "pii-binned")
+    few = blocks.coalesce(tasks).rdd
+    grow(models, lambda now: _level(few, now))
+
+    def scored(batches):
+        for b in batches:
+            for kind, x, n in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                n = np.frombuffer(n.as_py(), np.int64).reshape(-1, 4)
+                x = np.frombuffer(x.as_py(), np.uint8).reshape(len(n), -1)
+                for half in (0, 1):
+                    mine = n[:, 2 * half] > 0
+                    v = models[kind, 1 - half].of_binned(x[mine])
+                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(v), pa.string()), pa.array(v), *(pa.array(n[mine, 2 * half + i]) for i in (0, 1))], ["kind", "v", "n", "y"])
+
+    least = thresholds(blocks.mapInArrow(scored, "kind string, v double, n long, y long").groupBy("kind", "v").agg(F.sum("n").alias("n"), F.sum("y").alias("y")))
+    return Finder({k: (models[k, 2], least.get(k, float("inf"))) for k in kinds})
 
 
 SPAN = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
