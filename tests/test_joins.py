@@ -68,3 +68,17 @@ def test_co_change_deals_its_rows_by_their_number(spark, monkeypatch):
         for a, b in ((a, b) for a in own for b in own if a < b):
             want[a, b] = want.get((a, b), 0) + 1
     assert {(r["a"], r["b"]): r["sessions"] for r in pairs.collect()} == want
+
+
+def test_all_partners_are_ranked(spark):
+    """Each of twelve items has eleven partners, more than the six that the reference shows."""
+    touched = spark.range(12).crossJoin(spark.range(12).withColumnRenamed("id", "session")).filter("id = 0 or id <= session").selectExpr("session", "id AS item")
+    ranked = [tuple(r) for r in cost.co_change_top(cost.co_change(touched, "session", "item")).collect()]
+    assert len(ranked) == 12 * 11 and sorted(r for r in ranked if r[0] == 0) == sorted((0, i, 12 - i, i) for i in range(1, 12))
+    assert sum(r[3] <= 6 for r in ranked) == 72 == cost.co_change_top(cost.co_change(touched, "session", "item"), 6).count()
+
+
+def test_null_is_no_item_of_a_heavy_session(spark):
+    touched = spark.range(60).selectExpr("'s' AS session", "nullif(id, 7) AS item")
+    pairs = cost.co_change(touched, "session", "item", block_items=7)
+    assert pairs.count() == 59 * 58 // 2 and pairs.filter("a is null or b is null or a >= b").count() == 0
